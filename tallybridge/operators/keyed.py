@@ -20,6 +20,7 @@ from ..functions.cells import (
 from ..functions.text import rendered_change
 from .columns import common_columns
 from .groups import repeated_rows, rows_in_groups
+from .stored import Workspace
 
 OLD, NEW = "o", "n"
 
@@ -63,6 +64,17 @@ class KeyedComparison:
         self._new = missing_to_null(positional(new))
         self._key_names = [f"k{i}" for i in range(len(self.key))]
         self._old_keys, self._new_keys = self._aligned_keys()
+        self._stored: DataFrame | None = None
+
+    def store(self, workspace: Workspace) -> None:
+        """Keep every key that is not one equal row on each side as a table.
+
+        Later results are answered from it, so a report of many parts reads the two
+        tables once.
+        """
+        if self._stored is None:
+            uneven = ~F.col("is_common") | (F.col("o_rows") > 1) | (F.col("n_rows") > 1)
+            self._stored = workspace.store(self.keys().where(uneven | self._changed()))
 
     # -- the joined form ------------------------------------------------------------
 
@@ -113,6 +125,8 @@ class KeyedComparison:
     def keys(self, old_payload=None, new_payload=None) -> DataFrame:
         """One row per key: k0…, o, n (last rows), o_rows, n_rows, is_added, is_deleted,
         is_common."""
+        if self._stored is not None:
+            return self._stored
         old = self._one_side(OLD, self._payload(OLD, old_payload))
         new = self._one_side(NEW, self._payload(NEW, new_payload))
         empty_old = F.lit(None).cast(old.schema["row"].dataType)
@@ -136,6 +150,8 @@ class KeyedComparison:
 
     def key_counts(self) -> DataFrame:
         """:meth:`keys` without the rows: reads and shuffles only the key columns."""
+        if self._stored is not None:
+            return self._stored.drop(OLD, NEW)
         one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
         both = self._old.select(*self._old_keys, one.alias("oc"), none.alias("nc")).unionAll(
             self._new.select(*self._new_keys, none.alias("oc"), one.alias("nc"))
@@ -313,8 +329,13 @@ class KeyedComparison:
 
     def duplicate_rows(self, side: str) -> DataFrame:
         """All rows of one side whose key occurs more than once there."""
-        df = self.original if side == OLD else self.new
-        rows = missing_to_null(positional(df))
+        df, rows = (self.original, self._old) if side == OLD else (self.new, self._new)
+        if self._stored is not None:
+            count = F.col("o_rows" if side == OLD else "n_rows")
+            keys = self._old_keys if side == OLD else self._new_keys
+            repeated = self._stored.where(count > 1).select(*self._key_names, count.alias("n"))
+            found = rows_in_groups(rows.select("*", *keys), repeated, self._key_names)
+            return found.select(*rows.columns).toDF(*df.columns)
         return repeated_rows(rows, [f"c{df.columns.index(k)}" for k in self.key]).toDF(*df.columns)
 
     def counts(self) -> DataFrame:
@@ -325,13 +346,18 @@ class KeyedComparison:
             return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0)).cast("long")
 
         o, n, one = F.col("o_rows"), F.col("n_rows"), F.lit(1)
+        # Stored keys leave out those with one equal row on each side.
+        left_out = 0
+        if self._stored is not None:
+            kept = self._stored.agg(F.sum("o_rows")).first()[0] or 0
+            left_out = self.original.count() - kept
         return self.keys(old, new).agg(
             total(F.col("is_added"), n).alias("added_rows_count"),
             total(F.col("is_deleted"), o).alias("deleted_rows_count"),
             total(self._changed(), one).alias("updated_rows_count"),
             total(o > 1, o).alias("duplicate_rows_in_source_count"),
             total(n > 1, n).alias("duplicate_rows_in_target_count"),
-            total(F.col("is_common") & ~self._changed(), one).alias("matched_keys"),
-            total(o > 0, o).alias("source_rows"),
-            total(n > 0, n).alias("target_rows"),
+            (total(F.col("is_common") & ~self._changed(), one) + left_out).alias("matched_keys"),
+            (total(o > 0, o) + left_out).alias("source_rows"),
+            (total(n > 0, n) + left_out).alias("target_rows"),
         )
