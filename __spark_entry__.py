@@ -239,11 +239,18 @@ def split_rendered_updates(spark, sf):
     )
 
 
+# The key repeats in the data: the last row by these columns counts.
+LINE_VALUES = (
+    "l_partkey l_suppkey l_extendedprice l_discount l_tax l_linestatus l_shipdate l_quantity l_returnflag"
+).split()
+
+
 def keyed_composite(spark, sf):
     return tb.compare(
         _table(spark, sf, "lineitem"),
         _sql(spark, sf, LINEITEM_T),
         key=["l_orderkey", "l_linenumber"],
+        order_by=LINE_VALUES,
     ).summary()
 
 
@@ -686,12 +693,15 @@ def _keyed_summary_sql(old: str, new: str, key: list[str], values: list[str], co
     on = " and ".join(f"o.{k} = n.{k}" for k in key)
     changed = " or ".join(f"o.{v} is distinct from n.{v}" for v in values) or "false"
     keys = ", ".join(key)
+    last = f"row_number() over (partition by {keys} order by {', '.join(f'{v} desc' for v in values) or keys}) as rn"
     return f"""
-        with o as ({old}), n as ({new})
+        with o as ({old}), n as ({new}),
+        lo as (select * from (select *, {last} from o) where rn = 1),
+        ln as (select * from (select *, {last} from n) where rn = 1)
         select {columns},
             (select count(*) from n where not exists (select 1 from o where {on})) as added_rows_count,
             (select count(*) from o where not exists (select 1 from n where {on})) as deleted_rows_count,
-            (select count(*) from o join n on {on} where {changed}) as updated_rows_count,
+            (select count(*) from lo o join ln n on {on} where {changed}) as updated_rows_count,
             (select coalesce(sum(c), 0)::bigint from (select count(*) as c from o group by {keys}) where c > 1)
                 as duplicate_rows_in_source_count,
             (select coalesce(sum(c), 0)::bigint from (select count(*) as c from n group by {keys}) where c > 1)
@@ -736,9 +746,6 @@ _ONE_CELL = f"""
     ),
     changed as (select * from pairs where old_balance <> new_balance)
 """
-_LINE_VALUES = (
-    "l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
-).split()
 _REPEATED_PAIRS = f"""
     with o as ({ORDERS_REPEATED}),
     last as (
@@ -818,7 +825,7 @@ def oracle_sql() -> dict[str, str]:
             f"{segment_change.format(side='n')} as new_segment"
         ),
         "keyed_composite": _keyed_summary_sql(
-            "select * from lineitem", LINEITEM_T, ["l_orderkey", "l_linenumber"], _LINE_VALUES, _ZERO_COLUMNS
+            "select * from lineitem", LINEITEM_T, ["l_orderkey", "l_linenumber"], LINE_VALUES, _ZERO_COLUMNS
         ),
         "keyed_long_texts": f"""
             with t as ({DOCUMENTS_T})

@@ -163,9 +163,15 @@ class SimilarRows:
         """Stored pairs of all rounds, and how many they are."""
         stored: list[DataFrame] = []
         found = 0
-        if self.width == 0:
+        if self.width == 0 or min(self.old_count, self.new_count) == 0:
             return stored, found
         rest = self.rows
+        if self.matcher == "lsh":
+            # Computed once: as part of a block expression it would be redone per band.
+            signature = minhash_signature(F.col("cells"), tagged=True)
+            rest = self.workspace.store(
+                rest.select("rid", "is_new", "place", signature.alias("signature"))
+            )
         for level in self._levels():
             fresh: list[DataFrame] = []
             turn = 0
@@ -193,8 +199,7 @@ class SimilarRows:
     def _levels(self) -> list[Column]:
         cells = F.col("cells")
         if self.matcher == "lsh":
-            signature = minhash_signature(cells, tagged=True)
-            return [band_blocks(signature, rows) for rows in BAND_ROWS]
+            return [band_blocks(F.col("signature"), rows) for rows in BAND_ROWS]
         columns = range(self.width)
         return [
             subset_blocks(cells, list(combinations(columns, size)))

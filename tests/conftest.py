@@ -15,6 +15,7 @@ def session() -> SparkSession:
         .appName("tallybridge-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", "/tmp/tallybridge-warehouse")
