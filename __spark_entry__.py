@@ -53,7 +53,7 @@ ORDERS_REPEATED = """
     union all
     select o_orderkey + 10000000, o_orderkey, o_custkey, 'R' from orders where o_orderkey % 500 = 3
     union all
-    select o_orderkey + 20000000, 4, o_custkey, o_orderstatus from orders where o_orderkey % 2 = 0
+    select o_orderkey + 20000000, least(o_orderkey, 4), o_custkey, o_orderstatus from orders where o_orderkey % 2 = 0
 """
 ORDERS_COPIES = """
     select * from orders

@@ -92,11 +92,14 @@ def ranked(
     many rows per group as there are slices) gives each slice its offset, and rows are
     numbered inside their slice. ``group`` columns must not be NULL.
     """
-    group = list(group)
     key = [*group, slice_col]
-    offsets = slice_offsets(
-        df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), group, slice_col, {"_n": "_before"}
-    ).select(*key, "_before")
+    before = (
+        Window.partitionBy(*group)
+        .orderBy(slice_col)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*key).orderBy(*order)
     return (
         df.join(offsets, key)
@@ -105,17 +108,6 @@ def ranked(
     )
 
 
-def slice_offsets(
-    counts: DataFrame, group: Sequence[str], slice_col: str, sums: dict[str, str]
-) -> DataFrame:
-    """Add, per group, the running sum of each count over the slices before this one."""
-    ordered = Window.partitionBy(*group).orderBy(slice_col)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        "*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(out) for c, out in sums.items()]
-    )
-
-
 def repeat_rows(df: DataFrame, count: str, copy: str, start: Column | None = None) -> DataFrame:
     """Write each row ``count`` times, numbering the copies in column ``copy`` from ``start``.
 

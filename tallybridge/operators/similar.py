@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cells import similarity
-from .groups import slice_of, slice_offsets
+from .groups import slice_of
 from .stored import Workspace
 
 BLOCK = ["b", "h1", "h2"]
@@ -236,13 +236,15 @@ class SimilarRows:
             F.count_if(~F.col("is_new")).alias("o"), F.count_if("is_new").alias("n")
         )
         whole = Window.partitionBy(*BLOCK)
-        return (
-            slice_offsets(per_slice, BLOCK, "slice", {"o": "old_before", "n": "new_before"})
-            .withColumn("old", F.sum("o").over(whole))
-            .withColumn("new", F.sum("n").over(whole))
-            .where("old > 0 and new > 0")
-            .drop("o", "n")
-        )
+        before = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        return per_slice.select(
+            *BLOCK,
+            "slice",
+            F.sum("o").over(whole).alias("old"),
+            F.sum("n").over(whole).alias("new"),
+            F.coalesce(F.sum("o").over(before), F.lit(0)).alias("old_before"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("new_before"),
+        ).where("old > 0 and new > 0")
 
     def _paired(self, choices: DataFrame, turn: int) -> DataFrame:
         """k-th old with k-th new chooser of each block: old_rid, new_rid."""
