@@ -73,9 +73,11 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     """
     if a == b:
         return a
-    numeric = INTEGRALS + FLOATS + (T.DecimalType,)
+    # True equals 1 and False equals 0.
+    integral = INTEGRALS + (T.BooleanType,)
+    numeric = integral + FLOATS + (T.DecimalType,)
     if isinstance(a, numeric) and isinstance(b, numeric):
-        if isinstance(a, INTEGRALS) and isinstance(b, INTEGRALS):
+        if isinstance(a, integral) and isinstance(b, integral):
             return T.LongType()
         if isinstance(a, FLOATS) or isinstance(b, FLOATS):
             return T.DoubleType()

@@ -63,33 +63,31 @@ def minhash_signature(cells: Column, permutations: int = PERMUTATIONS, tagged: b
     return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), least)
 
 
-def subset_blocks(cells: Column, subsets: Sequence[Sequence[int]]) -> Column:
-    """One block per column subset: its number and a 128-bit hash of the row's cells."""
-    index = F.array(*[F.array(*[F.lit(i) for i in s]).cast("array<int>") for s in subsets])
-
-    def block(subset: Column, number: Column) -> Column:
-        picked = F.transform(subset, lambda i: F.get(cells, i))
-        return F.struct(
-            number.alias("b"),
-            F.xxhash64(F.lit(1), picked).alias("h1"),
-            F.xxhash64(F.lit(2), picked).alias("h2"),
-        )
-
-    return F.transform(index, block)
-
-
-def band_blocks(signature: Column, rows: int, permutations: int = PERMUTATIONS) -> Column:
-    """One block per band of ``rows`` consecutive signature values."""
+def _block(number: int, first: Sequence[Column], second: Sequence[Column]) -> Column:
+    return F.struct(
+        F.lit(number).alias("b"),
+        F.xxhash64(F.lit(1), *first).alias("h1"),
+        F.xxhash64(F.lit(2), *second).alias("h2"),
+    )
+
+
+def subset_blocks(subsets: Sequence[Sequence[int]]) -> Column:
+    """One block per column subset: its number and a 128-bit hash of the row's cells, from
+    the cell hashes x0, y0, x1, y1, …"""
+    return F.array(
+        *[
+            _block(n, [F.col(f"x{i}") for i in subset], [F.col(f"y{i}") for i in subset])
+            for n, subset in enumerate(subsets)
+        ]
+    )
 
-    def block(band: Column) -> Column:
-        values = F.slice(signature, band * rows + 1, F.lit(rows))
-        return F.struct(
-            band.alias("b"),
-            F.xxhash64(F.lit(1), values).alias("h1"),
-            F.xxhash64(F.lit(2), values).alias("h2"),
-        )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(permutations // rows - 1)), block)
+def band_blocks(rows: int, permutations: int = PERMUTATIONS) -> Column:
+    """One block per band of ``rows`` consecutive signature values x0, x1, …"""
+    bands = [
+        [F.col(f"x{i}") for i in range(start, start + rows)] for start in range(0, permutations, rows)
+    ]
+    return F.array(*[_block(n, band, band) for n, band in enumerate(bands)])
 
 
 class SimilarRows:
@@ -165,13 +163,7 @@ class SimilarRows:
         found = 0
         if self.width == 0 or min(self.old_count, self.new_count) == 0:
             return stored, found
-        rest = self.rows
-        if self.matcher == "lsh":
-            # Computed once: as part of a block expression it would be redone per band.
-            signature = minhash_signature(F.col("cells"), tagged=True)
-            rest = self.workspace.store(
-                rest.select("rid", "is_new", "place", signature.alias("signature"))
-            )
+        rest = self.workspace.store(self._hashed())
         for level in self._levels():
             fresh: list[DataFrame] = []
             turn = 0
@@ -196,13 +188,28 @@ class SimilarRows:
                 break
         return stored, found
 
-    def _levels(self) -> list[Column]:
+    def _hashed(self) -> DataFrame:
+        """What blocks are made of, computed once, as plain columns of longs: a long text is
+        hashed once however many blocks it is in."""
         cells = F.col("cells")
         if self.matcher == "lsh":
-            return [band_blocks(F.col("signature"), rows) for rows in BAND_ROWS]
-        columns = range(self.width)
+            signed = self.rows.select(
+                "rid", "is_new", "place", minhash_signature(cells, tagged=True).alias("signature")
+            )
+            values = [F.col("signature")[i].alias(f"x{i}") for i in range(PERMUTATIONS)]
+            return signed.select("rid", "is_new", "place", *values)
+        hashes = [
+            F.xxhash64(F.lit(seed), cells[i]).alias(f"{name}{i}")
+            for name, seed in (("x", 1), ("y", 2))
+            for i in range(self.width)
+        ]
+        return self.rows.select("rid", "is_new", "place", *hashes)
+
+    def _levels(self) -> list[Column]:
+        if self.matcher == "lsh":
+            return [band_blocks(rows) for rows in BAND_ROWS]
         return [
-            subset_blocks(cells, list(combinations(columns, size)))
+            subset_blocks(list(combinations(range(self.width), size)))
             for size in range(self.width - 1, self.least_equal - 1, -1)
         ]
 
@@ -215,9 +222,8 @@ class SimilarRows:
     def _choices(self, rows: DataFrame, blocks: Column) -> DataFrame:
         """Each row's smallest block among those that hold both sides."""
         edges = rows.select(
-            "rid", "is_new", "place", slice_of(F.col("place")).alias("slice"),
-            F.explode(blocks).alias("block"),
-        ).select("rid", "is_new", "place", "slice", "block.*")
+            "rid", "is_new", "place", slice_of(F.col("place")).alias("slice"), F.inline(blocks)
+        )
         shared = self._shared_blocks(edges).select(
             *BLOCK, "slice", (F.col("old") + F.col("new")).alias("size")
         )

@@ -247,6 +247,7 @@ class Diff:
 
     def preview(self, rows: int = 5, duplicates: int = 4) -> DataFrame:
         """The first rows of each category as JSON, and how many more there are."""
+        self.store()
         counts = self.count_values
         parts = [
             ("added", self.added_rows(), counts["added_rows_count"], rows),

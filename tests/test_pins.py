@@ -136,6 +136,12 @@ def test_types_in_key_mode(spark):
     assert tb.compare(old, new, key="k", align_types=True).count_values["updated_rows_count"] == 0
 
 
+def test_booleans_are_numbers(spark):
+    old = spark.createDataFrame([(1, True, False)], "k int, a boolean, b boolean")
+    new = spark.createDataFrame([(1, 1, 0.5)], "k int, a int, b double")
+    assert [r[1] for r in rows(tb.compare(old, new, key="k").cell_changes())] == ["b"]
+
+
 def test_text_and_number_keys_never_match(spark):
     old = spark.createDataFrame([("1", "a")], "k string, v string")
     new = spark.createDataFrame([(1, "a")], KV)
