@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.cells import FIXED_WIDTH, as_text, digest
+from ..functions.cells import FIXED_WIDTH, FLOATS, as_text, digest
 
 # A group is ranked in this many slices, so a task holds at most a thousandth of it.
 SLICES = 1024
-# At most this many keys are broadcast; every other key holds under 1/1024 of the rows.
+# Of a longer list the largest are broadcast; every other key holds under 1/1024 of the rows.
 HEAVY_KEYS = 1024
+# A list of this many identities, at 32 bytes each, is broadcast whole: two megabytes.
+BROADCAST_KEYS = 65_536
 # Copies of one row that a single task writes in place; beyond it they are spread out.
 COPIES_IN_PLACE = 10_000
 
@@ -33,7 +35,9 @@ def identity_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     types = {f.name: f.dataType for f in df.schema}
     if len(columns) <= 4 and all(isinstance(types[c], FIXED_WIDTH) for c in columns):
         return [F.col(c) for c in columns]
-    return [digest([as_text(F.col(c), types[c]) for c in columns])]
+    # Adding zero makes -0.0 and 0.0, which are one group, one text.
+    cells = [F.col(c) + F.lit(0.0) if isinstance(types[c], FLOATS) else F.col(c) for c in columns]
+    return [digest([as_text(cell, types[c]) for c, cell in zip(columns, cells)])]
 
 
 def add_identity(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -53,16 +57,23 @@ def group_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
 def rows_in_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:
     """All ``rows`` whose group is listed in ``groups`` (columns ``on`` and a size ``n``).
 
-    The largest listed groups, at most ``HEAVY_KEYS`` of them, are matched by a
-    broadcast of their bounded identities and never shuffled. What remains is joined by
-    shuffle, and there no group can hold more than 1/HEAVY_KEYS of the listed rows.
-    NULL is a group of its own.
+    ``on`` are identities (see :func:`add_identity`), so a list of known length has a
+    known size. The list is counted first. None: no row is read. Up to
+    ``BROADCAST_KEYS``: a broadcast, and no row is shuffled. Beyond that the largest
+    groups are matched by broadcast and the rest by shuffle, where no group can hold
+    more than 1/HEAVY_KEYS of the listed rows. NULL is a group of its own.
     """
     on = list(on)
-    heavy = groups.orderBy(F.desc("n"), *on).limit(HEAVY_KEYS).select(*on)
-    light = _null_safe_join(groups.select(*on), F.broadcast(heavy), on, "left_anti")
-    hot_rows = _null_safe_join(rows, F.broadcast(heavy), on, "left_semi")
-    cold_rows = _null_safe_join(rows, F.broadcast(heavy), on, "left_anti")
+    listed = groups.select(*on)
+    length = listed.count()
+    if length == 0:
+        return rows.where(F.lit(False))
+    if length <= BROADCAST_KEYS:
+        return _null_safe_join(rows, F.broadcast(listed), on, "left_semi")
+    heavy = F.broadcast(groups.orderBy(F.desc("n"), *on).limit(HEAVY_KEYS).select(*on))
+    light = _null_safe_join(listed, heavy, on, "left_anti")
+    hot_rows = _null_safe_join(rows, heavy, on, "left_semi")
+    cold_rows = _null_safe_join(rows, heavy, on, "left_anti")
     return hot_rows.unionAll(_null_safe_join(cold_rows, light, on, "left_semi"))
 
 

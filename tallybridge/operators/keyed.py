@@ -19,7 +19,7 @@ from ..functions.cells import (
 )
 from ..functions.text import rendered_change
 from .columns import common_columns
-from .groups import repeated_rows, rows_in_groups
+from .groups import add_identity, rows_in_groups
 from .stored import Workspace
 
 OLD, NEW = "o", "n"
@@ -252,21 +252,24 @@ class KeyedComparison:
     def _one_sided_rows(self, side: str, flag: str, rows: str) -> DataFrame:
         """All occurrences of the keys that only one side has, with all its columns.
 
-        A key with one row has it at hand already. Only repeated keys go back to the
-        table, and missing keys are a filter on it.
+        The keys are found by their columns alone, then their rows by membership. Stored
+        keys with one row have it at hand already.
         """
         df, frame = (self.original, self._old) if side == OLD else (self.new, self._new)
+        groups = self.key_counts().where(flag).select(*self._key_names, F.col(rows).alias("n"))
+        if self._stored is None:
+            return self._rows_of(side, groups).toDF(*df.columns)
+        single = self._stored.where(F.col(flag) & (F.col(rows) == 1))
+        single = single.select(*[F.col(f"{side}.{c}") for c in frame.columns])
+        return single.unionAll(self._rows_of(side, groups.where("n > 1"))).toDF(*df.columns)
+
+    def _rows_of(self, side: str, groups: DataFrame) -> DataFrame:
+        """All rows of one side whose key is listed in ``groups``."""
+        frame = self._old if side == OLD else self._new
         keys = self._old_keys if side == OLD else self._new_keys
-        nothing: list[str] = []
-        grouped = self.keys(*((None, nothing) if side == OLD else (nothing, None)))
-        single = grouped.where(F.col(flag) & (F.col(rows) == 1)).select(
-            *[F.col(f"{side}.{c}") for c in frame.columns]
-        )
-        repeated = self.key_counts().where(F.col(flag) & (F.col(rows) > 1))
-        repeated = repeated.select(*self._key_names, F.col(rows).alias("n"))
-        tagged = frame.select("*", *keys)
-        several = rows_in_groups(tagged, repeated, self._key_names).select(*frame.columns)
-        return single.unionAll(several).toDF(*df.columns)
+        tagged, identity = add_identity(frame.select("*", *keys), self._key_names)
+        listed, _ = add_identity(groups, self._key_names)
+        return rows_in_groups(tagged, listed, identity).select(*frame.columns)
 
     def updated_rows(self) -> DataFrame:
         """New-side rows with at least one changed cell."""
@@ -329,14 +332,11 @@ class KeyedComparison:
 
     def duplicate_rows(self, side: str) -> DataFrame:
         """All rows of one side whose key occurs more than once there."""
-        df, rows = (self.original, self._old) if side == OLD else (self.new, self._new)
-        if self._stored is not None:
-            count = F.col("o_rows" if side == OLD else "n_rows")
-            keys = self._old_keys if side == OLD else self._new_keys
-            repeated = self._stored.where(count > 1).select(*self._key_names, count.alias("n"))
-            found = rows_in_groups(rows.select("*", *keys), repeated, self._key_names)
-            return found.select(*rows.columns).toDF(*df.columns)
-        return repeated_rows(rows, [f"c{df.columns.index(k)}" for k in self.key]).toDF(*df.columns)
+        df = self.original if side == OLD else self.new
+        repeated = F.col("o_rows" if side == OLD else "n_rows")
+        groups = self.key_counts().where(repeated > 1)
+        groups = groups.select(*self._key_names, repeated.alias("n"))
+        return self._rows_of(side, groups).toDF(*df.columns)
 
     def counts(self) -> DataFrame:
         """One row of counts, from one pass over both tables."""

@@ -24,9 +24,12 @@ def test_ranked_equals_row_number(spark, hot):
     assert got == {tuple(r) for r in plain.select("id", "n").collect()}
 
 
-@pytest.mark.parametrize("heavy", [1, 3, 10_000])
-def test_repeated_rows_whatever_is_heavy(hot, monkeypatch, heavy):
+@pytest.mark.parametrize("heavy, broadcast", [(1, 0), (3, 0), (10_000, 0), (1, 10_000)])
+def test_repeated_rows_whatever_is_heavy(spark, monkeypatch, heavy, broadcast):
     monkeypatch.setattr(groups, "HEAVY_KEYS", heavy)
+    monkeypatch.setattr(groups, "BROADCAST_KEYS", broadcast)
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, None).otherwise(F.col("id") % 900)
+    hot = spark.range(5000).select("id", key.alias("k"))
     got = sorted(r["id"] for r in repeated_rows(hot, ["k"]).collect())
     plain = hot.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("n > 1")
     assert got == sorted(r["id"] for r in plain.collect())
@@ -54,3 +57,8 @@ def test_repeat_rows_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in copies.collect()) == [
         ("a", 3, 3, 5, 7), ("b", 95, 95, 5, 99), ("d", 10, 10, 5, 14), ("e", 11, 11, 5, 15)
     ]
+
+
+def test_zeros_of_either_sign_are_one_group(spark):
+    df = spark.createDataFrame([("a", 0.0, 1), ("a", -0.0, 2), ("b", 0.0, 3)], "x string, y double, i int")
+    assert sorted(r["i"] for r in repeated_rows(df, ["x", "y"]).collect()) == [1, 2]

@@ -53,6 +53,13 @@ def test_only_needed_columns_are_read(spark):
     assert reads and all(re.findall(r"(\w+):", r) == ["o_orderkey"] for r in reads)
 
 
+def test_rows_of_few_keys_are_not_shuffled(spark):
+    text = plan(entry.keyed_added(spark, SF))
+    wide = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert wide and all("c1" not in w for w in wide)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_profile_reads_one_column_per_branch(spark):
     reads = re.findall(r"ReadSchema: struct<([^>]*)", plan(entry.uniqueness_profile(spark, SF)))
     assert len(reads) == 6 and all(len(re.findall(r"(\w+):", r)) == 1 for r in reads)
