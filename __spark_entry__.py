@@ -380,11 +380,11 @@ def _renamed(spark, sf):
 
 
 def schema_added_columns(spark, sf):
-    return _renamed(spark, sf).tables()["columns_only_in_target"]
+    return _renamed(spark, sf).columns_only_in_target()
 
 
 def schema_deleted_columns(spark, sf):
-    return _renamed(spark, sf).tables()["columns_only_in_source"]
+    return _renamed(spark, sf).columns_only_in_source()
 
 
 def uniqueness_profile(spark, sf):
@@ -696,7 +696,7 @@ ORDERS_JOIN = f"""
         from j
     )
 """
-_ZERO_COLUMNS = "0 as added_columns_count, 0 as deleted_columns_count"
+_ZERO_COLUMNS = "0::bigint as added_columns_count, 0::bigint as deleted_columns_count"
 
 
 def _report_lines(matched: str) -> str:
@@ -796,8 +796,8 @@ def oracle_sql() -> dict[str, str]:
     """For each registered query the same in SQL, unless ties or hashes are free."""
     keyed_counts = f"""{ORDERS_JOIN}
         select {_ZERO_COLUMNS}, added as added_rows_count, deleted as deleted_rows_count,
-               updated as updated_rows_count, 0 as duplicate_rows_in_source_count,
-               0 as duplicate_rows_in_target_count
+               updated as updated_rows_count, 0::bigint as duplicate_rows_in_source_count,
+               0::bigint as duplicate_rows_in_target_count
         from c"""
     report_net = ORDERS_JOIN + _report_lines(NET)
     report_less_added = ORDERS_JOIN + _report_lines(LESS_ADDED)
@@ -877,7 +877,7 @@ def oracle_sql() -> dict[str, str]:
             select o.vec_id, case when n.vec_id is null then 'deleted'
                                   when o.label <> n.label or o.embedding <> n.embedding then 'updated'
                                   else 'matched' end as status,
-                   1 as source_rows, (n.vec_id is not null)::bigint as target_rows
+                   1::bigint as source_rows, (n.vec_id is not null)::bigint as target_rows
             from embeddings o left join t n on o.vec_id = n.vec_id""",
         "nokey_pages": f"with t as ({PAGES_T}) select html, url from t except all select html, url from pages",
         "keyed_nulls_safe": f"with o as ({ORDERS_NULLED}) select a.o_orderkey from o a "
@@ -893,7 +893,7 @@ def oracle_sql() -> dict[str, str]:
             with o as ({ORDERS_NULL_KEYS}),
             d as (select coalesce(sum(c), 0)::bigint as n
                   from (select count(*) as c from o group by o_orderkey) where c > 1)
-            select {_ZERO_COLUMNS}, 0 as added_rows_count, 0 as deleted_rows_count, 0 as updated_rows_count,
+            select {_ZERO_COLUMNS}, 0::bigint as added_rows_count, 0::bigint as deleted_rows_count, 0::bigint as updated_rows_count,
                    n as duplicate_rows_in_source_count, n as duplicate_rows_in_target_count
             from d""",
         "repeated_key_last_wins": f"""{_REPEATED_PAIRS}
@@ -909,11 +909,11 @@ def oracle_sql() -> dict[str, str]:
             from (select *, count(*) over (partition by o_orderkey) as c from o) where c > 1""",
         "repeated_key_deleted": f"select * from ({ORDERS_REPEATED}) where o_orderkey not in "
         "(select o_orderkey from orders where o_orderkey % 4 <> 0)",
-        "types_aligned": f"select {_ZERO_COLUMNS}, 0 as added_rows_count, 0 as deleted_rows_count, "
-        "0 as updated_rows_count, 0 as duplicate_rows_in_source_count, 0 as duplicate_rows_in_target_count",
-        "types_not_aligned": f"select {_ZERO_COLUMNS}, 0 as added_rows_count, 0 as deleted_rows_count, "
-        "count(*) as updated_rows_count, 0 as duplicate_rows_in_source_count, "
-        "0 as duplicate_rows_in_target_count from orders",
+        "types_aligned": f"select {_ZERO_COLUMNS}, 0::bigint as added_rows_count, 0::bigint as deleted_rows_count, "
+        "0::bigint as updated_rows_count, 0::bigint as duplicate_rows_in_source_count, 0::bigint as duplicate_rows_in_target_count",
+        "types_not_aligned": f"select {_ZERO_COLUMNS}, 0::bigint as added_rows_count, 0::bigint as deleted_rows_count, "
+        "count(*) as updated_rows_count, 0::bigint as duplicate_rows_in_source_count, "
+        "0::bigint as duplicate_rows_in_target_count from orders",
         "schema_added_columns": "select 'o_urgency' as column_name",
         "schema_deleted_columns": "select * from (values ('o_orderdate'), ('o_orderpriority')) v(column_name)",
         "uniqueness_profile": _uniqueness("orders", ["o_orderkey", *ORDER_VALUES]),
@@ -950,7 +950,7 @@ def oracle_sql() -> dict[str, str]:
         "all_matches": _ONE_CELL + "select case when old_balance = new_balance then 'exact' else 'similar' end "
         "as match_kind, case when old_balance = new_balance then 1.0::double else 0.75::double end as similarity, "
         "c_name as old_name, c_name as new_name from pairs",
-        "nokey_updated_details": _ONE_CELL + "select row_index, 1 as changed_cells, new_balance, c_name from changed",
+        "nokey_updated_details": _ONE_CELL + "select row_index, 1::bigint as changed_cells, new_balance, c_name from changed",
         "nokey_cell_changes": _ONE_CELL + "select row_index, 'c_acctbal' as column_name, "
         "old_balance as old_number, new_balance as new_number from changed",
         "nokey_added": "select 'Added ' || c_name as c_name, cast(c_nationkey as varchar) as c_nationkey, "
@@ -961,7 +961,7 @@ def oracle_sql() -> dict[str, str]:
         "(select count(*) from t where c_custkey >= 10000000) as added_rows_count, "
         "(select count(*) from customer where c_custkey % 50 = 0) as deleted_rows_count, "
         "(select count(*) from changed) as updated_rows_count, "
-        "0 as duplicate_rows_in_source_count, 0 as duplicate_rows_in_target_count",
+        "0::bigint as duplicate_rows_in_source_count, 0::bigint as duplicate_rows_in_target_count",
         "reconciliation": report_net + REPORT_COLUMNS,
         "reconciliation_less_added": report_less_added + REPORT_COLUMNS,
         "severity": report_net + "select details, count, case when line > 4 then 'total' "
@@ -971,7 +971,7 @@ def oracle_sql() -> dict[str, str]:
         "change_score": f"{ORDERS_JOIN} select added + deleted + updated as change_score from c",
         "column_widths": " union all ".join(
             f"select {i} as ordinal, '{c}' as column_name, "
-            f"greatest(max(length(cast({c} as varchar))), {len(c)}) + 2 as width from orders"
+            f"(greatest(max(length(cast({c} as varchar))), {len(c)}) + 2)::int as width from orders"
             for i, c in enumerate(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
         ),
         "preview": ORDERS_JOIN + " union all ".join(
@@ -1017,5 +1017,5 @@ def oracle_sql() -> dict[str, str]:
         ),
         "gated_write": ORDERS_T,
         "mutated_counts": "select floor(count(*) * 0.05)::bigint as updated_rows, "
-        "floor(count(*) * 0.05)::bigint * 2 as changed_cells, 2 as most_cells_in_a_row from customer",
+        "floor(count(*) * 0.05)::bigint * 2 as changed_cells, 2::bigint as most_cells_in_a_row from customer",
     }

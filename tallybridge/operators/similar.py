@@ -25,7 +25,7 @@ verified against the threshold, and recall is high but not total.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 from itertools import combinations
 
@@ -63,31 +63,29 @@ def minhash_signature(cells: Column, permutations: int = PERMUTATIONS, tagged: b
     return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), least)
 
 
-def _block(number: int, first: Sequence[Column], second: Sequence[Column]) -> Column:
-    return F.struct(
-        F.lit(number).alias("b"),
-        F.xxhash64(F.lit(1), *first).alias("h1"),
-        F.xxhash64(F.lit(2), *second).alias("h2"),
-    )
+def _blocks(members: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Column:
+    """An array of blocks, each its number and a 128-bit hash of the named columns.
+
+    Built as one SQL text: with hundreds of blocks, column objects would take longer to
+    make than the query takes to run.
+    """
+    blocks = [
+        f"struct({n} as b, xxhash64({', '.join(['1', *first])}) as h1, "
+        f"xxhash64({', '.join(['2', *second])}) as h2)"
+        for n, (first, second) in enumerate(members)
+    ]
+    return F.expr(f"array({', '.join(blocks)})")
 
 
 def subset_blocks(subsets: Sequence[Sequence[int]]) -> Column:
-    """One block per column subset: its number and a 128-bit hash of the row's cells, from
-    the cell hashes x0, y0, x1, y1, …"""
-    return F.array(
-        *[
-            _block(n, [F.col(f"x{i}") for i in subset], [F.col(f"y{i}") for i in subset])
-            for n, subset in enumerate(subsets)
-        ]
-    )
+    """One block per column subset, from the cell hashes x0, y0, x1, y1, …"""
+    return _blocks([([f"x{i}" for i in subset], [f"y{i}" for i in subset]) for subset in subsets])
 
 
 def band_blocks(rows: int, permutations: int = PERMUTATIONS) -> Column:
     """One block per band of ``rows`` consecutive signature values x0, x1, …"""
-    bands = [
-        [F.col(f"x{i}") for i in range(start, start + rows)] for start in range(0, permutations, rows)
-    ]
-    return F.array(*[_block(n, band, band) for n, band in enumerate(bands)])
+    bands = [[f"x{i}" for i in range(b, b + rows)] for b in range(0, permutations, rows)]
+    return _blocks([(band, band) for band in bands])
 
 
 class SimilarRows:
@@ -205,13 +203,13 @@ class SimilarRows:
         ]
         return self.rows.select("rid", "is_new", "place", *hashes)
 
-    def _levels(self) -> list[Column]:
+    def _levels(self) -> Iterator[Column]:
         if self.matcher == "lsh":
-            return [band_blocks(rows) for rows in BAND_ROWS]
-        return [
-            subset_blocks(list(combinations(range(self.width), size)))
-            for size in range(self.width - 1, self.least_equal - 1, -1)
-        ]
+            for rows in BAND_ROWS:
+                yield band_blocks(rows)
+            return
+        for size in range(self.width - 1, self.least_equal - 1, -1):
+            yield subset_blocks(list(combinations(range(self.width), size)))
 
     def _without_matched(self, rows: DataFrame, pairs: list[DataFrame]) -> DataFrame:
         for stored in pairs:

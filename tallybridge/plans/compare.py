@@ -125,6 +125,12 @@ class Diff:
     def deleted_columns(self) -> list[str]:
         return deleted_columns(self.original, self.new)
 
+    def columns_only_in_target(self) -> DataFrame:
+        return column_name_frame(self.spark, self.added_columns)
+
+    def columns_only_in_source(self) -> DataFrame:
+        return column_name_frame(self.spark, self.deleted_columns)
+
     @property
     def common_columns(self) -> list[str]:
         return common_columns(self.original, self.new)
@@ -272,8 +278,8 @@ class Diff:
     def tables(self) -> dict[str, DataFrame]:
         """The report: eight tables by name."""
         return {
-            "columns_only_in_target": column_name_frame(self.spark, self.added_columns),
-            "columns_only_in_source": column_name_frame(self.spark, self.deleted_columns),
+            "columns_only_in_target": self.columns_only_in_target(),
+            "columns_only_in_source": self.columns_only_in_source(),
             "rows_only_in_target": self.added_rows(),
             "rows_only_in_source": self.deleted_rows(),
             "duplicate_rows_in_source": self.duplicates_in_source(),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.cells import NESTED, quoted
 from .compare import Diff
@@ -60,11 +59,9 @@ def write_report(
 def write_json(diff: Diff, path: str) -> dict[str, str]:
     """The whole comparison as JSON records, one folder per category."""
     diff.store()
-    names = T.StructType([T.StructField("column_name", T.StringType())])
-    spark = diff.spark
     parts = {
-        "added_columns": spark.createDataFrame([(c,) for c in diff.added_columns], names),
-        "deleted_columns": spark.createDataFrame([(c,) for c in diff.deleted_columns], names),
+        "added_columns": diff.columns_only_in_target(),
+        "deleted_columns": diff.columns_only_in_source(),
         "added_rows": diff.added_rows(),
         "deleted_rows": diff.deleted_rows(),
         "updated_rows_details": diff.updated_details(),
