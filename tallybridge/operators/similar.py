@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +41,7 @@ BLOCK = ["b", "h1", "h2"]
 WIDEST_SUBSET_TABLE = 10
 PERMUTATIONS = 64
 BAND_ROWS = (16, 8, 4, 2)
+BLOCKS_PER_ARRAY = 50
 
 
 def columns_needed(threshold: float, width: int) -> int:
@@ -63,26 +64,29 @@ def minhash_signature(cells: Column, permutations: int = PERMUTATIONS, tagged: b
     return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), least)
 
 
-def _blocks(members: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Column:
-    """An array of blocks, each its number and a 128-bit hash of the named columns.
+def _blocks(members: Sequence[tuple[Sequence[str], Sequence[str]]]) -> list[Column]:
+    """Arrays of blocks, each its number and a 128-bit hash of the named columns.
 
-    Built as one SQL text: with hundreds of blocks, column objects would take longer to
-    make than the query takes to run.
+    Built as SQL text: with hundreds of blocks, column objects would take longer to make
+    than the query takes to run. Cut into arrays that Spark can generate code for.
     """
     blocks = [
         f"struct({n} as b, xxhash64({', '.join(['1', *first])}) as h1, "
         f"xxhash64({', '.join(['2', *second])}) as h2)"
         for n, (first, second) in enumerate(members)
     ]
-    return F.expr(f"array({', '.join(blocks)})")
+    return [
+        F.expr(f"array({', '.join(blocks[i : i + BLOCKS_PER_ARRAY])})")
+        for i in range(0, len(blocks), BLOCKS_PER_ARRAY)
+    ]
 
 
-def subset_blocks(subsets: Sequence[Sequence[int]]) -> Column:
+def subset_blocks(subsets: Sequence[Sequence[int]]) -> list[Column]:
     """One block per column subset, from the cell hashes x0, y0, x1, y1, …"""
     return _blocks([([f"x{i}" for i in subset], [f"y{i}" for i in subset]) for subset in subsets])
 
 
-def band_blocks(rows: int, permutations: int = PERMUTATIONS) -> Column:
+def band_blocks(rows: int, permutations: int = PERMUTATIONS) -> list[Column]:
     """One block per band of ``rows`` consecutive signature values x0, x1, …"""
     bands = [[f"x{i}" for i in range(b, b + rows)] for b in range(0, permutations, rows)]
     return _blocks([(band, band) for band in bands])
@@ -203,7 +207,7 @@ class SimilarRows:
         ]
         return self.rows.select("rid", "is_new", "place", *hashes)
 
-    def _levels(self) -> Iterator[Column]:
+    def _levels(self) -> Iterator[list[Column]]:
         if self.matcher == "lsh":
             for rows in BAND_ROWS:
                 yield band_blocks(rows)
@@ -217,11 +221,13 @@ class SimilarRows:
             rows = rows.join(matched, "rid", "left_anti")
         return rows
 
-    def _choices(self, rows: DataFrame, blocks: Column) -> DataFrame:
+    def _choices(self, rows: DataFrame, blocks: list[Column]) -> DataFrame:
         """Each row's smallest block among those that hold both sides."""
-        edges = rows.select(
-            "rid", "is_new", "place", slice_of(F.col("place")).alias("slice"), F.inline(blocks)
-        )
+        parts = [
+            rows.select("rid", "is_new", "place", slice_of(F.col("place")).alias("slice"), F.inline(b))
+            for b in blocks
+        ]
+        edges = reduce(DataFrame.unionAll, parts)
         shared = self._shared_blocks(edges).select(
             *BLOCK, "slice", (F.col("old") + F.col("new")).alias("size")
         )
