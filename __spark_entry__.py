@@ -24,6 +24,20 @@ from tallybridge.operators.groups import repeated_rows  # noqa: E402
 from tallybridge.operators.similar import minhash_signature  # noqa: E402
 from tallybridge.operators.stored import shared_folder  # noqa: E402
 
+# The operators for training text may be absent as a whole, together with their pipeline.
+try:
+    from tallybridge.llm import queries as llm  # noqa: E402
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith("tallybridge.llm"):
+        raise
+    llm = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ModuleNotFoundError as error:
+    if error.name != "corpus_pipeline" and not (error.name or "").startswith("tallybridge.llm"):
+        raise
+    corpus_pipeline = None
+
 # -- changed versions of the tables, valid in both engines ----------------------------
 
 ORDERS_T = """
@@ -673,7 +687,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    found = {q.__name__: q for q in QUERIES}
+    if llm is not None:
+        found |= llm.QUERIES
+    if corpus_pipeline is not None:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 # -- the same in SQL ------------------------------------------------------------------
@@ -812,7 +831,7 @@ def oracle_sql() -> dict[str, str]:
         with t as ({CUSTOMER_T})
         select {{columns}} from customer o join t n on o.c_custkey = n.c_custkey where {_CUSTOMER_UPDATED}
     """
-    return {
+    found = {
         "keyed_summary": keyed_counts,
         "keyed_statuses": f"""
             with t as ({ORDERS_T})
@@ -1019,3 +1038,8 @@ def oracle_sql() -> dict[str, str]:
         "mutated_counts": "select floor(count(*) * 0.05)::bigint as updated_rows, "
         "floor(count(*) * 0.05)::bigint * 2 as changed_cells, 2::bigint as most_cells_in_a_row from customer",
     }
+    if llm is not None:
+        found |= llm.ORACLE_SQL
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
