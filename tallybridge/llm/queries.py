@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts, transducer, url_filter
+from . import line_cleaning, packing, secrets, token_counts, transducer, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -28,6 +28,20 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    ratios = secrets.train(secrets.samples_from(docs))
+    found = secrets.scan(docs, ratios, keep=["doc_id"])
+    base = [kind for kind, *_ in secrets.BASE]
+    return found.select(
+        "doc_id",
+        *[F.expr(f"size(filter(spans, x -> x.kind = {i}))").cast("long").alias(f"n_{kind}")
+          for i, kind in enumerate(base)],
+        F.sha2(secrets.rendered(F.col("spans"), base), 256).alias("base_sha256"),
+        secrets.rendered(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), TOKENIZER, packing.WINDOW)
 
@@ -46,11 +60,20 @@ def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf, "pages"), URL_RULES, keep=["page_id"])
 
 
+def op10_line_cleaning(spark: SparkSession, sf: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return line_cleaning.clean(_table(spark, sf, "documents"), keep=["doc_id"]).select(
+        "doc_id", *counts, "base_failed", "kept"
+    )
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_secret_scan": op4_secret_scan,
     "op6_packing": op6_packing,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_url_filter": op9_url_filter,
+    "op10_line_cleaning": op10_line_cleaning,
 }
 
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
