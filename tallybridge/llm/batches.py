@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shipping import ship
+
 #: Rows handed to Python at a time, so that only so many texts exist twice.
 ROWS = 256
 
@@ -38,6 +40,7 @@ def add_columns(
     ``start`` runs once per task and gives the function of one row's values. ``keep`` names the
     columns to carry along (all by default). A column that has the name of an added one gives way.
     """
+    ship(df.sparkSession)
     wanted = df.columns if keep is None else keep
     gone = {f.name.lower() for f in added.fields}
     kept = [c for c in wanted if c.lower() not in gone]

@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from tallybridge.operators.stored import Workspace
 
 from .bpe import ID_BYTES, opened, resolved
+from .shipping import ship
 
 WINDOW = 1024
 SLICES = 256
@@ -193,6 +194,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark: SparkSession = docs.sparkSession
+    ship(spark)
     workspace = Workspace(spark)
     given = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")

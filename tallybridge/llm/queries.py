@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_cleaning, packing, secrets, token_counts, transducer, url_filter
+from . import (
+    language_id,
+    line_cleaning,
+    packing,
+    secrets,
+    token_counts,
+    toxicity,
+    transducer,
+    url_filter,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -22,6 +31,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = language_id.train(docs.where(~language_id.held_out(docs)))
+    found = language_id.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", language_id.held_out(found).alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(
         _table(spark, sf, "documents"), TOKENIZER, TOKEN_LIMIT, keep=["doc_id"]
@@ -46,6 +62,13 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), TOKENIZER, packing.WINDOW)
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(labels)))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out(found).alias("held_out"), "score", "predicted")
+
+
 def op8_bpe_transducer(spark: SparkSession, sf: str) -> DataFrame:
     coded = transducer.encode(_table(spark, sf, "documents"), TOKENIZER, keep=["doc_id"])
     return transducer.decode(coded, TOKENIZER).select(
@@ -68,9 +91,11 @@ def op10_line_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op4_secret_scan": op4_secret_scan,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_url_filter": op9_url_filter,
     "op10_line_cleaning": op10_line_cleaning,

@@ -165,7 +165,7 @@ def test_line_rules(spark):
     rows = {r.doc_id: r for r in line_cleaning.clean(documents(spark, list(enumerate(texts)))).collect()}
     assert [rows[i].cleaned for i in range(4)] == [stays, stays, "short rest", "w1 w2 w3"]
     assert [rows[i].base_failed for i in range(4)] == [False, False, False, True]
-    assert [rows[i].kept for i in range(4)] == [True, False, False, False]
+    assert [rows[i].kept for i in range(4)] == [True, True, False, False]
 
 
 def test_cleaning_query(spark, empty):
