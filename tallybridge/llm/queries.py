@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from . import (
     language_id,
     line_cleaning,
+    minhash_dedup,
     packing,
     secrets,
     token_counts,
     toxicity,
     transducer,
     url_filter,
+    vector_dedup,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +46,10 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     ratios = secrets.train(secrets.samples_from(docs))
@@ -58,6 +64,10 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), TOKENIZER, packing.WINDOW)
 
@@ -93,7 +103,9 @@ def op10_line_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_bpe_transducer": op8_bpe_transducer,
