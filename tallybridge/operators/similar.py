@@ -13,13 +13,21 @@ long as a block holds both sides; rounds repeat until none does. Blocks are coun
 ranked and joined in slices, so a block that holds a third of all rows (two columns of
 few values) is spread over a thousand tasks.
 
-``subset`` blocks are exact: at level s = n-1 … t they are all subsets of s columns with
-the row's cells. After a level no two remaining rows agree in s columns, so all rows of
-a block on the next level are equally similar, any pairing is a best one, and in the end
-no acceptable pair is left. They take C(n, s) blocks per row, which is up to 252 at ten
-columns. ``lsh`` blocks are bands of a MinHash signature over the row's (column, value)
-pairs, from long bands to short; their number does not grow with the columns, a pair is
-verified against the threshold, and recall is high but not total.
+``exact`` (the default, at any width) goes down level by level: on level s no remaining pair
+agrees in more than s cells, so all pairs of a level are equally similar, any maximal
+pairing is a best one, and in the end no acceptable pair is left. Cells that only one side
+has are dead and taken out first; a row with fewer than s live cells has no partner on the level,
+and levels that no row reaches are skipped. Live cells are ordered from rare to frequent. The
+first k cells that a pair shares lie among the m-s+k rarest of either row, so rows are put
+into nodes by their rare cells only. A node with few pairs lists and verifies them; any other
+is split by a further cell, at most s deep, where all its rows agree in s cells and are
+blocks as above. A level takes m-s+1 nodes per row unless frequent cells need splitting.
+
+``subset`` blocks are exact too: at level s they are all subsets of s columns with the row's
+cells, C(n, s) per row. ``lsh`` blocks are bands of a MinHash signature over the row's
+(column, value) pairs, from long bands to short; their number does not grow with the columns, a
+pair is verified against the threshold, and recall is high but not total. Both are for
+those who ask for them by name.
 """
 
 from __future__ import annotations
@@ -38,10 +46,13 @@ from .groups import slice_of
 from .stored import Workspace
 
 BLOCK = ["b", "h1", "h2"]
-WIDEST_SUBSET_TABLE = 10
+# A node lists its pairs if they are at most this many per row.
+PAIRS_PER_ROW = 16
 PERMUTATIONS = 64
 BAND_ROWS = (16, 8, 4, 2)
 BLOCKS_PER_ARRAY = 50
+# Turns of a band level without a verified pair after which it is left.
+IDLE_TURNS = 4
 
 
 def columns_needed(threshold: float, width: int) -> int:
@@ -108,14 +119,12 @@ class SimilarRows:
         matcher: str,
         workspace: Workspace,
     ):
-        if matcher not in ("auto", "subset", "lsh"):
+        if matcher not in ("auto", "exact", "subset", "lsh"):
             raise ValueError(f"unknown matcher {matcher!r}")
         self.rows, self.width, self.workspace = rows, width, workspace
         self.threshold = threshold
         self.least_equal = columns_needed(threshold, width)
-        self.matcher = matcher
-        if matcher == "auto":
-            self.matcher = "subset" if width <= WIDEST_SUBSET_TABLE else "lsh"
+        self.matcher = "exact" if matcher == "auto" else matcher
         sides = rows.agg(
             F.count_if(~F.col("is_new")).alias("old"), F.count_if("is_new").alias("new")
         ).first()
@@ -166,9 +175,11 @@ class SimilarRows:
         if self.width == 0 or min(self.old_count, self.new_count) == 0:
             return stored, found
         rest = self.workspace.store(self._hashed())
+        if self.matcher == "exact":
+            return self._exact_run(rest)
         for level in self._levels():
             fresh: list[DataFrame] = []
-            turn = 0
+            turn = idle = 0
             while min(self.old_count, self.new_count) > found:
                 choices = self.workspace.store(self._choices(self._without_matched(rest, fresh), level))
                 most = choices.agg(F.max("blocks")).first()[0]
@@ -180,8 +191,13 @@ class SimilarRows:
                     fresh.append(pairs)
                     found += count
                 turn += 1
+                if self.matcher == "lsh":
+                    # Where pairs fail, the next turn tries other partners in the same blocks.
+                    idle = 0 if count else idle + 1
+                    if idle >= IDLE_TURNS:
+                        break
                 # With one block per row there was nothing to choose: the level is done.
-                if not count or (most == 1 and self.matcher == "subset"):
+                elif not count or most == 1:
                     break
             if fresh:
                 stored += fresh
@@ -190,6 +206,141 @@ class SimilarRows:
                 break
         return stored, found
 
+    # -- exact levels ---------------------------------------------------------------
+
+    def _exact_run(self, rest: DataFrame) -> tuple[list[DataFrame], int]:
+        stored: list[DataFrame] = []
+        found, level, live = 0, self.width - 1, None
+        while level >= self.least_equal and min(self.old_count, self.new_count) > found:
+            if live is None:
+                live = self.workspace.store(self._live(rest))
+            most = {
+                r["is_new"]: r["m"] for r in live.groupBy("is_new").agg(F.max("m").alias("m")).collect()
+            }
+            level = min(level, *(most.get(side, -1) for side in (False, True)))
+            if level < self.least_equal:
+                break
+            fresh = self._level_pairs(live.where(F.col("m") >= level), level)
+            if fresh:
+                found += sum(pairs.count() for pairs in fresh)
+                stored += fresh
+                rest, live = self.workspace.store(self._without_matched(rest, fresh)), None
+            level -= 1
+        return stored, found
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Per row its cells that both sides have, from rare to frequent, and how many: m."""
+        cells = F.array(
+            *[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("h1"), F.col(f"y{i}").alias("h2"))
+              for i in range(self.width)]
+        )
+        tokens = rows.select("rid", "is_new", "place", F.inline(cells))
+        both = (
+            tokens.groupBy("i", "h1", "h2")
+            .agg(F.count_if(~F.col("is_new")).alias("o"), F.count_if("is_new").alias("n"))
+            .where("o > 0 and n > 0")
+            .select("i", "h1", "h2", (F.col("o") + F.col("n")).alias("f"))
+        )
+        found = tokens.join(both, ["i", "h1", "h2"]).groupBy("rid").agg(
+            F.sort_array(F.collect_list(F.struct("f", "i", "h1", "h2"))).alias("live")
+        )  # at most as many as the table has columns
+        rows = rows.select("rid", "is_new", "place").join(found, "rid", "left")
+        none = F.array().cast(found.schema["live"].dataType)
+        return rows.withColumn("live", F.coalesce("live", none)).withColumn("m", F.size("live"))
+
+    def _level_pairs(self, live: DataFrame, level: int) -> list[DataFrame]:
+        """Stored pairs of one level, as many as it takes to leave none."""
+        frontier = live.withColumns(
+            {"at": F.lit(0), "n1": F.lit(0).cast("long"), "n2": F.lit(0).cast("long")}
+        )
+        listed: list[DataFrame] = []
+        for depth in range(min(1, level), level + 1):
+            if depth:
+                frontier = self._split(frontier, level, depth)
+            frontier = self.workspace.store(self._two_sided(frontier))
+            small = F.col("o") * F.col("n") <= PAIRS_PER_ROW * (F.col("o") + F.col("n"))
+            sizes = frontier.agg(F.count_if(small).alias("small"), F.count_if(~small).alias("large")).first()
+            if depth < level and sizes["small"]:
+                listed.append(self._listed(frontier.where(small), level))
+                frontier = frontier.where(~small)
+                if not sizes["large"]:
+                    frontier = None
+                    break
+            if not (sizes["large"] or sizes["small"]):
+                frontier = None
+                break
+        pairs: list[DataFrame] = []
+        if listed:
+            edges = self.workspace.store(reduce(DataFrame.unionAll, listed).distinct())
+            pairs += self._matched_edges(edges)
+        if frontier is not None:
+            blocks = frontier.select(
+                "rid", "is_new", "place", slice_of(F.col("place")).alias("slice"),
+                F.lit(0).alias("b"), F.col("n1").alias("h1"), F.col("n2").alias("h2"),
+            )
+            pairs += self._matched_blocks(blocks, pairs)
+        return pairs
+
+    def _split(self, frontier: DataFrame, level: int, depth: int) -> DataFrame:
+        """Nodes one cell deeper: the next cell among the m - level + depth rarest."""
+        reach = F.col("m") - level + depth - F.col("at")
+        cells = F.slice("live", F.col("at") + 1, F.greatest(reach, F.lit(0)))
+        deeper = frontier.select("*", F.posexplode(cells).alias("step", "cell"))
+        return deeper.select(
+            "rid", "is_new", "place", "live", "m", (F.col("at") + F.col("step") + 1).alias("at"),
+            *[F.xxhash64(F.lit(seed), "n1", "n2", "cell.i", "cell.h1", "cell.h2").alias(name)
+              for seed, name in ((1, "n1"), (2, "n2"))],
+        )
+
+    @staticmethod
+    def _two_sided(frontier: DataFrame) -> DataFrame:
+        """Rows of the nodes that hold both sides, with the node's counts o and n."""
+        sizes = (
+            frontier.groupBy("n1", "n2")
+            .agg(F.count_if(~F.col("is_new")).alias("o"), F.count_if("is_new").alias("n"))
+            .where("o > 0 and n > 0")
+        )
+        return frontier.drop("o", "n").join(sizes, ["n1", "n2"])
+
+    @staticmethod
+    def _listed(small: DataFrame, level: int) -> DataFrame:
+        """The verified pairs of small nodes."""
+        cells = F.transform("live", lambda x: F.struct(x["i"], x["h1"], x["h2"]))
+        side = small.select("n1", "n2", "is_new", "rid", "place", cells.alias("cells"))
+        old = side.where(~F.col("is_new")).drop("is_new").toDF("n1", "n2", "old_rid", "old_place", "old_cells")
+        new = side.where("is_new").drop("is_new").toDF("n1", "n2", "new_rid", "new_place", "new_cells")
+        agree = F.size(F.array_intersect("old_cells", "new_cells"))
+        return old.join(new, ["n1", "n2"]).where(agree >= level).select(
+            "old_rid", "new_rid", F.xxhash64("old_place", "new_place").alias("draw")
+        )
+
+    def _matched_edges(self, edges: DataFrame) -> list[DataFrame]:
+        """A maximal matching: pairs that are each other's first choice, until no edge is left."""
+        pairs: list[DataFrame] = []
+        while True:
+            first = edges.groupBy("old_rid").agg(F.min(F.struct("draw", "new_rid")).alias("c"))
+            first = first.select("old_rid", "c.draw", "c.new_rid")
+            accepted = first.groupBy("new_rid").agg(F.min(F.struct("draw", "old_rid")).alias("c"))
+            chosen = self.workspace.store(accepted.select("c.old_rid", "new_rid"))
+            if chosen.isEmpty():
+                return pairs
+            pairs.append(chosen)
+            left = edges.join(chosen.select("old_rid"), "old_rid", "left_anti")
+            left = left.join(chosen.select("new_rid"), "new_rid", "left_anti")
+            turned = F.xxhash64("draw", F.lit(len(pairs))).alias("draw")
+            edges = self.workspace.store(left.select("old_rid", "new_rid", turned))
+
+    def _matched_blocks(self, blocks: DataFrame, before: list[DataFrame]) -> list[DataFrame]:
+        """Rows of a block agree in enough cells: k-th with k-th, until no block has both sides."""
+        pairs: list[DataFrame] = []
+        while True:
+            left = self._without_matched(blocks, before + pairs)
+            choices = self.workspace.store(self._chosen(left))
+            chosen = self.workspace.store(self._paired(choices, 0))
+            if chosen.isEmpty():
+                return pairs
+            pairs.append(chosen)
+
     def _hashed(self) -> DataFrame:
         """What blocks are made of, computed once, as plain columns of longs: a long text is
         hashed once however many blocks it is in."""
@@ -227,7 +378,9 @@ class SimilarRows:
             rows.select("rid", "is_new", "place", slice_of(F.col("place")).alias("slice"), F.inline(b))
             for b in blocks
         ]
-        edges = reduce(DataFrame.unionAll, parts)
+        return self._chosen(reduce(DataFrame.unionAll, parts))
+
+    def _chosen(self, edges: DataFrame) -> DataFrame:
         shared = self._shared_blocks(edges).select(
             *BLOCK, "slice", (F.col("old") + F.col("new")).alias("size")
         )
@@ -270,7 +423,7 @@ class SimilarRows:
             F.max(F.when(~F.col("is_new"), F.col("rid"))).alias("old_rid"),
             F.max(F.when(F.col("is_new"), F.col("rid"))).alias("new_rid"),
         ).select("old_rid", "new_rid")
-        if self.matcher == "subset":
+        if self.matcher != "lsh":
             return pairs
         near = similarity(F.col("old_cells"), F.col("new_cells")) >= F.lit(
             self.least_equal / self.width - 1e-9
