@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,13 +51,49 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[without_nan(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
+# Nested timestamps keep their microseconds and their offset.
+NESTED_TEXT = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+# Zones in which every local time is one instant.
+ZONES_WITHOUT_CHANGES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
 def as_text(col: Column, dtype: T.DataType) -> Column:
-    """Text of a cell; nested values as JSON. NULL stays NULL."""
+    """Text of a cell; nested values as JSON, maps by their keys. NULL stays NULL.
+
+    Different values have different texts: of two instants that share a local time, when
+    clocks are put back, the one the text would not be read as carries its offset.
+    """
     if isinstance(dtype, NESTED):
-        return F.to_json(col)
+        return F.to_json(in_key_order(col, dtype), NESTED_TEXT)
     if isinstance(dtype, T.BinaryType):
         return F.hex(col)
-    return col.cast("string")
+    text = col.cast("string")
+    if isinstance(dtype, T.TimestampType):
+        session = SparkSession.getActiveSession()
+        zone = session.conf.get("spark.sql.session.timeZone") if session else ""
+        if zone not in ZONES_WITHOUT_CHANGES:
+            with_offset = F.concat(text, F.date_format(col, "xxx"))
+            text = F.when(text.try_cast("timestamp").eqNullSafe(col), text).otherwise(with_offset)
+    return text
+
+
+def in_key_order(col: Column, dtype: T.DataType) -> Column:
+    """A nested value with the entries of all its maps in key order."""
+    if "map<" not in dtype.simpleString():
+        return col
+    if isinstance(dtype, T.MapType):
+        keys = F.array_sort(F.map_keys(col))
+        values = F.transform(keys, lambda k: in_key_order(F.element_at(col, k), dtype.valueType))
+        return F.map_from_arrays(keys, values)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: in_key_order(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [in_key_order(col[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    return col
 
 
 def canonical(col: Column, dtype: T.DataType) -> Column:
@@ -93,21 +129,34 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     return None
 
 
-def _decimal_over(a: T.DataType, b: T.DataType) -> T.DecimalType:
+def _decimal_over(a: T.DataType, b: T.DataType) -> T.DecimalType | None:
     def digits(t):
         return (t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (19, 0)
 
     (ai, ascale), (bi, bscale) = digits(a), digits(b)
     scale = max(ascale, bscale)
-    return T.DecimalType(min(38, max(ai, bi) + scale), scale)
+    if max(ai, bi) + scale > 38:
+        return None
+    return T.DecimalType(max(ai, bi) + scale, scale)
+
+
+def _is_wide_pair(a: T.DataType, b: T.DataType) -> bool:
+    """Two exact numbers that no common decimal type holds."""
+    exact = INTEGRALS + (T.DecimalType,)
+    return isinstance(a, exact) and isinstance(b, exact) and wider_type(a, b) is None
+
+
+def _plain_number(col: Column) -> Column:
+    """An exact number as text without trailing zeros of its fraction."""
+    text = col.cast("string")
+    text = F.when(text.contains("."), F.regexp_replace(text, "\\.?0+$", "")).otherwise(text)
+    return F.when(text.isin("-0", ""), "0").otherwise(text)
 
 
 def _comparable(col: Column, dtype: T.DataType) -> Column:
-    # Maps and variants have no equality in Spark; their JSON text does.
-    if isinstance(dtype, (T.MapType, T.VariantType)):
-        return F.to_json(col)
-    if isinstance(dtype, (T.ArrayType, T.StructType)) and "map<" in dtype.simpleString():
-        return F.to_json(col)
+    # Maps and variants have no equality in Spark; their texts, in key order, do.
+    if isinstance(dtype, T.VariantType) or "map<" in dtype.simpleString():
+        return as_text(col, dtype)
     return col
 
 
@@ -126,6 +175,9 @@ def differs(
     change, as NaN is unequal to itself in pandas.
     """
     common = wider_type(old_type, new_type)
+    if common is None and _is_wide_pair(old_type, new_type):
+        old, new, common = _plain_number(old), _plain_number(new), T.StringType()
+        old_type = new_type = common
     if common is None and align_types:
         old, new = as_text(old, old_type), as_text(new, new_type)
         common = T.StringType()

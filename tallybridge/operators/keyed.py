@@ -14,7 +14,6 @@ from ..functions.cells import (
     differs,
     missing_to_null,
     positional,
-    quoted,
     wider_type,
 )
 from ..functions.text import rendered_change
@@ -25,10 +24,14 @@ from .stored import Workspace
 OLD, NEW = "o", "n"
 
 
-def _last(row: str, dtype: T.DataType) -> Column:
-    """The greatest row; rows holding maps, which have no order, go by the hash of their text."""
+def _last(row: str, dtype: T.DataType, places: int) -> Column:
+    """The greatest row: by its place, then by its content; rows holding maps, which have no
+    order, go by the hash of their text where their places are equal."""
     if "map<" in dtype.simpleString() or "variant" in dtype.simpleString():
-        return F.max_by(row, F.when(F.col(row).isNotNull(), F.xxhash64(F.to_json(row))))
+        order = F.struct(
+            *[F.col(f"{row}.p{i}") for i in range(places)], F.xxhash64(as_text(F.col(row), dtype))
+        )
+        return F.max_by(row, F.when(F.col(row).isNotNull(), order))
     return F.max(row)
 
 
@@ -122,10 +125,11 @@ class KeyedComparison:
             columns = [f"c{i}" for i in range(len(df.columns))]
         return [c for c in leading if c in columns] + [c for c in columns if c not in leading]
 
-    def keys(self, old_payload=None, new_payload=None) -> DataFrame:
+    def keys(self, old_payload=None, new_payload=None, every: bool = False) -> DataFrame:
         """One row per key: k0…, o, n (last rows), o_rows, n_rows, is_added, is_deleted,
-        is_common."""
-        if self._stored is not None:
+        is_common. Once stored, keys of one equal row on each side are left out, unless
+        ``every`` key is asked for."""
+        if self._stored is not None and not every:
             return self._stored
         old = self._one_side(OLD, self._payload(OLD, old_payload))
         new = self._one_side(NEW, self._payload(NEW, new_payload))
@@ -141,8 +145,8 @@ class KeyedComparison:
             )
         )
         grouped = both.groupBy(*k).agg(
-            _last(OLD, old.schema["row"].dataType).alias(OLD),
-            _last(NEW, new.schema["row"].dataType).alias(NEW),
+            _last(OLD, old.schema["row"].dataType, len(self.order_by)).alias(OLD),
+            _last(NEW, new.schema["row"].dataType, len(self.order_by)).alias(NEW),
             F.sum("oc").alias("o_rows"),
             F.sum("nc").alias("n_rows"),
         )
@@ -223,7 +227,7 @@ class KeyedComparison:
             F.when(self._changed(), "updated").when(F.col("is_common"), "matched")
         )
         old, new = self._payloads_for_cells()
-        keys = self.keys(old, new)
+        keys = self.keys(old, new, every=True)
         kept = keys.select(
             *self._key_names, "o_rows", "n_rows", "is_added", "is_deleted", status.alias("s")
         )
@@ -307,13 +311,11 @@ class KeyedComparison:
         old, new = self._payloads_for_cells()
         key_positions = [f"c{self.new.columns.index(k)}" for k in self.key]
         changed = self.keys(old, list(dict.fromkeys(new + key_positions))).where(self._changed())
-        return changed.select(
-            *self._key_output(), F.explode(self._changes()).alias("column_name", "v")
-        ).select(
-            *[quoted(k) for k in self.key],
-            "column_name",
-            F.col("v.old").alias("old_value"),
-            F.col("v.new").alias("new_value"),
+        names = [f"_k{i}" for i in range(len(self.key))]
+        keys = [k.alias(name) for k, name in zip(self._key_output(), names)]
+        cells = changed.select(*keys, F.explode(self._changes()).alias("_column", "_v"))
+        return cells.select(*names, "_column", "_v.old", "_v.new").toDF(
+            *self.key, "column_name", "old_value", "new_value"
         )
 
     def rendered_updates(self, missing: str = "") -> DataFrame:

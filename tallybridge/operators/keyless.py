@@ -219,11 +219,13 @@ class KeylessComparison:
             F.max("new_copy").alias("n")
         )
         rows = rows_in_groups(rows, wanted, ["d"])
-        span = self._side(NEW).agg(F.min(position).alias("lo"), F.max(position).alias("hi")).first()
-        step = ((span["hi"] or 0) - (span["lo"] or 0)) // SLICES + 1
-        rows = rows.withColumn(
-            "slice", F.floor((F.col("row_index") - F.lit(span["lo"] or 0)) / F.lit(step)).cast("int")
-        )
+        # Slices hold about equally many rows, wherever the positions lie.
+        shares = [i / SLICES for i in range(1, SLICES)]
+        bounds = self._side(NEW).agg(
+            F.percentile_approx(position, F.lit(shares), F.lit(10 * SLICES)).alias("b")
+        ).first()["b"]
+        bounds = sorted(set(bounds or []))
+        rows = rows.withColumn("slice", _bounds_below(F.col("row_index"), bounds))
         return ranked(rows, ["d"], "slice", [F.col("row_index")], "new_copy").select(
             "d", F.col("new_copy").cast("long").alias("new_copy"), "row_index"
         )
@@ -298,3 +300,15 @@ class KeylessComparison:
 
 def _cells_digest(cells: str, width: int) -> Column:
     return digest([F.col(cells)[i] for i in range(width)])
+
+
+def _bounds_below(value: Column, bounds: list[int], step: int = 32) -> Column:
+    """How many of the ascending bounds are at most the value: every 32nd first, then those after."""
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda x: x <= value))
+
+    every = F.array(*[F.lit(x) for x in bounds]).cast("array<long>")
+    coarse = F.array(*[F.lit(x) for x in bounds[step - 1 :: step]]).cast("array<long>")
+    passed = below(coarse) * step
+    return passed + below(F.slice(every, passed + 1, F.lit(step)))

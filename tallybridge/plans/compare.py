@@ -110,6 +110,7 @@ class Diff:
         self.original, self.new = comparison.original, comparison.new
         self.spark = self.original.sparkSession
         self._workspace: Workspace | None = getattr(comparison, "workspace", None)
+        self._kept: dict[str, DataFrame] = {}
 
     # -- columns --------------------------------------------------------------------
 
@@ -138,33 +139,57 @@ class Diff:
     # -- rows -----------------------------------------------------------------------
 
     def added_rows(self) -> DataFrame:
-        return self.comparison.added_rows()
+        return self._answer("added_rows")
 
     def deleted_rows(self) -> DataFrame:
-        return self.comparison.deleted_rows()
+        return self._answer("deleted_rows")
 
     def updated_rows(self) -> DataFrame:
-        return self.comparison.updated_rows()
+        return self._answer("updated_rows")
 
     def updated_details(self) -> DataFrame:
-        return self.comparison.updated_details()
+        return self._answer("updated_details")
 
     def cell_changes(self) -> DataFrame:
-        return self.comparison.cell_changes()
+        return self._answer("cell_changes")
 
     def rendered_updates(self, missing: str = "") -> DataFrame:
-        return self.comparison.rendered_updates(missing)
+        return self._answer("rendered_updates", missing)
 
     def duplicates_in_source(self) -> DataFrame:
-        return self.comparison.duplicate_rows(OLD)
+        return self._answer("duplicate_rows", OLD)
 
     def duplicates_in_target(self) -> DataFrame:
-        return self.comparison.duplicate_rows(NEW)
+        return self._answer("duplicate_rows", NEW)
+
+    def _answer(self, name: str, *arguments: str) -> DataFrame:
+        kept = self._kept.get(" ".join([name, *arguments]))
+        return kept if kept is not None else getattr(self.comparison, name)(*arguments)
+
+    def detach(self) -> Diff:
+        """Keep all results, so that they outlive a change of the two inputs; ``close()`` drops
+        them. Only rows that differ or repeat are written."""
+        self.store()
+        if self._workspace is None:
+            self._workspace = Workspace(self.spark)
+        wanted = [("added_rows",), ("deleted_rows",), ("updated_rows",), ("updated_details",),
+                  ("cell_changes",), ("rendered_updates", ""), ("duplicate_rows", OLD),
+                  ("duplicate_rows", NEW)]
+        counts = self._workspace.store(self.counts())
+        for name, *arguments in wanted:
+            rows = self._answer(name, *arguments)
+            # stored under plain names, since a table's own may differ in case only
+            plain = self._workspace.store(rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]))
+            self._kept[" ".join([name, *arguments])] = plain.toDF(*rows.columns)
+        self._kept["counts"] = counts
+        return self
 
     # -- counts ---------------------------------------------------------------------
 
     def counts(self) -> DataFrame:
         """One row: the seven summary counts, matched_keys, source_rows, target_rows."""
+        if "counts" in self._kept:
+            return self._kept["counts"]
         counts = self.comparison.counts()
         return counts.select(
             F.lit(len(self.added_columns)).cast("long").alias("added_columns_count"),
@@ -290,6 +315,7 @@ class Diff:
 
     def table_widths(self) -> DataFrame:
         """Display width of every column of every report table that has rows."""
+        self.store()
         widths = None
         for name, df in self.tables().items():
             part = column_widths(df).select(F.lit(name).alias("table"), "*")
@@ -309,6 +335,7 @@ class Diff:
         if self._workspace is not None:
             self._workspace.drop()
             self._workspace = None
+            self._kept.clear()
 
     def __enter__(self) -> Diff:
         return self

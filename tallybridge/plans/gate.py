@@ -16,10 +16,21 @@ Policy = str | Callable[[dict[str, int]], bool]
 
 @dataclass
 class GateResult:
+    """What was decided; ``diff`` still answers after the write, until ``close()``."""
+
     diff: Diff
     change_score: int
     written: bool
 
+    def close(self) -> None:
+        self.diff.close()
+
+    def __enter__(self) -> GateResult:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
 
 def write_if_changed(
     df: DataFrame,
@@ -34,7 +45,7 @@ def write_if_changed(
 
     ``policy`` is ``if_changed``, ``always``, ``never``, or a function of the summary
     counts. ``original`` is usually the table itself, so the new one is written beside
-    it and swapped in.
+    it and swapped in, and what the comparison found is kept first. Close the result to drop that.
     """
     diff = compare(original, df, **compare_options)
     counts = diff.count_values
@@ -46,5 +57,6 @@ def write_if_changed(
     else:
         raise ValueError(f"unknown policy {policy!r}")
     if wanted:
+        diff.detach()
         tables.replace_table(df, table, database)
     return GateResult(diff, score, wanted)

@@ -17,7 +17,7 @@ FALSE_TOKENS = ["False", "FALSE", "false"]
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|inf|Inf|INF|infinity|Infinity)\s*$"
 
-OVERFLOW = "_beyond_header"
+MISFIT = "_misfit"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -35,16 +35,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"no columns in {path}")
     names = _distinct_names(list(header))
     fields = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*fields, OVERFLOW]])
-    raw = reader.option("header", True).schema(schema).csv(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*fields, MISFIT]])
+    # The reader puts a line with more or fewer fields than the header into MISFIT.
+    raw = reader.options(header=True, columnNameOfCorruptRecord=MISFIT).schema(schema).csv(path)
     cells = [F.when(~F.col(c).isin(MISSING_TOKENS), F.col(c)).alias(c) for c in fields]
-    types, overflow = infer_types(raw.select(*cells, OVERFLOW), fields)
+    surplus = F.when(_separators(F.col(MISFIT)) >= len(fields), 1).alias(MISFIT)
+    types, overflow = infer_types(raw.select(*cells, surplus), fields)
     if overflow:
         raise ValueError(f"{path} has lines with more fields than its header")
     typed = [typed_cell(F.col(c), types[c]).alias(c) for c in fields]
     return raw.select(*cells).select(*typed).toDF(*names)
 
 
+def _separators(line: Column) -> Column:
+    """Commas of a line that are not inside quotes."""
+    bare = F.regexp_replace(line, '"([^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+
+
 def _may_break_lines_in_cells(spark: SparkSession, path: str) -> bool:
     """True if some line has an odd number of quotes, so that a cell may go on after it."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
@@ -70,7 +78,7 @@ def infer_types(cells: DataFrame, fields: list[str]) -> tuple[dict[str, T.DataTy
 
     Whole numbers are bigint only in a column without missing cells, else double.
     """
-    aggregates = [F.count(F.lit(1)).alias("rows"), F.count(OVERFLOW).alias("overflow")]
+    aggregates = [F.count(F.lit(1)).alias("rows"), F.count(MISFIT).alias("overflow")]
     for c in fields:
         col = F.col(c)
         integer = col.rlike(INTEGER)

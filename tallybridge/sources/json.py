@@ -1,8 +1,10 @@
-"""JSON documents: an array of records, or one object."""
+"""JSON documents: an array of records or values, or one object."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,30 +14,76 @@ CORRUPT = "_corrupt_record"
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Read one JSON document.
 
-    An array gives a row per object. An object whose fields are all arrays gives a
-    column per field, short ones padded with NULL; any other object gives one row.
-    Scalars, several documents in one file, and broken documents are errors.
+    An array of objects gives a row per object, one of arrays a column per place ("0", "1", …), one
+    of other values a column "0". An object whose fields are all arrays gives a column per
+    field, short ones padded with NULL; any other object gives one row. Scalars, several
+    documents in one file, and broken documents are errors.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    head = lines.limit(2).select(
-        F.substring(F.trim("value"), 1, 1).alias("first"),
-        F.try_parse_json("value").isNotNull().alias("whole"),
-    ).collect()
-    if not head:
+    # A document cannot be split, so its text is one cell.
+    text = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    first = F.regexp_extract("value", r"^\s*(.)", 1).alias("first")
+    second = F.regexp_extract("value", r"^\s*\[\s*(.)", 1).alias("second")
+    head = text.select(first, second, _is_one_document(F.col("value")).alias("one")).first()
+    if head is None:
         raise ValueError(f"{path} is empty")
-    if head[0]["first"] not in ("[", "{"):
+    if head["first"] not in ("[", "{"):
         raise ValueError(f"{path} holds neither an array nor an object")
-    if len(head) > 1 and head[0]["whole"]:
-        raise ValueError(f"{path} holds more than one document")
+    if not head["one"]:
+        raise ValueError(f"{path} does not hold exactly one JSON document")
+    if head["first"] == "[" and head["second"] not in ("{", "]"):
+        return _array_of_values(text, path)
     df = spark.read.option("multiLine", True).json(path)
     if CORRUPT in df.columns:
         raise ValueError(f"{path} is not a JSON array of objects or an object")
-    if head[0]["first"] == "{" and df.columns and _all_arrays(df):
+    if head["first"] == "{" and df.columns and _all_arrays(df):
         names = df.columns
         columns = df.toDF(*[f"c{i}" for i in range(len(names))])
         return columns.select(F.inline_outer(F.arrays_zip(*columns.columns))).toDF(*names)
     return df
 
 
+def _is_one_document(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it, which Spark's own readers let pass."""
+
+    def whole(value: str) -> bool:
+        try:
+            json.loads(value)
+        except ValueError:
+            return False
+        return True
+
+    return F.udf(whole, "boolean")(text)
+
+
+def _array_of_values(text: DataFrame, path: str) -> DataFrame:
+    """An array of scalars, or of arrays: columns by place, types from all values."""
+    values = text.select(F.from_json("value", "array<variant>").alias("a")).select(
+        F.posexplode("a").alias("row", "v")
+    )
+    kinds = values.agg(
+        F.count_if(F.schema_of_variant("v").startswith("ARRAY")).alias("arrays"),
+        F.count_if(F.schema_of_variant("v").startswith("OBJECT")).alias("objects"),
+        F.count(F.lit(1)).alias("all"),
+        F.max(F.size(F.try_variant_get("v", "$", "array<variant>"))).alias("width"),
+    ).first()
+    if kinds["objects"] or kinds["arrays"] not in (0, kinds["all"]):
+        raise ValueError(f"{path} is an array of values of different kinds")
+    places = ["$"] if not kinds["arrays"] else [f"$[{i}]" for i in range(kinds["width"] or 0)]
+    cells = [F.try_variant_get("v", place, "variant") for place in places]
+    if not cells:
+        raise ValueError(f"no columns in {path}")
+    types = values.agg(*[F.schema_of_variant_agg(c).alias(f"t{i}") for i, c in enumerate(cells)]).first()
+    return values.select(
+        *[F.try_variant_get("v", place, _column_type(types[i])).alias(str(i)) for i, place in enumerate(places)]
+    )
+
+
+def _column_type(found: str) -> str:
+    """The type of a column of variants: numbers with a fraction are double, mixtures text."""
+    if found.startswith("DECIMAL"):
+        return "double"
+    return "string" if found in ("VARIANT", "VOID") or found.startswith("OBJECT") else found
+
+
 def _all_arrays(df: DataFrame) -> bool:
     return all(isinstance(f.dataType, T.ArrayType) for f in df.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,20 +81,25 @@ def write_table(df: DataFrame, table: str, database: str | None = None, fmt: str
 def replace_table(df: DataFrame, table: str, database: str | None = None, fmt: str = "parquet") -> None:
     """Replace a table that ``df`` itself may be reading: write beside it, then swap names.
 
-    The old table keeps its data until the new one is complete.
+    The old table keeps its data until the new one is complete; a swap that fails half way is
+    undone. Names beside the table's are fresh, so no table of a user's is touched.
     """
     spark = df.sparkSession
-    staged, retired = f"{table}__staged", f"{table}__retired"
+    mark = uuid.uuid4().hex[:12]
     target = qualified(table, database)
-    spark.sql(f"DROP TABLE IF EXISTS {qualified(staged, database)}")
-    write_table(df, staged, database, fmt)
-    if spark.catalog.tableExists(target):
-        declared = declared_key(spark, table, database)
-        spark.sql(f"DROP TABLE IF EXISTS {qualified(retired, database)}")
-        spark.sql(f"ALTER TABLE {target} RENAME TO {qualified(retired, database)}")
-        spark.sql(f"ALTER TABLE {qualified(staged, database)} RENAME TO {target}")
-        spark.sql(f"DROP TABLE {qualified(retired, database)}")
-        if declared and set(declared) <= set(df.columns):
-            declare_key(spark, table, declared, database)
-    else:
-        spark.sql(f"ALTER TABLE {qualified(staged, database)} RENAME TO {target}")
+    staged, retired = (qualified(f"{table}__{kind}_{mark}", database) for kind in ("new", "old"))
+    df.write.mode("error").format(fmt).saveAsTable(staged)
+    if not spark.catalog.tableExists(target):
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {target}")
+        return
+    declared = declared_key(spark, table, database)
+    spark.sql(f"ALTER TABLE {target} RENAME TO {retired}")
+    try:
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {target}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {retired} RENAME TO {target}")
+        spark.sql(f"DROP TABLE {staged}")
+        raise
+    spark.sql(f"DROP TABLE {retired}")
+    if declared and set(declared) <= set(df.columns):
+        declare_key(spark, table, declared, database)
