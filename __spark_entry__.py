@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import tallybridge as tb  # noqa: E402
-from tallybridge.functions.cells import canonical, similarity  # noqa: E402
+from tallybridge.functions.cells import canonical, digest, similarity  # noqa: E402
 from tallybridge.functions.text import safe_table_name_expr, split_change  # noqa: E402
 from tallybridge.operators.groups import repeated_rows  # noqa: E402
-from tallybridge.operators.similar import minhash_signature  # noqa: E402
+from tallybridge.operators.similar import columns_needed, minhash_signature  # noqa: E402
 from tallybridge.operators.stored import shared_folder  # noqa: E402
+from tallybridge.sources import tables  # noqa: E402
 
 # The operators for training text may be absent as a whole, together with their pipeline.
 try:
@@ -58,16 +59,19 @@ ORDERS_NULLED = """
 # A third of all rows has no key.
 ORDERS_NULL_KEYS = """
     select case when o_orderkey % 3 = 2 then null else o_orderkey end as o_orderkey,
-           o_custkey, o_orderstatus
+           o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
     from orders
 """
 # Copies with another status, a later position, and one key that a third of the rows share.
 ORDERS_REPEATED = """
-    select o_orderkey as place, o_orderkey, o_custkey, o_orderstatus from orders
+    select o_orderkey as place, * from orders
     union all
-    select o_orderkey + 10000000, o_orderkey, o_custkey, 'R' from orders where o_orderkey % 500 = 3
+    select o_orderkey + 10000000, o_orderkey, o_custkey, 'R', o_totalprice, o_orderdate, o_orderpriority
+    from orders where o_orderkey % 500 = 3
     union all
-    select o_orderkey + 20000000, least(o_orderkey, 4), o_custkey, o_orderstatus from orders where o_orderkey % 2 = 0
+    select o_orderkey + 20000000, least(o_orderkey, 4), o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+           o_orderpriority
+    from orders where o_orderkey % 2 = 0
 """
 ORDERS_COPIES = """
     select * from orders
@@ -247,14 +251,16 @@ def keyed_updated_details(spark, sf):
 
 def _customers_keyed(spark, sf):
     return tb.compare(
-        _table(spark, sf, "customer").drop("c_acctbal"),
-        _sql(spark, sf, CUSTOMER_T).drop("c_acctbal"),
+        _table(spark, sf, "customer"),
+        _sql(spark, sf, CUSTOMER_T),
         key="c_custkey",
     )
 
 
 def rendered_updates(spark, sf):
-    return _customers_keyed(spark, sf).rendered_updates()
+    # engines print numbers differently, so the balance is compared as a number
+    updates = _customers_keyed(spark, sf).rendered_updates()
+    return updates.withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 
 def split_rendered_updates(spark, sf):
@@ -345,9 +351,7 @@ def null_keys_matched(spark, sf):
 def _repeated(spark, sf):
     return tb.compare(
         _sql(spark, sf, ORDERS_REPEATED),
-        _table(spark, sf, "orders").select(
-            F.col("o_orderkey").alias("place"), "o_orderkey", "o_custkey", "o_orderstatus"
-        ),
+        _table(spark, sf, "orders").select(F.col("o_orderkey").alias("place"), "*"),
         key="o_orderkey",
         order_by="place",
     )
@@ -355,7 +359,13 @@ def _repeated(spark, sf):
 
 def repeated_key_last_wins(spark, sf):
     changes = _repeated(spark, sf).cell_changes()
-    return changes.select("o_orderkey", "column_name", "old_value", "new_value")
+    price = F.col("column_name") == "o_totalprice"
+    return changes.select(
+        "o_orderkey",
+        "column_name",
+        *[F.when(price, F.col(c).cast("double").cast("decimal(18,2)").cast("string")).otherwise(F.col(c)).alias(c)
+          for c in ("old_value", "new_value")],
+    )
 
 
 def repeated_key_rows(spark, sf):
@@ -366,7 +376,7 @@ def repeated_key_deleted(spark, sf):
     """All occurrences of keys that only the original has, one of which is a third of it."""
     original = _sql(spark, sf, ORDERS_REPEATED)
     new = _table(spark, sf, "orders").where("o_orderkey % 4 <> 0")
-    new = new.select(F.col("o_orderkey").alias("place"), "o_orderkey", "o_custkey", "o_orderstatus")
+    new = new.select(F.col("o_orderkey").alias("place"), "*")
     return tb.compare(original, new, key="o_orderkey", order_by="place").deleted_rows()
 
 
@@ -393,12 +403,25 @@ def _renamed(spark, sf):
     return tb.compare(orders, new, key="o_orderkey")
 
 
+def _filled(names: DataFrame, df: DataFrame) -> DataFrame:
+    """The named columns with the number of their values in a table."""
+    columns = [c for (c,) in names.collect()]
+    counts = df.agg(*[F.count(c).alias(c) for c in columns])
+    return counts.unpivot([], columns, "column_name", "filled")
+
+
 def schema_added_columns(spark, sf):
-    return _renamed(spark, sf).columns_only_in_target()
+    diff = _renamed(spark, sf)
+    return _filled(diff.columns_only_in_target(), diff.new)
 
 
 def schema_deleted_columns(spark, sf):
-    return _renamed(spark, sf).columns_only_in_source()
+    diff = _renamed(spark, sf)
+    return _filled(diff.columns_only_in_source(), diff.original)
+
+
+def schema_summary(spark, sf):
+    return _renamed(spark, sf).summary()
 
 
 def uniqueness_profile(spark, sf):
@@ -522,29 +545,82 @@ def nokey_cell_changes(spark, sf):
     )
 
 
+def _with_balance(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
+
+
 def nokey_added(spark, sf):
-    return _customer_nokey(spark, sf).added_rows().select("c_name", "c_nationkey", "c_mktsegment")
+    return _with_balance(_customer_nokey(spark, sf).added_rows())
 
 
 def nokey_deleted(spark, sf):
-    return _customer_nokey(spark, sf).deleted_rows().select("c_name", "c_nationkey", "c_mktsegment")
+    return _with_balance(_customer_nokey(spark, sf).deleted_rows())
 
 
 def nokey_summary(spark, sf):
     return _customer_nokey(spark, sf).summary()
 
 
+def _matching_facts(diff: tb.Diff) -> DataFrame:
+    """What holds for every right matching at the threshold, whatever its ties."""
+    comparison = diff.comparison
+    pairs = comparison.similar_matches().agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.coalesce(F.min("similarity") >= comparison.threshold - 1e-9, F.lit(True)).alias("all_similar"),
+    )
+    cells = len(comparison.common)
+    need = columns_needed(comparison.threshold, cells)
+
+    def tokens(rows: DataFrame, side: str) -> DataFrame:
+        texts = F.array(*[F.col(f"c{i}") for i in range(cells)])
+        numbered = rows.toDF(*[f"c{i}" for i in range(cells)]).withColumn(side, F.xxhash64(texts, F.rand(1)))
+        return numbered.select(side, F.posexplode(texts).alias("place", "cell"))
+
+    left = tokens(diff.deleted_rows(), "old").join(tokens(diff.added_rows(), "new"), ["place", "cell"])
+    acceptable = left.groupBy("old", "new").count().where(F.col("count") >= need)
+    sides = diff.counts().select(
+        (F.col("deleted_rows_count") + F.col("updated_rows_count")).alias("old_rows"),
+        (F.col("added_rows_count") + F.col("updated_rows_count")).alias("new_rows"),
+        F.col("updated_rows_count").alias("updated"),
+    )
+    return (
+        sides.join(pairs, F.col("updated") == F.col("pairs"), "left")
+        .join(acceptable.agg(F.count(F.lit(1)).alias("acceptable_left")), F.lit(True))
+        .select("old_rows", "new_rows", F.col("pairs").isNotNull().alias("one_to_one"), "all_similar", "acceptable_left")
+    )
+
+
 def similar_orders(spark, sf):
-    """Default threshold: ties between equally similar rows are free, so rows only."""
-    return _orders_nokey(spark, sf).comparison.similar_matches().groupBy("similarity").count()
+    """Default threshold, two of five cells: ties are free, these facts are not."""
+    return _matching_facts(_orders_nokey(spark, sf))
+
+
+def similar_lineitems(spark, sf):
+    """Eleven columns at the default threshold, four equal cells."""
+    return _matching_facts(tb.compare(_table(spark, sf, "lineitem"), _sql(spark, sf, LINEITEM_T)))
 
 
 def similar_lineitems_by_bands(spark, sf):
-    """Eleven columns: MinHash bands instead of column subsets."""
-    diff = tb.compare(_table(spark, sf, "lineitem"), _sql(spark, sf, LINEITEM_T))
+    """The same by MinHash bands, for those who ask for them."""
+    diff = tb.compare(_table(spark, sf, "lineitem"), _sql(spark, sf, LINEITEM_T), matcher="lsh")
     return diff.comparison.similar_matches().groupBy("similarity").count()
 
 
+def minhash_estimates(spark, sf):
+    """Per customer, whether the signatures of its two versions estimate their overlap."""
+    old, new = _table(spark, sf, "customer"), _sql(spark, sf, CUSTOMER_T)
+
+    def cells(df, name):
+        texts = F.array(*[canonical(F.col(f.name), f.dataType) for f in df.schema])
+        return df.select("c_custkey", texts.alias(name), minhash_signature(texts).alias(f"{name}_signature"))
+
+    both = cells(old, "old").join(cells(new, "new"), "c_custkey")
+    exact = F.size(F.array_intersect("old", "new")) / F.size(F.array_union("old", "new"))
+    return both.select(
+        "c_custkey", (F.abs(similarity(F.col("old_signature"), F.col("new_signature")) - exact) < 0.35).alias("within")
+    )
+
+
 def reconciliation(spark, sf):
     return _orders_diff(spark, sf).reconciliation()
 
@@ -566,8 +642,7 @@ def change_score(spark, sf):
 
 
 def column_widths(spark, sf):
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    return tb.column_widths(_table(spark, sf, "orders").select(*columns))
+    return tb.column_widths(_table(spark, sf, "orders"))
 
 
 def preview(spark, sf):
@@ -647,6 +722,120 @@ def gated_write(spark, sf):
     return tb.select(spark, "orders", database)
 
 
+def gated_write_report(spark, sf):
+    """What the comparison found, asked for after the table was replaced."""
+    database = f"tallybridge_{uuid.uuid4().hex}"
+    tb.use_database(spark, database, "new", _new_folder(spark))
+    tb.write_table(_table(spark, sf, "orders"), "orders", database)
+    stored = tb.select(spark, "orders", database)
+    result = tb.write_if_changed(
+        _sql(spark, sf, ORDERS_T), "orders", stored, database=database, key="o_orderkey"
+    )
+    return result.diff.reconciliation()
+
+
+def _documents_by_nation(spark, sf, document: str, more: str = "''") -> str:
+    """A folder with one JSON document of suppliers per nation, nation_<key>.json."""
+    folder = _new_folder(spark)
+    rows = _table(spark, sf, "supplier").groupBy("s_nationkey").agg(
+        F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal"))).alias("s")
+    )  # a document is one cell
+    texts = rows.select("s_nationkey", F.concat(F.expr(document), F.expr(more)).alias("value"))
+    texts.write.partitionBy("s_nationkey").text(f"{folder}/written")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{folder}/documents"))
+    for found in fs.globStatus(path(f"{folder}/written/s_nationkey=*/part-*")):
+        nation = found.getPath().getParent().getName().split("=")[1]
+        fs.rename(found.getPath(), path(f"{folder}/documents/nation_{nation}.json"))
+    return f"{folder}/documents"
+
+
+def _united(loaded: tb.LoadResult) -> DataFrame:
+    whole = None
+    for df in loaded.frames.values():
+        whole = df if whole is None else whole.unionByName(df)
+    return whole.select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+def json_array(spark, sf):
+    """One JSON array of records per nation, loaded as a folder."""
+    return _united(tb.load_files(spark, _documents_by_nation(spark, sf, "to_json(s)")))
+
+
+def json_object(spark, sf):
+    """One JSON object of columns per nation, loaded as a folder."""
+    columns = ", ".join(f"'{c}', transform(s, x -> x.{c})" for c in ("s_suppkey", "s_name", "s_acctbal"))
+    return _united(tb.load_files(spark, _documents_by_nation(spark, sf, f"to_json(named_struct({columns}))")))
+
+
+def load_manifest(spark, sf):
+    """Names and states of a folder's files; a second document in a file is an error."""
+    folder = _documents_by_nation(spark, sf, "to_json(s)", "if(s_nationkey % 5 = 0, to_json(s), '')")
+    return tb.load_files(spark, folder, extension=".json").manifest().select("name", "status")
+
+
+def load_preview(spark, sf):
+    """The first three rows of every frame of a folder."""
+    loaded = tb.load_files(spark, _documents_by_nation(spark, sf, "to_json(s)"))
+    return loaded.preview(3).select("name", F.get_json_object("row_json", "$.s_suppkey").cast("long").alias("s_suppkey"))
+
+
+def table_catalog(spark, sf):
+    """Tables of a database with the key of each and where it comes from."""
+    database = f"tallybridge_{uuid.uuid4().hex}"
+    tb.use_database(spark, database, "new", _new_folder(spark))
+    for name in ("orders", "lineitem", "nation"):
+        tb.write_table(_table(spark, sf, name), name, database)
+    tables.declare_key(spark, "lineitem", ["l_orderkey", "l_linenumber"], database)
+    found = [
+        (r.table_name, ",".join(key), origin)
+        for r in tb.show_tables(spark, database).collect()
+        for key, origin in [tables.discover_key(spark, r.table_name, database)]
+    ]
+    return spark.createDataFrame(found, "table_name string, key string, origin string")
+
+
+def first_positions(spark, sf):
+    """A row-range prefix by position."""
+    indexed = tb.with_row_index(_table(spark, sf, "orders"))
+    return tb.first_rows(indexed, 40).select("o_orderkey", "_row_idx")
+
+
+def events_shifted(spark, sf):
+    """Instants one microsecond apart are different rows, without a key."""
+    events = _table(spark, sf, "events").select("event_id", "ts", F.struct("ts").alias("nested"))
+    moved = F.expr("timestampadd(microsecond, 1, ts)")
+    nested = F.struct(F.when(F.col("event_id") % 3 == 0, moved).otherwise(F.col("nested.ts")).alias("ts"))
+    new = events.select(
+        "event_id",
+        F.when(F.col("event_id") % 2 == 0, moved).otherwise(F.col("ts")).alias("ts"),
+        nested.alias("nested"),
+    )
+    return tb.compare(events, new).comparison.unmatched("n").select(F.col("event_id").cast("long").alias("event_id"))
+
+
+def utf8_digests(spark, sf):
+    """Fingerprints of texts with letters beyond ASCII, per document."""
+    documents = _table(spark, sf, "documents")
+    return documents.select("doc_id", F.lower(F.hex(digest([F.col("lang"), F.col("text")]))).alias("fingerprint"))
+
+
+def mutated_texts(spark, sf):
+    """Every name a mutation made follows its template, and nothing else changed."""
+    customer = _table(spark, sf, "customer")
+    mutated = tb.mutate(
+        customer, {"c_name": tb.template("Updated_{}"), "c_mktsegment": tb.number_text("9876", 100000, 999999)},
+        row_id="c_custkey", fraction=0.05, seed=7,
+    )
+    changes = tb.compare(customer, mutated, key="c_custkey").cell_changes()
+    good = F.when(
+        F.col("column_name") == "c_name", F.col("new_value") == F.concat(F.lit("Updated_"), F.col("c_custkey"))
+    ).otherwise(F.col("new_value").rlike("^9876[1-9][0-9]{5}$"))
+    return changes.groupBy("column_name").agg(F.bool_and(good).alias("follows"))
+
+
 def mutated_counts(spark, sf):
     """Seeded changes in five percent of the rows, found again by comparison."""
     customer = _table(spark, sf, "customer")
@@ -670,14 +859,16 @@ QUERIES = [
     keyed_composite, keyed_long_texts, keyed_conversations, keyed_events, keyed_arrays, nokey_pages, keyed_nulls_safe, keyed_nulls_unequal,
     null_keys_unmatched, null_keys_added_rows, null_keys_matched, repeated_key_last_wins,
     repeated_key_rows, repeated_key_deleted, types_aligned, types_not_aligned, schema_added_columns,
-    schema_deleted_columns, uniqueness_profile, uniqueness_profile_events, best_key_candidate,
+    schema_deleted_columns, schema_summary, uniqueness_profile, uniqueness_profile_events, best_key_candidate,
     accepted_key, assumed_key_summary, nokey_exact_matches, nokey_unmatched_source,
     nokey_unmatched_target, nokey_matches_with_copies, duplicates_by_key, duplicates_by_content,
     duplicate_documents, positional_similarity, minhash_signatures, similar_matches, all_matches,
     nokey_updated_details, nokey_cell_changes, nokey_added, nokey_deleted, nokey_summary,
-    similar_orders, similar_lineitems_by_bands, reconciliation, reconciliation_less_added, severity,
+    similar_orders, similar_lineitems, similar_lineitems_by_bands, minhash_estimates, reconciliation, reconciliation_less_added, severity,
     outcome_share, change_score, column_widths, preview, report_tables, json_records, folder_ingest,
-    row_index, table_names, migrate_manifest, gated_write, mutated_counts,
+    row_index, table_names, migrate_manifest, gated_write, gated_write_report, json_array, json_object,
+    load_manifest, load_preview, table_catalog, first_positions, events_shifted, utf8_digests,
+    mutated_texts, mutated_counts,
 ]
 
 
@@ -805,12 +996,22 @@ _REPEATED_PAIRS = f"""
     ),
     p as (
         select l.o_orderkey, l.o_custkey as oc, n.o_custkey as nc, l.place as op, n.o_orderkey as np,
-               l.o_orderstatus as os, n.o_orderstatus as ns
+               l.o_orderstatus as os, n.o_orderstatus as ns, l.o_totalprice as opr, n.o_totalprice as npr,
+               l.o_orderdate as od, n.o_orderdate as nd, l.o_orderpriority as opp, n.o_orderpriority as npp
         from last l join orders n on l.o_orderkey = n.o_orderkey
     )
 """
 
 
+def _leftover_facts(values: str, table: str, changed: str) -> str:
+    return f"""
+        with t as ({changed}),
+        o as (select {values} from {table} except all select {values} from t),
+        n as (select {values} from t except all select {values} from {table})
+        select (select count(*) from o) as old_rows, (select count(*) from n) as new_rows,
+               true as one_to_one, true as all_similar, 0::bigint as acceptable_left"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For each registered query the same in SQL, unless ties or hashes are free."""
     keyed_counts = f"""{ORDERS_JOIN}
@@ -870,6 +1071,7 @@ def oracle_sql() -> dict[str, str]:
         "rendered_updates": customer_join.format(
             columns="cast(n.c_custkey as varchar) as c_custkey, "
             + ", ".join(_CUSTOMER_RENDERED.format(c=c) for c in ("c_name", "c_nationkey", "c_mktsegment"))
+            + ", n.c_acctbal"
         ),
         "split_rendered_updates": customer_join.format(
             columns=f"cast(n.c_custkey as varchar) as c_custkey, {segment_change.format(side='o')} as old_segment, "
@@ -921,10 +1123,16 @@ def oracle_sql() -> dict[str, str]:
             union all select o_orderkey, 'o_custkey', cast(oc as varchar), cast(nc as varchar)
             from p where oc is distinct from nc
             union all select o_orderkey, 'place', cast(op as varchar), cast(np as varchar)
-            from p where op is distinct from np""",
+            from p where op is distinct from np
+            union all select o_orderkey, 'o_totalprice', cast(cast(opr as decimal(18,2)) as varchar),
+                             cast(cast(npr as decimal(18,2)) as varchar)
+            from p where opr is distinct from npr
+            union all select o_orderkey, 'o_orderdate', cast(od as varchar), cast(nd as varchar)
+            from p where od is distinct from nd
+            union all select o_orderkey, 'o_orderpriority', opp, npp from p where opp is distinct from npp""",
         "repeated_key_rows": f"""
             with o as ({ORDERS_REPEATED})
-            select place, o_orderkey, o_custkey, o_orderstatus
+            select place, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
             from (select *, count(*) over (partition by o_orderkey) as c from o) where c > 1""",
         "repeated_key_deleted": f"select * from ({ORDERS_REPEATED}) where o_orderkey not in "
         "(select o_orderkey from orders where o_orderkey % 4 <> 0)",
@@ -933,8 +1141,36 @@ def oracle_sql() -> dict[str, str]:
         "types_not_aligned": f"select {_ZERO_COLUMNS}, 0::bigint as added_rows_count, 0::bigint as deleted_rows_count, "
         "count(*) as updated_rows_count, 0::bigint as duplicate_rows_in_source_count, "
         "0::bigint as duplicate_rows_in_target_count from orders",
-        "schema_added_columns": "select 'o_urgency' as column_name",
-        "schema_deleted_columns": "select * from (values ('o_orderdate'), ('o_orderpriority')) v(column_name)",
+        "schema_added_columns": "select 'o_urgency' as column_name, count(o_orderpriority) as filled from orders",
+        "schema_deleted_columns": "select 'o_orderdate' as column_name, count(o_orderdate) as filled from orders "
+        "union all select 'o_orderpriority', count(o_orderpriority) from orders",
+        "schema_summary": "select 1::bigint as added_columns_count, 2::bigint as deleted_columns_count, "
+        "0::bigint as added_rows_count, 0::bigint as deleted_rows_count, 0::bigint as updated_rows_count, "
+        "(count(*) - count(distinct o_orderkey))::bigint as duplicate_rows_in_source_count, "
+        "(count(*) - count(distinct o_orderkey))::bigint as duplicate_rows_in_target_count from orders",
+        "similar_orders": _leftover_facts(_VALUES, "orders", ORDERS_T),
+        "similar_lineitems": _leftover_facts("*", "lineitem", LINEITEM_T),
+        "minhash_estimates": f"with t as ({CUSTOMER_T}) select c_custkey, true as within from customer "
+        "where c_custkey in (select c_custkey from t)",
+        "gated_write_report": report_net + REPORT_COLUMNS,
+        "json_array": "select s_suppkey, s_name, s_acctbal from supplier",
+        "json_object": "select s_suppkey, s_name, s_acctbal from supplier",
+        "load_manifest": "select case when s_nationkey % 5 <> 0 then 'nation_' || s_nationkey || '_jsondf' end as name, "
+        "case when s_nationkey % 5 = 0 then 'failed' else 'loaded' end as status "
+        "from (select distinct s_nationkey from supplier)",
+        "load_preview": "select 'nation_' || s_nationkey || '_jsondf' as name, s_suppkey from (select *, row_number() over "
+        "(partition by s_nationkey order by s_suppkey) as rn from supplier) where rn <= 3",
+        "table_catalog": "select * from (values ('lineitem', 'l_orderkey,l_linenumber', 'key'), "
+        "('nation', 'n_nationkey', 'assumed_key')) v(table_name, key, origin) union all "
+        "select 'orders', case when count(*) = count(distinct o_orderkey) then 'o_orderkey' else '' end, "
+        "case when count(*) = count(distinct o_orderkey) then 'assumed_key' else 'no_key' end from orders",
+        "first_positions": "select o_orderkey, row_number() over (order by o_orderkey) - 1 as _row_idx from orders "
+        "order by o_orderkey limit 40",
+        "events_shifted": "select event_id from events where event_id % 2 = 0 or event_id % 3 = 0",
+        "utf8_digests": "select doc_id, sha256(length(lang) || ':' || lang || length(text) || ':' || text) as fingerprint "
+        "from documents",
+        "mutated_texts": "select * from (values ('c_name', true), ('c_mktsegment', true)) v(column_name, follows) "
+        "where (select count(*) from customer) >= 100",
         "uniqueness_profile": _uniqueness("orders", ["o_orderkey", *ORDER_VALUES]),
         "uniqueness_profile_events": _uniqueness(
             "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -973,8 +1209,8 @@ def oracle_sql() -> dict[str, str]:
         "nokey_cell_changes": _ONE_CELL + "select row_index, 'c_acctbal' as column_name, "
         "old_balance as old_number, new_balance as new_number from changed",
         "nokey_added": "select 'Added ' || c_name as c_name, cast(c_nationkey as varchar) as c_nationkey, "
-        "c_mktsegment from customer where c_custkey % 100 = 7",
-        "nokey_deleted": "select c_name, cast(c_nationkey as varchar) as c_nationkey, c_mktsegment "
+        "c_acctbal, c_mktsegment from customer where c_custkey % 100 = 7",
+        "nokey_deleted": "select c_name, cast(c_nationkey as varchar) as c_nationkey, c_acctbal, c_mktsegment "
         "from customer where c_custkey % 50 = 0",
         "nokey_summary": _ONE_CELL + f"select {_ZERO_COLUMNS}, "
         "(select count(*) from t where c_custkey >= 10000000) as added_rows_count, "
@@ -991,7 +1227,7 @@ def oracle_sql() -> dict[str, str]:
         "column_widths": " union all ".join(
             f"select {i} as ordinal, '{c}' as column_name, "
             f"(greatest(max(length(cast({c} as varchar))), {len(c)}) + 2)::int as width from orders"
-            for i, c in enumerate(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+            for i, c in enumerate(["o_orderkey", *ORDER_VALUES])
         ),
         "preview": ORDERS_JOIN + " union all ".join(
             f"select '{category}' as category, k as o_orderkey, (select {total} from c) - 5 as remaining from "
