@@ -160,6 +160,23 @@ def _comparable(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
+def comparable_pair(
+    old: Column, old_type: T.DataType, new: Column, new_type: T.DataType, *, align_types: bool = False
+) -> tuple[Column, Column]:
+    """Two cells as values of one type that are equal where the cells are, and missing where they are."""
+    common = wider_type(old_type, new_type)
+    if common is not None:
+        old = old if old_type == common else old.cast(common)
+        new = new if new_type == common else new.cast(common)
+        return _comparable(old, common), _comparable(new, common)
+    if _is_wide_pair(old_type, new_type):
+        return _plain_number(old), _plain_number(new)
+    old, new = as_text(old, old_type), as_text(new, new_type)
+    if align_types:
+        return old, new
+    return F.concat(F.lit("o:"), old), F.concat(F.lit("n:"), new)  # never equal
+
+
 def differs(
     old: Column,
     old_type: T.DataType,
@@ -174,21 +191,8 @@ def differs(
     ``nulls="safe"``: two missing cells are equal. ``nulls="unequal"``: they are a
     change, as NaN is unequal to itself in pandas.
     """
-    common = wider_type(old_type, new_type)
-    if common is None and _is_wide_pair(old_type, new_type):
-        old, new, common = _plain_number(old), _plain_number(new), T.StringType()
-        old_type = new_type = common
-    if common is None and align_types:
-        old, new = as_text(old, old_type), as_text(new, new_type)
-        common = T.StringType()
-    if common is None:
-        changed = old.isNotNull() | new.isNotNull()
-    else:
-        if old_type != common:
-            old = old.cast(common)
-        if new_type != common:
-            new = new.cast(common)
-        changed = ~_comparable(old, common).eqNullSafe(_comparable(new, common))
+    old, new = comparable_pair(old, old_type, new, new_type, align_types=align_types)
+    changed = ~old.eqNullSafe(new)
     if nulls == "unequal":
         changed = changed | (old.isNull() & new.isNull())
     return changed

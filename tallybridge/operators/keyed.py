@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.cells import (
     NESTED,
     as_text,
+    comparable_pair,
     differs,
     missing_to_null,
     positional,
@@ -76,8 +77,13 @@ class KeyedComparison:
         tables once.
         """
         if self._stored is None:
+            # Digests tell which keys to look at; only their rows are brought together.
+            open_keys = workspace.store(
+                self.profile().where(~F.col("equal")).select(*self._key_names, F.col("n"))
+            )
             uneven = ~F.col("is_common") | (F.col("o_rows") > 1) | (F.col("n_rows") > 1)
-            self._stored = workspace.store(self.keys().where(uneven | self._changed()))
+            keys = self.keys(among=open_keys).where(uneven | self._changed())
+            self._stored = workspace.store(keys)
 
     # -- the joined form ------------------------------------------------------------
 
@@ -103,7 +109,9 @@ class KeyedComparison:
         i = df.columns.index(column)
         return F.col(f"{prefix}c{i}"), frame.schema[i].dataType
 
-    def _one_side(self, side: str, payload: Sequence[str]) -> DataFrame:
+    def _one_side(
+        self, side: str, payload: Sequence[str], among: DataFrame | None = None
+    ) -> DataFrame:
         """Keys and one struct ``row`` = (place, cells) whose maximum is the last row.
 
         "Last" follows ``order_by``; rows without an order, or equal in it, go by their
@@ -111,6 +119,8 @@ class KeyedComparison:
         many of the other columns a result needs.
         """
         frame = self._old if side == OLD else self._new
+        if among is not None:
+            frame = self._rows_of(side, among)
         keys = self._old_keys if side == OLD else self._new_keys
         place = [
             self._cell(side, c)[0].alias(f"p{i}") for i, c in enumerate(self.order_by)
@@ -118,6 +128,70 @@ class KeyedComparison:
         cells = [F.col(c) for c in payload] or [F.lit(0).alias("c")]
         return frame.select(*keys, F.struct(*place, *cells).alias("row"))
 
+    # -- digests --------------------------------------------------------------------
+
+    def _digests(self, side: str) -> list[Column]:
+        """Two hashes of the compared cells, equal where no cell differs, and whether one is missing."""
+        cells = [self._pair(c)[side == NEW] for c in self.compared]
+        missing = [c.isNull() for c in cells]
+        any_missing = F.lit(False)
+        for m in missing:
+            any_missing = any_missing | m
+        return [
+            F.xxhash64(F.lit(1), *cells, *missing),
+            F.xxhash64(F.lit(2), *reversed(cells), *missing),
+            any_missing.cast("int"),
+        ]
+
+    def _pair(self, column: str) -> tuple[Column, Column]:
+        """Both sides' cells of a column, as values that are equal where the cells are."""
+        (oc, ot), (nc, nt) = self._cell(OLD, column), self._cell(NEW, column)
+        return comparable_pair(oc, ot, nc, nt, align_types=self.align_types)
+
+    def profile(self) -> DataFrame:
+        """One row per key: k0…, o_rows, n_rows, is_added, is_deleted, is_common, n (rows of
+        both sides), ``equal`` (one row on each side, the same cells) and ``single`` (one row on
+        each side, whatever its cells).
+
+        Rows are reduced to two hashes before the shuffle, and both sides of it aggregate by hash:
+        nothing is sorted, and no cell of a row that did not change is moved.
+        """
+        names = ["d1", "d2", "m"]
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+        def side(frame, keys, which, other):
+            own = [d.alias(f"{which}{name}") for d, name in zip(self._digests(which), names)]
+            empty = [
+                F.lit(None).cast("int" if name == "m" else "long").alias(f"{other}{name}")
+                for name in names
+            ]
+            rows = [(one if w == which else none).alias(f"{w}c") for w in (OLD, NEW)]
+            columns = own + empty if which == OLD else empty + own
+            return frame.select(*keys, *rows, *columns)
+
+        both = side(self._old, self._old_keys, OLD, NEW).unionAll(
+            side(self._new, self._new_keys, NEW, OLD)
+        )
+        grouped = both.groupBy(*self._key_names).agg(
+            F.sum("oc").alias("o_rows"),
+            F.sum("nc").alias("n_rows"),
+            *[F.bit_xor(f"{w}{d}").alias(f"{w}{d}") for w in (OLD, NEW) for d in ("d1", "d2")],
+            F.max("om").alias("om"),
+            F.max("nm").alias("nm"),
+        )
+        single = F.col("is_common") & (F.col("o_rows") == 1) & (F.col("n_rows") == 1)
+        same = (F.col("od1") == F.col("nd1")) & (F.col("od2") == F.col("nd2"))
+        if self.nulls == "unequal":  # two missing cells are a change, which digests do not show
+            unsure = (F.col("om") == 1) & (F.col("nm") == 1)
+            same, single = same & ~unsure, single & ~unsure
+        return (
+            self._classified(grouped)
+            .withColumn("n", F.col("o_rows") + F.col("n_rows"))
+            .withColumn("single", F.coalesce(single, F.lit(False)))
+            .withColumn("equal", F.col("single") & F.coalesce(same, F.lit(False)))
+            .drop("od1", "od2", "nd1", "nd2", "om", "nm")
+        )
+
     def _payload(self, side: str, columns: Sequence[str] | None) -> list[str]:
         df = self.original if side == OLD else self.new
         leading = [f"c{df.columns.index(c)}" for c in self.compared]
@@ -125,14 +199,16 @@ class KeyedComparison:
             columns = [f"c{i}" for i in range(len(df.columns))]
         return [c for c in leading if c in columns] + [c for c in columns if c not in leading]
 
-    def keys(self, old_payload=None, new_payload=None, every: bool = False) -> DataFrame:
+    def keys(
+        self, old_payload=None, new_payload=None, every: bool = False, among: DataFrame | None = None
+    ) -> DataFrame:
         """One row per key: k0…, o, n (last rows), o_rows, n_rows, is_added, is_deleted,
         is_common. Once stored, keys of one equal row on each side are left out, unless
-        ``every`` key is asked for."""
+        ``every`` key is asked for. ``among`` lists the only keys to look at."""
         if self._stored is not None and not every:
             return self._stored
-        old = self._one_side(OLD, self._payload(OLD, old_payload))
-        new = self._one_side(NEW, self._payload(NEW, new_payload))
+        old = self._one_side(OLD, self._payload(OLD, old_payload), among)
+        new = self._one_side(NEW, self._payload(NEW, new_payload), among)
         empty_old = F.lit(None).cast(old.schema["row"].dataType)
         empty_new = F.lit(None).cast(new.schema["row"].dataType)
         one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -341,25 +417,35 @@ class KeyedComparison:
         return self._rows_of(side, groups).toDF(*df.columns)
 
     def counts(self) -> DataFrame:
-        """One row of counts, from one pass over both tables."""
-        old, new = self._payloads_for_cells()
+        """One row of counts, from one pass over both tables; this runs it.
+
+        Only keys that repeat need their rows looked at, to compare the last ones.
+        """
 
         def total(condition: Column, amount: Column) -> Column:
             return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0)).cast("long")
 
         o, n, one = F.col("o_rows"), F.col("n_rows"), F.lit(1)
-        # Stored keys leave out those with one equal row on each side.
-        left_out = 0
-        if self._stored is not None:
-            kept = self._stored.agg(F.sum("o_rows")).first()[0] or 0
-            left_out = self.original.count() - kept
-        return self.keys(old, new).agg(
+        looked_at = F.col("is_common") & ~F.col("single")
+        row = self.profile().agg(
             total(F.col("is_added"), n).alias("added_rows_count"),
             total(F.col("is_deleted"), o).alias("deleted_rows_count"),
-            total(self._changed(), one).alias("updated_rows_count"),
+            total(F.col("single") & ~F.col("equal"), one).alias("updated_rows_count"),
             total(o > 1, o).alias("duplicate_rows_in_source_count"),
             total(n > 1, n).alias("duplicate_rows_in_target_count"),
-            (total(F.col("is_common") & ~self._changed(), one) + left_out).alias("matched_keys"),
-            (total(o > 0, o) + left_out).alias("source_rows"),
-            (total(n > 0, n) + left_out).alias("target_rows"),
-        )
+            total(F.col("is_common"), one).alias("matched_keys"),
+            total(o > 0, o).alias("source_rows"),
+            total(n > 0, n).alias("target_rows"),
+            total(looked_at, one).alias("open_keys"),
+        ).first().asDict()
+        if row.pop("open_keys"):
+            old, new = self._payloads_for_cells()
+            if self._stored is not None:
+                repeated = self._stored.where("o_rows > 1 or n_rows > 1")
+            if self._stored is None or self.nulls == "unequal":
+                listed = self.profile().where(looked_at).select(*self._key_names, "n")
+                repeated = self.keys(old, new, every=True, among=listed)
+            row["updated_rows_count"] += repeated.where(self._changed()).count()
+        row["matched_keys"] -= row["updated_rows_count"]
+        schema = T.StructType([T.StructField(k, T.LongType()) for k in row])
+        return self.original.sparkSession.createDataFrame([tuple(row.values())], schema)

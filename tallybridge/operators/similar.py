@@ -214,10 +214,11 @@ class SimilarRows:
         while level >= self.least_equal and min(self.old_count, self.new_count) > found:
             if live is None:
                 live = self.workspace.store(self._live(rest))
-            most = {
-                r["is_new"]: r["m"] for r in live.groupBy("is_new").agg(F.max("m").alias("m")).collect()
-            }
-            level = min(level, *(most.get(side, -1) for side in (False, True)))
+            most = live.agg(
+                F.max(F.when(~F.col("is_new"), F.col("m"))).alias("old"),
+                F.max(F.when(F.col("is_new"), F.col("m"))).alias("new"),
+            ).first()
+            level = min(level, *(-1 if m is None else m for m in most))
             if level < self.least_equal:
                 break
             fresh = self._level_pairs(live.where(F.col("m") >= level), level)
@@ -242,11 +243,18 @@ class SimilarRows:
             .select("i", "h1", "h2", (F.col("o") + F.col("n")).alias("f"))
         )
         found = tokens.join(both, ["i", "h1", "h2"]).groupBy("rid").agg(
-            F.sort_array(F.collect_list(F.struct("f", "i", "h1", "h2"))).alias("live")
-        )  # at most as many as the table has columns
-        rows = rows.select("rid", "is_new", "place").join(found, "rid", "left")
-        none = F.array().cast(found.schema["live"].dataType)
-        return rows.withColumn("live", F.coalesce("live", none)).withColumn("m", F.size("live"))
+            *[F.max(F.when(F.col("i") == i, F.col("f"))).alias(f"f{i}") for i in range(self.width)]
+        )
+        live = F.array(
+            *[F.struct(F.col(f"f{i}").alias("f"), F.lit(i).alias("i"), F.col(f"x{i}").alias("h1"),
+                       F.col(f"y{i}").alias("h2")) for i in range(self.width)]
+        )
+        live = F.sort_array(F.filter(live, lambda x: x["f"].isNotNull()))
+        return (
+            rows.join(found, "rid", "left")
+            .select("rid", "is_new", "place", live.alias("live"))
+            .withColumn("m", F.size("live"))
+        )
 
     def _level_pairs(self, live: DataFrame, level: int) -> list[DataFrame]:
         """Stored pairs of one level, as many as it takes to leave none."""

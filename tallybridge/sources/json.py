@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,16 +41,24 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _is_one_document(text: Column) -> Column:
-    """Whether a text is one JSON value and nothing after it, which Spark's own readers let pass."""
-
-    def whole(value: str) -> bool:
-        try:
-            json.loads(value)
-        except ValueError:
-            return False
-        return True
+    """Whether a text is one array or object and nothing after it, which Spark's own readers let pass.
 
-    return F.udf(whole, "boolean")(text)
+    Without escapes and strings, brackets must close the outermost one once, at the very end.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
+    opens = {"[": 1, "{": 1, "]": -1, "}": -1}
+
+    def step(state: Column, bracket: Column) -> Column:
+        depth = state["depth"]
+        for sign, change in opens.items():
+            depth = depth + F.when(bracket == sign, change).otherwise(0)
+        closes = bracket.isin("]", "}") & (depth == 0)
+        return F.struct(depth.alias("depth"), (state["closed"] + closes.cast("int")).alias("closed"))
+
+    end = F.aggregate(brackets, start, step)
+    return (end["closed"] == 1) & (end["depth"] == 0) & F.trim(bare).rlike(r"[\]}]\s*\z")
 
 
 def _array_of_values(text: DataFrame, path: str) -> DataFrame:
