@@ -114,7 +114,112 @@ QUERIES = {
 }
 
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
+_WHITE = r"[\x20\x09-\x0D]"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _components_sql(nodes: str, links: str) -> str:
+    """``reach``: the least id reachable from each node of a symmetric relation (a, b)."""
+    return f"""
+        seen(id, other) as (
+            select id, id from {nodes} union select s.id, l.b from seen s join {links} l on l.a = s.other
+        ),
+        reach as (select id, min(other) as component_id from seen group by id)"""
+
+
 ORACLE_SQL = {
+    "op3_embedding_dedup": f"""
+        with recursive given as (
+            select vec_id as id, label, embedding::double[] as v from embeddings
+        ),
+        usable as (
+            select * from given
+            where label is not null and v is not null
+              and len([x for x in v if x is null or not isfinite(x)]) = 0
+              and len([x for x in v if x <> 0]) > 0
+        ),
+        links as (
+            select a.id as a, b.id as b from usable a join usable b
+            on a.label = b.label and len(a.v) = len(b.v) and a.id <> b.id
+            where list_cosine_similarity(a.v, b.v) >= {vector_dedup.COSINE}
+        ),
+        {_components_sql("given", "links")}
+        select id as vec_id, (select count(*) from links where a = reach.id) as n_links, component_id,
+               id = component_id as kept
+        from reach""",
+    "op5_minhash_dedup": f"""
+        with recursive given as (
+            select doc_id as id, regexp_extract_all(
+                translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_WORDS}') as w
+            from documents
+        ),
+        shingles as (
+            select distinct id, case when len(w) < 5 then array_to_string(w, ' ')
+                                     else array_to_string(w[i:i + 4], ' ') end as s
+            from given, unnest(range(1, greatest(len(w) - 3, 2))) r(i) where len(w) > 0
+        ),
+        sizes as (select id, count(*) as n from shingles group by id),
+        links as (
+            select x.id as a, y.id as b
+            from shingles x join shingles y on x.s = y.s and x.id <> y.id
+                 join sizes p on p.id = x.id join sizes q on q.id = y.id
+            group by x.id, y.id, p.n, q.n
+            having 100 * count(*) >= {minhash_dedup.PERCENT} * (p.n + q.n - count(*))
+        ),
+        {_components_sql("given", "links")}
+        select reach.id as doc_id, coalesce(n, 0) as n_shingles, component_id, reach.id = component_id as kept
+        from reach left join sizes on sizes.id = reach.id""",
+    "op10_line_cleaning": f"""
+        with given as (
+            select doc_id, coalesce(text, '') as text,
+                   regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w,
+                   [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '{_WORDS}')] as lines
+            from documents
+        ),
+        windows as (
+            select doc_id, i, array_to_string(w[i:i + {line_cleaning.WINDOW - 1}], ' ') as s
+            from given, unnest(range(1, len(w) - {line_cleaning.WINDOW - 2})) r(i)
+            where len(w) >= {line_cleaning.WINDOW}
+        ),
+        repeated as (
+            select doc_id, i from (select *, count(*) over (partition by doc_id, s) as c from windows) where c > 1
+        ),
+        covered as (
+            select doc_id, sum(least({line_cleaning.WINDOW}, coalesce(following - i, {line_cleaning.WINDOW})))::bigint as n
+            from (select *, lead(i) over (partition by doc_id order by i) as following from repeated)
+            group by doc_id
+        ),
+        first_lines as (
+            select doc_id, line, regexp_extract_all(line, '{_WORDS}') as w,
+                   length(regexp_replace(line, '{_WHITE}', '', 'g')) as characters,
+                   length(regexp_replace(line, '[^{line_cleaning.SEPARATORS}]', '', 'g')) as bars,
+                   length(regexp_replace(line, '[^{line_cleaning.SYMBOLS}]', '', 'g')) as signs
+            from (select doc_id, unnest(list_distinct(lines)) as line from given)
+        ),
+        remaining as (
+            select doc_id, sum(characters) as n from first_lines
+            where not (signs > {line_cleaning.SIGN_SHARE} * characters
+                       or regexp_matches(lower(line), '{"|".join(line_cleaning.BOILERPLATE)}')
+                       or (bars >= {line_cleaning.NAVIGATION} and bars >= {line_cleaning.NAVIGATION_SHARE} * len(w))
+                       or len([i for i in range(2, len(w) + 1) if w[i] = w[i - 1]])
+                          > {line_cleaning.STUTTER_SHARE} * len(w))
+            group by doc_id
+        ),
+        counts as (
+            select g.doc_id, len(w)::bigint as n_words,
+                   length(regexp_replace(text, '{_WHITE}', '', 'g'))::bigint as word_chars,
+                   length(regexp_replace(text, '[^{line_cleaning.SYMBOLS}]', '', 'g'))::bigint as n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+                   coalesce(c.n, 0) as n_repeat_words, coalesce(r.n, 0) as characters_left
+            from given g left join covered c on c.doc_id = g.doc_id left join remaining r on r.doc_id = g.doc_id
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < {line_cleaning.LEAST_WORDS}
+                   or 100 * n_repeat_words > {line_cleaning.MOST_REPEATED} * n_words as base_failed,
+               not (n_words < {line_cleaning.LEAST_WORDS}
+                    or 100 * n_repeat_words > {line_cleaning.MOST_REPEATED} * n_words)
+                   and 100 * characters_left >= {line_cleaning.LEAST_LEFT} * word_chars as kept
+        from counts""",
     "op9_url_filter": f"""
         with rules(verdict, rule_host, rule_path) as (
             values {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}
