@@ -15,6 +15,13 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))
 
 
+def drawn(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of the id, without a sort; the number is binomial around the bound."""
+    n = df.count()
+    share = min(1.0, rows / n) if n else 1.0
+    return df.where(F.pmod(F.xxhash64(df[f"`{id_col}`"]), F.lit(_RANGE)) < share * _RANGE)
+
+
 def sampled(df: DataFrame, label: str, id_col: str, per_label: int) -> tuple[DataFrame, dict]:
     """About ``per_label`` rows of each label, chosen by a hash of the id, and the labels' row counts.
 

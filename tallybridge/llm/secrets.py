@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .batches import fresh_name
 from .native import bound
+from .samples import drawn
 
 # The base patterns. Matches that fail the length are dropped, not retried.
 ASSIGN = (
@@ -41,7 +42,7 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{4,}"
 #: The log of the odds against a run being a secret: one in about sixty thousand.
 MARGIN = 11.0
-#: Documents, in the order of a hash of their ids, that give labelled samples.
+#: About so many documents, chosen by a hash of their ids, give labelled samples.
 SAMPLE_DOCUMENTS = 2_000
 #: Added to every count of a pair.
 SMOOTHING = 0.5
@@ -92,13 +93,9 @@ def samples_from(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     Random are the values that the base patterns find, and digests of the ids in three
     alphabets; ordinary are the words of the texts without what the base patterns find.
     """
-    some = (
-        docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-        .where("text is not null")
-        .orderBy(F.xxhash64("id"), "id", "text")
-        .limit(SAMPLE_DOCUMENTS)
-    )
-    digest = F.sha2(F.concat(F.col("id").cast("string"), F.lit(" "), "text"), 256)
+    given = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    some = drawn(given, "id", SAMPLE_DOCUMENTS).where("text is not null")
+    digest = F.sha2(F.concat_ws(" ", F.col("id").cast("string"), "text"), 256)
     base64 = F.translate(F.base64(F.unhex(digest)), "\r\n=", "")
     random = F.concat(
         F.array(digest, base64, F.translate(base64, "+/", "-_"), F.substring(F.upper(base64), 1, 24)),
