@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 32
-#: Values of a label that are looked at; a table with more labels than this is not one of labels.
+#: A column with more values than this is not one of labels, which is an error.
 MOST_LABELS = 1_000
 
 
@@ -27,11 +27,10 @@ def sampled(df: DataFrame, label: str, id_col: str, per_label: int) -> tuple[Dat
 
     The number of rows is binomial around the bound, so it does not follow the input.
     """
-    counts = {
-        r[0]: r[1]
-        for r in df.groupBy(f"`{label}`").count().orderBy(F.desc("count"), f"`{label}`").limit(MOST_LABELS).collect()
-        if r[0] is not None
-    }
+    found = df.groupBy(f"`{label}`").count().limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"{label!r} has more than {MOST_LABELS} values")
+    counts = {r[0]: r[1] for r in found if r[0] is not None}
     if not counts:
         return df.limit(0), counts
     share = F.create_map(

@@ -175,3 +175,10 @@ def test_cleaning_query(spark, empty):
     for row in rows:
         assert tuple(row[c] for c in COUNTS) == brute_counts(texts[row.doc_id])
     assert line_cleaning.clean(empty).count() == 0
+
+
+@pytest.mark.parametrize("query", [queries.op4_secret_scan, queries.op10_line_cleaning])
+def test_no_python_in_the_plan(spark, capsys, query):
+    query(spark, SF).explain()
+    text = capsys.readouterr().out
+    assert "Scan parquet" in text and not re.search("Python|Pandas|Arrow", text)
