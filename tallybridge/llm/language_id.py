@@ -86,17 +86,17 @@ def vector(text: str, dimensions: int = DIMENSIONS) -> np.ndarray | None:
 def fit_machine(x: np.ndarray, positive: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
     """Weights of a linear machine (the last one is the bias): squared hinge loss, accelerated descent."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    y = np.where(positive, 1.0, -1.0)
-    share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
+    y = np.where(positive, 1.0, -1.0).astype(x.dtype)
+    share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(x.dtype)
     rate = 1.0 / (2 * 2.0 + 2 * ridge)  # rows have length 1, and 1 for the bias
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1], x.dtype)  # the sample's own precision, so that it is never copied
     ahead, t = w.copy(), 1.0
     for _ in range(steps):
-        short = np.maximum(0.0, 1 - y * (x @ ahead))
+        short = np.maximum(0, 1 - y * (x @ ahead))
         gradient = -2 * (x.T @ (share * y * short)) + 2 * ridge * ahead
         new, t_new = ahead - rate * gradient, (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
-    return w
+        ahead, w, t = (new + (t - 1) / t_new * (new - w)).astype(x.dtype), new, t_new
+    return w.astype(np.float64)
 
 
 @dataclass
@@ -162,21 +162,21 @@ def train(
             if x is None:
                 return None, None
             kept = np.flatnonzero(x)
-            return kept.tolist(), x[kept].tolist()
+            return kept.astype(np.uint16).tobytes(), x[kept].astype(np.float32).tobytes()
 
         return numbers
 
     added = T.StructType(
         [
-            T.StructField("places", T.ArrayType(T.IntegerType())),
-            T.StructField("shares", T.ArrayType(T.FloatType())),
+            T.StructField("places", T.BinaryType()),
+            T.StructField("shares", T.BinaryType()),
         ]
     )
     rows = add_columns(some, ["text"], added, start, ["id", "lang"]).where("places is not null")
     rows = sorted(rows.collect(), key=lambda r: (str(r.id), r.lang))
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, row in enumerate(rows):
-        x[i, row.places] = row.shares
+        x[i, np.frombuffer(row.places, np.uint16)] = np.frombuffer(row.shares, np.float32)
     return fit(x, [r.lang for r in rows])
 
 

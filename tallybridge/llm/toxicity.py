@@ -70,8 +70,9 @@ def features_of(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) for p in parts]
 
 
-def features(words: set[str]) -> list[int]:
-    return sorted({f for w in words for f in features_of(w)})
+def features(words: set[str]) -> np.ndarray:
+    """Sorted hashes of all features of a text."""
+    return np.array(sorted({f for w in words for f in features_of(w)}), np.uint32)
 
 
 def swapped(words: set[str], swaps: int = SWAPS) -> list[set[str]]:
@@ -84,11 +85,15 @@ def swapped(words: set[str], swaps: int = SWAPS) -> list[set[str]]:
     ]
 
 
-def _design(rows: list, place: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, feature places) of the entries of a 0/1 matrix."""
-    r = [(i, place[f]) for i, row in enumerate(rows) for f in row if f in place]
-    both = np.array(r, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def _design(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, feature places) of the entries of a 0/1 matrix; ``names`` are sorted."""
+    if not rows or not len(names):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    numbers = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    found = np.concatenate(rows)
+    places = np.minimum(np.searchsorted(names, found), len(names) - 1)
+    known = names[places] == found
+    return numbers[known], places[known]
 
 
 @dataclass
@@ -120,9 +125,9 @@ class Model:
 
 
 def fit(
-    texts: list, labels: list, swaps: list, share: float | None = None, counterfactual: float = COUNTERFACTUAL
+    texts: list[np.ndarray], labels: list, swaps: list, share: float | None = None, counterfactual: float = COUNTERFACTUAL
 ) -> Model:
-    """A model of feature lists, labels, and (text number, feature list) of swapped texts.
+    """A model of feature arrays, labels, and (text number, feature array) of swapped texts.
 
     ``share`` is the share of label 1 that the bias is set for, the sample's if None.
     """
@@ -130,30 +135,26 @@ def fit(
     if not len(y) or y.min() == y.max():
         given = share if share is not None else (float(y.mean()) if len(y) else 0.0)
         return Model({}, float(np.log(max(given, 1e-9) / max(1 - given, 1e-9))))
-    found, texts_with = np.unique(np.concatenate([np.array(t, np.int64) for t in texts]), return_counts=True)
-    in_toxic = dict.fromkeys(found.tolist(), 0)
-    for row, label in zip(texts, labels):
-        if label:
-            for f in row:
-                in_toxic[f] += 1
+    found, texts_with = np.unique(np.concatenate(texts), return_counts=True)
+    toxic, times = np.unique(np.concatenate([t for t, label in zip(texts, labels) if label]), return_counts=True)
+    hits = np.zeros(len(found))
+    hits[np.searchsorted(found, toxic)] = times
     ones = y.sum()
     expected = texts_with * (ones / len(y))
-    hits = np.array([in_toxic[f] for f in found.tolist()], float)
     unusual = (hits - expected) ** 2 / np.maximum(expected * (1 - ones / len(y)), 1e-9)
-    usual = np.lexsort((found, -np.where(texts_with >= LEAST_TEXTS, unusual, -1)))[:MOST_FEATURES]
-    usual = usual[(texts_with[usual] >= LEAST_TEXTS) & (unusual[usual] >= LEAST_UNUSUAL)]
-    names = found[usual].tolist()
-    place = {f: i for i, f in enumerate(names)}
+    unusual[texts_with < LEAST_TEXTS] = -1
+    usual = np.lexsort((found, -unusual))[:MOST_FEATURES]
+    names = np.sort(found[usual[unusual[usual] >= LEAST_UNUSUAL]])
     m, n = len(names), len(y)
-    rows, columns = _design(texts, place)
+    rows, columns = _design(texts, names)
     # the change of the log odds under a swap: the text's features less those of its swapped version
     changed = [(i, s) for i, s in swaps]
-    a_rows, a_columns = _design([texts[i] for i, _ in changed], place)
-    b_rows, b_columns = _design([s for _, s in changed], place)
+    a_rows, a_columns = _design([texts[i] for i, _ in changed], names)
+    b_rows, b_columns = _design([s for _, s in changed], names)
     w, bias = np.zeros(m), 0.0
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     most = np.bincount(rows, minlength=n).max(initial=0) + 1
-    more = np.bincount(a_rows, minlength=1).max() + np.bincount(b_rows, minlength=1).max() if changed else 0
+    more = np.bincount(a_rows, minlength=1).max() + np.bincount(b_rows, minlength=1).max()
     rate = 1.0 / (0.25 * most + (2 * counterfactual * more if changed else 0))
     share = ones / n if share is None else share
     balance = np.where(y > 0, share / ones, (1 - share) / (n - ones))
@@ -173,7 +174,7 @@ def fit(
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
-    return Model({f: float(v) for f, v in zip(names, w) if v}, float(bias))
+    return Model({int(f): float(v) for f, v in zip(names, w) if v}, float(bias))
 
 
 def train(
@@ -191,18 +192,21 @@ def train(
     def start():
         def numbers(value: str | None) -> tuple:
             words = words_in(value)
-            return features(words), [features(s) for s in swapped(words)]
+            return features(words).tobytes(), [features(s).tobytes() for s in swapped(words)]
 
         return numbers
 
-    numbers = T.ArrayType(T.LongType())
-    added = T.StructType([T.StructField("own", numbers), T.StructField("swaps", T.ArrayType(numbers))])
+    # hashes travel and stay as bytes, four for each feature
+    added = T.StructType(
+        [T.StructField("own", T.BinaryType()), T.StructField("swaps", T.ArrayType(T.BinaryType()))]
+    )
     rows = add_columns(joined, ["text"], added, start, ["id", "toxic"]).collect()
-    rows = sorted(rows, key=lambda r: (str(r.id), r.toxic, r.own))
-    swaps = [(i, s) for i, r in enumerate(rows) for s in r.swaps]
+    rows = sorted(rows, key=lambda r: (str(r.id), r.toxic, bytes(r.own)))
+    swaps = [(i, np.frombuffer(s, np.uint32)) for i, r in enumerate(rows) for s in r.swaps]
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    return fit([r.own for r in rows], [r.toxic for r in rows], swaps, share, counterfactual)
+    own = [np.frombuffer(r.own, np.uint32) for r in rows]
+    return fit(own, [r.toxic for r in rows], swaps, share, counterfactual)
 
 
 def score(
