@@ -4,9 +4,9 @@
    represented by its least id; only representatives go on.
 2. Two permutations make the signature: ``sigma`` shuffles the universe once, ``pi`` is shifted circularly by one for each
    coordinate, so coordinate k is the least ``pi(sigma(x) + k)``.
-3. Coordinates are banded. With ``BANDS`` bands of ``ROWS`` a pair at the threshold 0.85 is missed with a
-   probability of 3e-7, a closer one less often. Members of a bucket are linked to its least id, so a
-   bucket of n makes n - 1 candidate links.
+3. Coordinates are banded in rows of ``ROWS``, in as many bands as a pair at the threshold needs to be missed with a
+   probability of at most ``MISSED``, a closer one less often: 32 at 0.85, 50 at 0.80. Members of a bucket are
+   linked to its least id, so a bucket of n makes n - 1 candidate links.
 4. Components of candidate links are groups. Inside a group *all* pairs are verified on full sets, so
    linking buckets as stars loses nothing. A large group is dealt into blocks, and each pair of blocks is a
    task of bounded size; texts whose sizes differ too much for the threshold never meet. A task gives a spanning forest of
@@ -36,6 +36,8 @@ SHINGLE = 5
 #: Links need this many hundredths of intersection over union.
 PERCENT = 85
 BANDS, ROWS = 32, 6
+#: A pair at the threshold may be missed this often.
+MISSED = 3e-7
 #: A block of a group holds about so many texts, and so many shingles, at most half as much again.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 18
 REMEMBERED = 1 << 18
@@ -96,11 +98,18 @@ def signature(values: np.ndarray, length: int = BANDS * ROWS) -> np.ndarray:
     return least
 
 
-def band_keys(values: np.ndarray) -> list[int]:
+def bands_for(percent: int) -> int:
+    """The least number of bands that misses a pair at the threshold with a probability of at most ``MISSED``."""
+    if percent >= 100:
+        return 1
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+def band_keys(values: np.ndarray, bands: int = BANDS) -> list[int]:
     """One signed 64-bit key per band."""
-    bands = signature(values).reshape(BANDS, ROWS)
+    rows = signature(values, bands * ROWS).reshape(bands, ROWS)
     return [
-        xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) - (1 << 63) for i, band in enumerate(bands)
+        xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(rows)
     ]
 
 
@@ -158,7 +167,7 @@ def _links_of_unit(percent: int):
     return run
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def _profiles(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """``id, n_shingles, k1, k2, bands``: size, identity of the set, and band keys."""
     added = T.StructType(
         [
@@ -179,7 +188,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             raw = xxhash.xxh3_128_intdigest(values.tobytes())
             k1, k2 = (raw >> 64) - (1 << 63), (raw & _MASK) - (1 << 63)
             if last.get("key") != raw:  # copies often follow each other
-                last.update(key=raw, bands=band_keys(values))
+                last.update(key=raw, bands=band_keys(values, bands))
             return len(values), k1, k2, last["bands"]
 
         return profile
@@ -206,7 +215,7 @@ def near_duplicates(
     given = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")
     )
-    profiles = workspace.store(_profiles(given))
+    profiles = workspace.store(_profiles(given, bands_for(percent)))
     classes = profiles.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
     members = workspace.store(
         profiles.drop("bands").join(classes, ["k1", "k2"], "left").select("id", "n_shingles", "class_id")
