@@ -34,8 +34,6 @@ from .shipping import ship
 
 WINDOW = 1024
 SLICES = 256
-#: Combinations of three lengths are taken at steps of this many ids, those of two at every length.
-STEP = 16
 #: Projected coordinate steps over all combinations.
 SWEEPS = 60
 
@@ -43,16 +41,21 @@ PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, s
 RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def combinations(window: int, step: int = STEP) -> np.ndarray:
-    """Lengths in descending order that fill a window: single, pairs and triples, 0 where absent."""
+def combinations(window: int, step: int = 1, held: np.ndarray | None = None) -> np.ndarray:
+    """Lengths in descending order that fill a window: single, pairs and triples, 0 where absent.
+
+    With a ``step`` the longest of three is a multiple of it; given a histogram ``held``, all lengths occur in it.
+    """
     pairs = [(a, window - a, 0) for a in range((window + 1) // 2, window)]
     triples = [
         (a, b, window - a - b)
         for a in range(step, window, step)
-        for b in range(1, a + 1)
-        if 1 <= window - a - b <= b
+        for b in range(max(1, (window - a + 1) // 2), min(a, window - a - 1) + 1)
     ]
-    return np.array(pairs + triples, np.int64).reshape(-1, 3)
+    combos = np.array(pairs + triples, np.int64).reshape(-1, 3)
+    if held is None:
+        return combos
+    return combos[np.all((combos == 0) | (held[combos] > 0), axis=1)]
 
 
 def solve_repeats(histogram: np.ndarray, combos: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
@@ -216,7 +219,7 @@ def pack(
         histogram[row.length] = row.pieces
     full = int(histogram[window])
     histogram[window] = 0
-    rows = plan(histogram, combinations(window), window)
+    rows = plan(histogram, combinations(window, held=histogram), window)
     rows = [(n, a, b, full + s, per, at, step, rest) for n, a, b, s, per, at, step, rest in rows]
     rows.append((window, 0, full, 0, 1, 0, window, False))
     places = spark.createDataFrame(rows, PLACE)
