@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybridge.operators.stored import Workspace
+
 from . import (
+    exact_dedup,
     language_id,
     line_cleaning,
     minhash_dedup,
     packing,
+    prefix_trie,
     secrets,
     token_counts,
     toxicity,
     transducer,
     url_filter,
     vector_dedup,
+    whitening,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
+#: Conversations are rebuilt with up to three first turns of the first one of their twenty.
+FAMILY, MOST_BORROWED = 20, 3
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -100,6 +107,28 @@ def op10_line_cleaning(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = exact_dedup.exact_duplicates(
+        docs.select("doc_id", "text", digest.alias("text_sha256")), keep=["doc_id", "text_sha256"]
+    )
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    given = prefix_trie.paths(_table(spark, sf, "conversations"))
+    workspace = Workspace(spark)
+    rebuilt = prefix_trie.with_borrowed_beginnings(workspace.store(given), FAMILY, MOST_BORROWED)
+    return prefix_trie.nodes_with_ends(workspace.store(rebuilt)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings"), keep=["vec_id"])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -111,6 +140,9 @@ QUERIES = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_url_filter": op9_url_filter,
     "op10_line_cleaning": op10_line_cleaning,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
@@ -220,6 +252,10 @@ ORACLE_SQL = {
                     or 100 * n_repeat_words > {line_cleaning.MOST_REPEATED} * n_words)
                    and 100 * characters_left >= {line_cleaning.LEAST_LEFT} * word_chars as kept
         from counts""",
+    "op11_exact_dedup": """
+        select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+               doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+        from documents window same as (partition by coalesce(text, ''))""",
     "op9_url_filter": f"""
         with rules(verdict, rule_host, rule_path) as (
             values {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}
