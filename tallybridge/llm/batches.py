@@ -44,11 +44,13 @@ def add_columns(
     wanted = df.columns if keep is None else keep
     gone = {f.name.lower() for f in added.fields}
     kept = [c for c in wanted if c.lower() not in gone]
+    # Names of its own, as those given may hold dots.
+    names = [f"c{i}" for i in range(len(kept))]
     both = df.select(
-        *[df[f"`{c}`"] for c in kept],
+        *[df[f"`{c}`"].alias(n) for c, n in zip(kept, names)],
         *[df[f"`{c}`"].alias(f"__source_{i}") for i, c in enumerate(sources)],
     )
-    schema = T.StructType([both.schema[c] for c in kept] + added.fields)
+    schema = T.StructType(both.schema.fields[: len(kept)] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -65,4 +67,4 @@ def add_columns(
                     [part.column(i) for i in range(len(kept))] + new, names=schema.names
                 )
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema).toDF(*kept, *added.names)

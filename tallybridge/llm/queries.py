@@ -256,6 +256,46 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op12_prefix_trie": f"""
+        with turns as (
+            select conv_id, list(struct_pack(h := h, words := words) order by turn nulls first, h) as t
+            from (select conv_id, turn,
+                         sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as h,
+                         len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) as words
+                  from conversations where conv_id is not null)
+            group by conv_id
+        ),
+        -- CRC-32 of the id in decimal, bit by bit
+        lent as (
+            select *, xor(list_reduce(
+                list_prepend(4294967295::bigint, [ascii(x)::bigint for x in string_split(conv_id::varchar, '')]),
+                lambda crc, c: list_reduce(
+                    list_prepend(xor(crc, c), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                    lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % {MOST_BORROWED + 1} as h
+            from turns
+        ),
+        rebuilt as (
+            select c.conv_id, coalesce(d.t[:c.h], []) || c.t[c.h + 1:] as t
+            from lent c left join turns d on d.conv_id = c.conv_id - c.conv_id % {FAMILY}
+        ),
+        prefixes as (
+            select conv_id, d, len(t) = d as ends, case when d > 0 then t[d].words else 0 end as words,
+                   [sha256(array_to_string([x.h for x in t[:i]], '')) for i in range(0, d + 1)] as path
+            from rebuilt, unnest(range(len(t) + 1)) r(d)
+        ),
+        nodes as (
+            select path[-1] as k, any_value(path) as path, d, any_value(words) as words, min(conv_id) as conv_id,
+                   count(*) as n, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as e,
+                   count(*) filter (not ends) = 0 as leaf
+            from prefixes group by path[-1], d
+        ),
+        below as (
+            select k, sum(leaf::int) as leaves, sum((n - 1) * words) as saved, count(*) filter (d = place + 1) as children
+            from (select unnest(path) as k, unnest(range(d + 1)) as place, leaf, n, words, d from nodes) group by k
+        )
+        select x.conv_id, x.d as depth, p.conv_id as parent_conv_id, x.n as n_convs, children as n_children,
+               leaves::bigint as n_leaves, saved::bigint as saved_tokens, x.e as ends_sha256
+        from nodes x join below b on b.k = x.k left join nodes p on p.k = x.path[-2]""",
     "op9_url_filter": f"""
         with rules(verdict, rule_host, rule_path) as (
             values {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}

@@ -250,8 +250,10 @@ def apply_whitening(vectors: DataFrame, model: Whitening, keep: list[str]) -> Da
     )
     gone = {f.name.lower() for f in added.fields}
     kept = [c for c in keep if c.lower() not in gone]
-    rows = vectors.select(*[vectors[f"`{c}`"] for c in kept], "_x")
-    schema = T.StructType([rows.schema[c] for c in kept] + added.fields)
+    # Names of its own, as those given may hold dots.
+    names = [f"c{i}" for i in range(len(kept))]
+    rows = vectors.select(*[vectors[f"`{c}`"].alias(n) for c, n in zip(kept, names)], "_x")
+    schema = T.StructType(rows.schema.fields[:-1] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = model.vectors.shape[1]
@@ -272,7 +274,7 @@ def apply_whitening(vectors: DataFrame, model: Whitening, keep: list[str]) -> Da
                 old = [part.column(i).take(per_row) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, *added.names)
 
 
 def whiten(vectors: DataFrame, embedding: str = "embedding", keep: list[str] | None = None) -> DataFrame:
