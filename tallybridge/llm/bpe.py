@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 from functools import lru_cache
 
 import regex
@@ -21,7 +23,12 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-#: Words remembered per worker; when the memory is full it starts afresh.
+#: The same for texts of ASCII alone, for which the plainer engine will do.
+ASCII_PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"
+    r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
+#: Words remembered per worker.
 REMEMBERED = 1 << 18
 #: Longer words are encoded each time, so that the memory stays bounded in bytes too.
 LONGEST_REMEMBERED = 128
@@ -36,16 +43,24 @@ def _byte_of_character() -> dict[str, int]:
 
 
 class Words(dict):
-    """Ids of a word as little-endian 32-bit integers; ``encode`` is asked once per word."""
+    """Ids of a word as little-endian 32-bit integers; ``encode`` is asked once per word that is remembered.
+
+    When half of the memory is full, the other half is forgotten, apart from what has been met again since.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self._encode = encode
+        self._before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(ID_BYTES, "little") for i in self._encode(word))
+        ids = self._before.get(word)
+        if ids is None:
+            found = self._encode(word)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self._before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -85,11 +100,16 @@ class ByteBPE:
             "words", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={}
         )
         self._split = regex.compile(PATTERN)
+        self._split_ascii = re.compile(ASCII_PATTERN)
         names = "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
         self._special = regex.compile(names) if names else None
         self.longest_special = max(map(len, special), default=0)
         self.words = Words(self._fast.encode_ordinary)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special strings."""
+        return (self._split_ascii if text.isascii() else self._split).findall(text)
+
     def segments(self, text: str):
         """(start, text, id): ordinary stretches have id None, special strings their id."""
         at = 0
@@ -105,9 +125,9 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """Ids of a text, four bytes each."""
         if self._special is None or not self._special.search(text):
-            return b"".join(map(self.words.__getitem__, self._split.findall(text)))
+            return b"".join(map(self.words.__getitem__, self.split(text)))
         return b"".join(
-            b"".join(map(self.words.__getitem__, self._split.findall(part)))
+            b"".join(map(self.words.__getitem__, self.split(part)))
             if special is None
             else special.to_bytes(ID_BYTES, "little")
             for _, part, special in self.segments(text)

@@ -30,7 +30,6 @@ from __future__ import annotations
 import codecs
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import regex
 from pyspark.sql import DataFrame
@@ -63,10 +62,10 @@ class Transducer:
     """Bytes of one word in, ids out, as soon as they are stable."""
 
     def __init__(self, merges: list[tuple[bytes, bytes]], ids: dict[bytes, int]):
-        self._made = [(ids[a + b], ids[a], ids[b]) for a, b in merges]
-        self._rank = {(a, b): i for i, (_, a, b) in reversed([*enumerate(self._made)])}
-        self._never = repeat(len(merges))
-        self._byte = {b[0]: i for b, i in ids.items() if len(b) == 1}
+        self._made = [ids[a + b] for a, b in merges]
+        self._rank = {(ids[a], ids[b]): i for i, (a, b) in reversed([*enumerate(merges)])}
+        byte = {b[0]: i for b, i in ids.items() if len(b) == 1}
+        self._byte = [byte.get(i) for i in range(256)]
         self._length = {i: len(b) for b, i in ids.items()}
         self.lookahead = sufficient_lookahead(merges)
         #: Bytes held at most, whatever is pushed.
@@ -74,25 +73,21 @@ class Transducer:
         self._held = bytearray()
 
     def _encode(self, data: bytes) -> list[int]:
-        rank, ids = self._rank.get, list(map(self._byte.__getitem__, data))
-        while len(ids) > 1:
-            ranks = list(map(rank, zip(ids, ids[1:]), self._never))
+        """The merge of the least rank first, of equal ones the left one; a merge changes only the ranks beside it."""
+        made, rank, never = self._made, self._rank.get, len(self._made)
+        ids = [self._byte[b] for b in data]
+        ranks = [rank(pair, never) for pair in zip(ids, ids[1:])]
+        while ranks:
             best = min(ranks)
-            if best == len(self._made):
+            if best == never:
                 break
-            new, a, b = self._made[best]
             at = ranks.index(best)
-            ids[at : at + 2] = [new]
-            if len(ids) > 32 and best in ranks[at + 2 :]:  # the other places in one pass
-                out, i, last = ids[: at + 1], at + 1, len(ids) - 1
-                while i <= last:
-                    if ids[i] == a and i < last and ids[i + 1] == b:
-                        out.append(new)
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
+            new = ids[at] = made[best]
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank((ids[at - 1], new), never)
+            if at < len(ranks):
+                ranks[at] = rank((new, ids[at + 1]), never)
         return ids
 
     def push(self, data: bytes) -> Iterator[int]:
@@ -119,7 +114,10 @@ class Transducer:
         return ids
 
     def word(self, word: str) -> list[int]:
-        return [*self.push(word.encode()), *self.finish()]
+        data = word.encode()
+        if len(data) < self.capacity:  # all of it is held until it ends
+            return self._encode(data)
+        return [*self.push(data), *self.finish()]
 
 
 class StreamEncoder:
@@ -163,7 +161,7 @@ class StreamEncoder:
                 out.append(special.to_bytes(ID_BYTES, "little"))
                 at = start + len(part)
                 continue
-            words = self._bpe._split.findall(part)
+            words = self._bpe.split(part)
             end = start + len(part)
             if end <= certain:
                 out.extend(map(self._words.__getitem__, words))
