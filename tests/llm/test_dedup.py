@@ -51,14 +51,14 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     sets = {i: shingle_set(t) for i, t in rows}
     ids = sorted(i for i in sets if sets[i])
     links = [
         (a, b)
         for k, a in enumerate(ids)
         for b in ids[k + 1 :]
-        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
     ]
     return sets, brute_components(sets, links)
 

@@ -60,7 +60,7 @@ def test_toxic_documents_go(spark, steps):
 
 def test_one_of_each_group_stays(steps):
     _, before, after = steps[2]
-    _, component = brute_near([(r.doc_id, r.text) for r in before.collect()])
+    _, component = brute_near([(r.doc_id, r.text) for r in before.collect()], pipeline.SIMILAR)
     assert {r.doc_id for r in after.collect()} == {i for i, c in component.items() if i == c}
 
 
