@@ -130,6 +130,26 @@ EMBEDDINGS_T = """
     select vec_id, embedding, case when vec_id % 7 = 1 then label + 1 else label end as label
     from embeddings where vec_id % 10 <> 3
 """
+# Lists regrouped, nulls moved, and a struct with a missing field, beside rows that stay as they are.
+EMBEDDINGS_NESTED = """
+    select vec_id,
+           list_value(list_value(list_extract(embedding, 1), list_extract(embedding, 2)),
+                      list_value(list_extract(embedding, 3))) as pairs,
+           list_value(list_extract(embedding, 1), null) as ends
+    from embeddings
+"""
+EMBEDDINGS_NESTED_T = """
+    select vec_id,
+           case when vec_id % 5 = 1
+                then list_value(list_value(list_extract(embedding, 1)),
+                                list_value(list_extract(embedding, 2), list_extract(embedding, 3)))
+                else list_value(list_value(list_extract(embedding, 1), list_extract(embedding, 2)),
+                                list_value(list_extract(embedding, 3))) end as pairs,
+           case when vec_id % 7 = 2 then list_value(null, list_extract(embedding, 1))
+                when vec_id % 7 = 3 then list_value(list_extract(embedding, 1), null, null)
+                else list_value(list_extract(embedding, 1), null) end as ends
+    from embeddings where vec_id % 11 <> 4
+"""
 PAGES_T = """
     select url, case when page_id % 8 = 1 then html || ' ' else html end as html from pages
     where page_id % 9 <> 4
@@ -315,6 +335,17 @@ def keyed_arrays(spark, sf):
     return diff.comparison.statuses()
 
 
+def _for_spark(text: str) -> str:
+    """Lists are written ``list_value(…)`` and read ``list_extract(list, place)`` in one engine, otherwise in the other."""
+    return text.replace("list_value(", "array(").replace("list_extract(", "element_at(")
+
+
+def keyed_nested(spark, sf):
+    """Cells of lists are compared by place, length and what is missing; a stored and a lazy result agree."""
+    diff = tb.compare(_sql(spark, sf, _for_spark(EMBEDDINGS_NESTED)), _sql(spark, sf, _for_spark(EMBEDDINGS_NESTED_T)), key="vec_id")
+    return diff.cell_changes().groupBy("column_name").count().withColumnRenamed("count", "changes")
+
+
 def nokey_pages(spark, sf):
     pages = _table(spark, sf, "pages").drop("page_id")
     return tb.compare(pages, _sql(spark, sf, PAGES_T)).comparison.unmatched("n")
@@ -856,7 +887,7 @@ def mutated_counts(spark, sf):
 QUERIES = [
     keyed_summary, keyed_statuses, keyed_added, keyed_deleted, keyed_updated, keyed_cell_changes,
     keyed_updated_pairs, keyed_updated_details, rendered_updates, split_rendered_updates,
-    keyed_composite, keyed_long_texts, keyed_conversations, keyed_events, keyed_arrays, nokey_pages, keyed_nulls_safe, keyed_nulls_unequal,
+    keyed_composite, keyed_long_texts, keyed_conversations, keyed_events, keyed_arrays, keyed_nested, nokey_pages, keyed_nulls_safe, keyed_nulls_unequal,
     null_keys_unmatched, null_keys_added_rows, null_keys_matched, repeated_key_last_wins,
     repeated_key_rows, repeated_key_deleted, types_aligned, types_not_aligned, schema_added_columns,
     schema_deleted_columns, schema_summary, uniqueness_profile, uniqueness_profile_events, best_key_candidate,
@@ -1100,6 +1131,12 @@ def oracle_sql() -> dict[str, str]:
                                   else 'matched' end as status,
                    1::bigint as source_rows, (n.vec_id is not null)::bigint as target_rows
             from embeddings o left join t n on o.vec_id = n.vec_id""",
+        "keyed_nested": f"""
+            with o as ({EMBEDDINGS_NESTED}), n as ({EMBEDDINGS_NESTED_T}),
+            c as (select o.pairs is distinct from n.pairs as p, o.ends is distinct from n.ends as e
+                  from o join n on o.vec_id = n.vec_id)
+            select 'pairs' as column_name, count(*) as changes from c where p
+            union all select 'ends', count(*) from c where e""",
         "nokey_pages": f"with t as ({PAGES_T}) select html, url from t except all select html, url from pages",
         "keyed_nulls_safe": f"with o as ({ORDERS_NULLED}) select a.o_orderkey from o a "
         "join o b on a.o_orderkey = b.o_orderkey where a.o_orderpriority is distinct from b.o_orderpriority",

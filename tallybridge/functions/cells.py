@@ -109,6 +109,8 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     """
     if a == b:
         return a
+    if isinstance(a, NESTED) or isinstance(b, NESTED):
+        return _wider_nested(a, b)
     # True equals 1 and False equals 0.
     integral = INTEGRALS + (T.BooleanType,)
     numeric = integral + FLOATS + (T.DecimalType,)
@@ -129,6 +131,25 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     return None
 
 
+def _wider_nested(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type that holds the values of two nested types of one shape: what may be missing on either side may be
+    missing, and what they are made of is widened as cells are. Fields are the same by name and place."""
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        element = wider_type(a.elementType, b.elementType)
+        return None if element is None else T.ArrayType(element, a.containsNull or b.containsNull)
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        key, value = wider_type(a.keyType, b.keyType), wider_type(a.valueType, b.valueType)
+        if key is not None and value is not None:
+            return T.MapType(key, value, a.valueContainsNull or b.valueContainsNull)
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType) and a.names == b.names:
+        types = [wider_type(x.dataType, y.dataType) for x, y in zip(a, b)]
+        if all(t is not None for t in types):
+            return T.StructType(
+                [T.StructField(x.name, t, x.nullable or y.nullable) for x, y, t in zip(a, b, types)]
+            )
+    return None
+
+
 def _decimal_over(a: T.DataType, b: T.DataType) -> T.DecimalType | None:
     def digits(t):
         return (t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (19, 0)
@@ -153,11 +174,13 @@ def _plain_number(col: Column) -> Column:
     return F.when(text.isin("-0", ""), "0").otherwise(text)
 
 
+def _without_equality(dtype: T.DataType) -> bool:
+    """Maps and variants have no equality in Spark; their texts, in key order, do."""
+    return isinstance(dtype, T.VariantType) or "map<" in dtype.simpleString()
+
+
 def _comparable(col: Column, dtype: T.DataType) -> Column:
-    # Maps and variants have no equality in Spark; their texts, in key order, do.
-    if isinstance(dtype, T.VariantType) or "map<" in dtype.simpleString():
-        return as_text(col, dtype)
-    return col
+    return as_text(col, dtype) if _without_equality(dtype) else col
 
 
 def comparable_pair(
@@ -177,6 +200,17 @@ def comparable_pair(
     return F.concat(F.lit("o:"), old), F.concat(F.lit("n:"), new)  # never equal
 
 
+def hashable_pair(
+    old: Column, old_type: T.DataType, new: Column, new_type: T.DataType, *, align_types: bool = False
+) -> tuple[Column, Column]:
+    """:func:`comparable_pair` with values whose hashes are equal where the cells are, and differ where they do."""
+    pair = comparable_pair(old, old_type, new, new_type, align_types=align_types)
+    common = wider_type(old_type, new_type)
+    if common is None or _without_equality(common):
+        return pair
+    return hashable(pair[0], common), hashable(pair[1], common)
+
+
 def differs(
     old: Column,
     old_type: T.DataType,
@@ -198,6 +232,27 @@ def differs(
     return changed
 
 
+def hashable(col: Column, dtype: T.DataType) -> Column:
+    """A value whose hash tells nested cells apart.
+
+    Spark's hashes pass over missing elements and over the borders of nested lists. Here a list leads with its
+    length, every element and field with whether it is there; so different values are different sequences
+    of plain values, which is what is hashed. Maps and variants come as texts (see :func:`comparable_pair`).
+    """
+    if isinstance(dtype, T.ArrayType):
+        there = F.transform(
+            col, lambda x: F.struct(x.isNotNull().alias("there"), hashable(x, dtype.elementType).alias("value"))
+        )
+        return F.struct(F.size(col).alias("length"), there.alias("elements"))
+    if isinstance(dtype, T.StructType):
+        parts = []
+        for i, f in enumerate(dtype.fields):
+            field = col[f.name]
+            parts += [field.isNotNull().alias(f"there{i}"), hashable(field, f.dataType).alias(f"value{i}")]
+        return F.struct(*parts) if parts else F.lit(0)
+    return col
+
+
 def digest(texts: Sequence[Column]) -> Column:
     """32-byte SHA-256 of a list of texts, each prefixed by its length.
 

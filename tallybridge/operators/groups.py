@@ -20,6 +20,8 @@ SLICES = 1024
 HEAVY_KEYS = 1024
 # A list of this many identities, at 32 bytes each, is broadcast whole: two megabytes.
 BROADCAST_KEYS = 65_536
+# Bits for each key of a longer list, and bits in all: 16 MB.
+SLOTS_PER_KEY, MOST_SLOTS = 16, 1 << 27
 # Copies of one row that a single task writes in place; beyond it they are spread out.
 COPIES_IN_PLACE = 10_000
 
@@ -54,29 +56,54 @@ def group_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rows_in_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:
+def rows_in_groups(
+    rows: DataFrame, groups: DataFrame, on: Sequence[str], hot: DataFrame | None = None
+) -> DataFrame:
     """All ``rows`` whose group is listed in ``groups`` (columns ``on`` and a size ``n``).
 
     ``on`` are identities (see :func:`add_identity`), so a list of known length has a
-    known size. The list is counted first. None: no row is read. Up to
-    ``BROADCAST_KEYS``: a broadcast, and no row is shuffled. Beyond that the largest
-    groups are matched by broadcast and the rest by shuffle, where no group can hold
-    more than 1/HEAVY_KEYS of the listed rows. NULL is a group of its own.
+    known size. The list is counted first; it is read more than once, so it should be a written table.
+    None: no row is read. Up to ``BROADCAST_KEYS``: a broadcast, and no row is shuffled. Beyond that a
+    bitmap of the listed groups keeps most other rows out of the shuffle, and groups that hold more than
+    1/HEAVY_KEYS of the listed rows, fewer than HEAVY_KEYS, are matched by broadcast. ``hot`` names more groups to
+    be dealt with that way (``on`` and ``listed``): large ones that are not asked for, as far as they are
+    known. NULL is a group of its own.
     """
     on = list(on)
-    listed = groups.select(*on)
-    length = listed.count()
+    length, total = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
     if length == 0:
         return rows.where(F.lit(False))
+    listed = groups.select(*on)
     if length <= BROADCAST_KEYS:
         return _null_safe_join(rows, F.broadcast(listed), on, "left_semi")
-    heavy = F.broadcast(groups.orderBy(F.desc("n"), *on).limit(HEAVY_KEYS).select(*on))
-    light = _null_safe_join(listed, heavy, on, "left_anti")
-    hot_rows = _null_safe_join(rows, heavy, on, "left_semi")
-    cold_rows = _null_safe_join(rows, heavy, on, "left_anti")
+    is_heavy = F.col("n") * HEAVY_KEYS > total
+    heavy = groups.where(is_heavy).select(*on)
+    apart = heavy if hot is None else heavy.unionAll(hot.where("not listed").select(*on))
+    candidates = _possibly_listed(rows, groups.where(~is_heavy), on, length)
+    if apart.isEmpty():
+        return _null_safe_join(candidates, listed, on, "left_semi")
+    hot_rows = _null_safe_join(rows, F.broadcast(heavy), on, "left_semi")
+    cold_rows = _null_safe_join(candidates, F.broadcast(apart), on, "left_anti")
+    light = groups.where(~is_heavy).select(*on)
     return hot_rows.unionAll(_null_safe_join(cold_rows, light, on, "left_semi"))
 
 
+def _possibly_listed(rows: DataFrame, groups: DataFrame, on: list[str], length: int) -> DataFrame:
+    """``rows`` without most of those whose group is not listed: a bitmap of hashes, of at most ``MOST_SLOTS`` bits."""
+    slots = 1 << 15
+    while slots < min(MOST_SLOTS, length * SLOTS_PER_KEY):
+        slots *= 2
+    slot = F.pmod(F.xxhash64(*on, *[F.col(c).isNull() for c in on]), F.lit(slots)) + 1
+    bitmaps = groups.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits")
+    )
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
+    tagged = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "_bucket")
+    return tagged.where(is_set).select(*rows.columns)
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     renamed = right.toDF(*[f"_r_{c}" for c in on])
     condition = None

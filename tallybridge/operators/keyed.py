@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import (
     NESTED,
     as_text,
-    comparable_pair,
     differs,
+    hashable_pair,
     missing_to_null,
     positional,
     wider_type,
 )
 from ..functions.text import rendered_change
 from .columns import common_columns
-from .groups import add_identity, rows_in_groups
+from .groups import HEAVY_KEYS, add_identity, rows_in_groups
 from .stored import Workspace
 
 OLD, NEW = "o", "n"
@@ -69,21 +69,45 @@ class KeyedComparison:
         self._key_names = [f"k{i}" for i in range(len(self.key))]
         self._old_keys, self._new_keys = self._aligned_keys()
         self._stored: DataFrame | None = None
+        self._open: DataFrame | None = None
+        self.workspace: Workspace | None = None
 
-    def store(self, workspace: Workspace) -> None:
+    def open_keys(self) -> DataFrame:
+        """:meth:`profile` without the keys that are one equal row on each side, as a written table.
+
+        Digests tell which keys to look at; only their rows are brought together. The first result asked for
+        runs this one pass, which also counts what it leaves out; all others start from the list.
+        """
+        if self._open is None:
+            self.workspace = self.workspace or Workspace(self.original.sparkSession)
+            passed = Observation()
+            profile = self.profile().observe(
+                passed,
+                F.count(F.when(F.col("equal"), 1)).alias("equal"),
+                F.count(F.when((F.col("o_rows") > 1) | (F.col("n_rows") > 1), 1)).alias("repeated"),
+            )
+            self._open = self.workspace.store(profile.where(~F.col("equal")))
+            found = passed.get
+            self._equal_keys, self._repeated_keys = found.get("equal") or 0, found.get("repeated") or 0
+        return self._open
+
+    def store(self, workspace: Workspace | None = None) -> None:
         """Keep every key that is not one equal row on each side as a table.
 
         Later results are answered from it, so a report of many parts reads the two
         tables once.
         """
         if self._stored is None:
-            # Digests tell which keys to look at; only their rows are brought together.
-            open_keys = workspace.store(
-                self.profile().where(~F.col("equal")).select(*self._key_names, F.col("n"))
-            )
+            self.workspace = self.workspace or workspace
             uneven = ~F.col("is_common") | (F.col("o_rows") > 1) | (F.col("n_rows") > 1)
-            keys = self.keys(among=open_keys).where(uneven | self._changed())
-            self._stored = workspace.store(keys)
+            keys = self.keys().where(uneven | self._changed())
+            self._stored = self.workspace.store(keys)
+
+    def close(self) -> None:
+        """Drop the intermediate tables; lazy results that were not written are gone."""
+        if self.workspace is not None:
+            self.workspace.drop()
+        self.workspace = self._open = self._stored = None
 
     # -- the joined form ------------------------------------------------------------
 
@@ -93,11 +117,13 @@ class KeyedComparison:
         for name, key in zip(self._key_names, self.key):
             (oc, ot), (nc, nt) = self._cell(OLD, key), self._cell(NEW, key)
             common = wider_type(ot, nt)
-            if common is not None and not isinstance(common, NESTED):
+            if common is not None:
                 oc, nc = oc.cast(common), nc.cast(common)
+                if isinstance(common, NESTED):
+                    oc, nc = as_text(oc, common), as_text(nc, common)
             else:
                 oc, nc = as_text(oc, ot), as_text(nc, nt)
-                if common is None and not self.align_types:
+                if not self.align_types:
                     # Text and number never match: keep the two sides apart.
                     oc, nc = F.concat(F.lit("o:"), oc), F.concat(F.lit("n:"), nc)
             old_keys.append(oc.alias(name))
@@ -133,7 +159,7 @@ class KeyedComparison:
     def _digests(self, side: str) -> list[Column]:
         """Two hashes of the compared cells, equal where no cell differs, and whether one is missing."""
         cells = [self._pair(c)[side == NEW] for c in self.compared]
-        missing = [c.isNull() for c in cells]
+        missing = [self._cell(side, c)[0].isNull() for c in self.compared]
         any_missing = F.lit(False)
         for m in missing:
             any_missing = any_missing | m
@@ -144,9 +170,9 @@ class KeyedComparison:
         ]
 
     def _pair(self, column: str) -> tuple[Column, Column]:
-        """Both sides' cells of a column, as values that are equal where the cells are."""
+        """Both sides' cells of a column, as values whose hashes are equal where the cells are."""
         (oc, ot), (nc, nt) = self._cell(OLD, column), self._cell(NEW, column)
-        return comparable_pair(oc, ot, nc, nt, align_types=self.align_types)
+        return hashable_pair(oc, ot, nc, nt, align_types=self.align_types)
 
     def profile(self) -> DataFrame:
         """One row per key: k0…, o_rows, n_rows, is_added, is_deleted, is_common, n (rows of
@@ -200,15 +226,44 @@ class KeyedComparison:
         return [c for c in leading if c in columns] + [c for c in columns if c not in leading]
 
     def keys(
-        self, old_payload=None, new_payload=None, every: bool = False, among: DataFrame | None = None
+        self, old_payload=None, new_payload=None, every: bool = False, common: bool = False
     ) -> DataFrame:
-        """One row per key: k0…, o, n (last rows), o_rows, n_rows, is_added, is_deleted,
-        is_common. Once stored, keys of one equal row on each side are left out, unless
-        ``every`` key is asked for. ``among`` lists the only keys to look at."""
+        """One row per key that is not one equal row on each side: k0…, o, n (last rows), o_rows, n_rows,
+        is_added, is_deleted, is_common. Once stored, keys that turned out unchanged are left out too, unless
+        ``every`` key is asked for, and keys of one side alone where only ``common`` ones are."""
         if self._stored is not None and not every:
             return self._stored
-        old = self._one_side(OLD, self._payload(OLD, old_payload), among)
-        new = self._one_side(NEW, self._payload(NEW, new_payload), among)
+        payloads = {OLD: self._payload(OLD, old_payload), NEW: self._payload(NEW, new_payload)}
+        open_keys = self.open_keys().where("is_common") if common else self.open_keys()
+        repeated = (F.col("o_rows") > 1) | (F.col("n_rows") > 1)
+        single = self._classified(self._paired(payloads, open_keys.where(~repeated)))
+        if not self._repeated_keys:
+            return single
+        return single.unionByName(self._classified(self._last_rows(payloads, open_keys.where(repeated))))
+
+    def _paired(self, payloads: dict[str, list[str]], among: DataFrame) -> DataFrame:
+        """Keys with at most one row on each side: both rows side by side, nothing to choose."""
+        names = self._key_names
+        old, new = (self._one_side(side, payloads[side], among) for side in (OLD, NEW))
+        old = old.select(*names, F.col("row").alias(OLD))
+        new = new.select(*[F.col(k).alias(f"_{k}") for k in names], F.col("row").alias(NEW))
+        same = F.lit(True)
+        for k in names:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        both = old.join(new, same, "full_outer")
+        # Where the old row is missing its key is too, and null otherwise only if the new one is.
+        return both.select(
+            *[F.coalesce(k, f"_{k}").alias(k) for k in names],
+            OLD,
+            NEW,
+            F.col(OLD).isNotNull().cast("long").alias("o_rows"),
+            F.col(NEW).isNotNull().cast("long").alias("n_rows"),
+        )
+
+    def _last_rows(self, payloads: dict[str, list[str]], among: DataFrame) -> DataFrame:
+        """Repeated keys: their last row on each side, chosen by one aggregate over both, before and after the
+        shuffle, so that a key that holds a third of a table arrives as one row per task."""
+        old, new = (self._one_side(side, payloads[side], among) for side in (OLD, NEW))
         empty_old = F.lit(None).cast(old.schema["row"].dataType)
         empty_new = F.lit(None).cast(new.schema["row"].dataType)
         one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -220,18 +275,15 @@ class KeyedComparison:
                 *k, empty_old.alias(OLD), F.col("row").alias(NEW), none.alias("oc"), one.alias("nc")
             )
         )
-        grouped = both.groupBy(*k).agg(
+        return both.groupBy(*k).agg(
             _last(OLD, old.schema["row"].dataType, len(self.order_by)).alias(OLD),
             _last(NEW, new.schema["row"].dataType, len(self.order_by)).alias(NEW),
             F.sum("oc").alias("o_rows"),
             F.sum("nc").alias("n_rows"),
         )
-        return self._classified(grouped)
 
     def key_counts(self) -> DataFrame:
-        """:meth:`keys` without the rows: reads and shuffles only the key columns."""
-        if self._stored is not None:
-            return self._stored.drop(OLD, NEW)
+        """Keys and row counts of both sides: reads and shuffles only the key columns."""
         one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
         both = self._old.select(*self._old_keys, one.alias("oc"), none.alias("nc")).unionAll(
             self._new.select(*self._new_keys, none.alias("oc"), one.alias("nc"))
@@ -299,26 +351,18 @@ class KeyedComparison:
 
     def statuses(self) -> DataFrame:
         """Every key with its status: added, deleted, updated or matched."""
-        status = (
-            F.when(self._changed(), "updated").when(F.col("is_common"), "matched")
-        )
-        old, new = self._payloads_for_cells()
-        keys = self.keys(old, new, every=True)
-        kept = keys.select(
-            *self._key_names, "o_rows", "n_rows", "is_added", "is_deleted", status.alias("s")
-        )
+        status = F.when(self._changed(), "updated").otherwise("matched")
+        names = [*self._key_names, "o_rows", "n_rows"]
+        both = self.keys(*self._payloads_for_cells(), every=True, common=True).select(*names, status.alias("status"))
         # A missing key is one added and one deleted entry, hence the small explode.
-        entries = F.filter(
-            F.array(
-                F.col("s"),
-                F.when(F.col("is_added"), F.lit("added")),
-                F.when(F.col("is_deleted"), F.lit("deleted")),
-            ),
-            lambda e: e.isNotNull(),
+        sides = F.array_compact(
+            F.array(F.when(F.col("is_added"), F.lit("added")), F.when(F.col("is_deleted"), F.lit("deleted")))
         )
-        return kept.select(
+        one = self.open_keys().where("not is_common").select(*names, F.explode(sides).alias("status"))
+        equal = self.profile().where("equal").select(*names, F.lit("matched").alias("status"))
+        return both.unionByName(one).unionByName(equal).select(
             *[F.col(k).alias(name) for k, name in zip(self._key_names, self.key)],
-            F.explode(entries).alias("status"),
+            "status",
             F.col("o_rows").alias("source_rows"),
             F.col("n_rows").alias("target_rows"),
         )
@@ -332,11 +376,11 @@ class KeyedComparison:
     def _one_sided_rows(self, side: str, flag: str, rows: str) -> DataFrame:
         """All occurrences of the keys that only one side has, with all its columns.
 
-        The keys are found by their columns alone, then their rows by membership. Stored
-        keys with one row have it at hand already.
+        The keys are found first, then their rows by membership. Stored keys with one row have it at
+        hand already.
         """
         df, frame = (self.original, self._old) if side == OLD else (self.new, self._new)
-        groups = self.key_counts().where(flag).select(*self._key_names, F.col(rows).alias("n"))
+        groups = self.open_keys().where(flag).select(*self._key_names, F.col(rows).alias("n"))
         if self._stored is None:
             return self._rows_of(side, groups).toDF(*df.columns)
         single = self._stored.where(F.col(flag) & (F.col(rows) == 1))
@@ -344,18 +388,30 @@ class KeyedComparison:
         return single.unionAll(self._rows_of(side, groups.where("n > 1"))).toDF(*df.columns)
 
     def _rows_of(self, side: str, groups: DataFrame) -> DataFrame:
-        """All rows of one side whose key is listed in ``groups``."""
+        """All rows of one side whose key is listed in ``groups``, a part of :meth:`open_keys`."""
         frame = self._old if side == OLD else self._new
         keys = self._old_keys if side == OLD else self._new_keys
         tagged, identity = add_identity(frame.select("*", *keys), self._key_names)
         listed, _ = add_identity(groups, self._key_names)
-        return rows_in_groups(tagged, listed, identity).select(*frame.columns)
+        # Only repeated keys can be large, and these are all open.
+        repeated = self.open_keys().where("o_rows > 1 or n_rows > 1").select(*self._key_names, "n")
+        large, _ = add_identity(repeated.orderBy(F.desc("n"), *self._key_names).limit(HEAVY_KEYS), self._key_names)
+        asked = listed.select(*identity).withColumn("listed", F.lit(True))
+        same = F.lit(True)
+        for c in identity:
+            same = same & large[c].eqNullSafe(asked[c])
+        hot = None
+        if self._repeated_keys:
+            hot = large.join(asked, same, "left").select(
+                *[large[c] for c in identity], F.col("listed").isNotNull().alias("listed")
+            )
+        return rows_in_groups(tagged, listed, identity, hot).select(*frame.columns)
 
     def updated_rows(self) -> DataFrame:
         """New-side rows with at least one changed cell."""
         row = [F.col(f"n.c{i}") for i in range(len(self.new.columns))]
         return (
-            self.keys(self._payloads_for_cells()[0])
+            self.keys(self._payloads_for_cells()[0], common=True)
             .where(self._changed())
             .select(*row)
             .toDF(*self.new.columns)
@@ -367,7 +423,7 @@ class KeyedComparison:
             *[F.col(f"n.c{i}").alias(c) for i, c in enumerate(self.new.columns)]
         )
         return (
-            self.keys(self._payloads_for_cells()[0])
+            self.keys(self._payloads_for_cells()[0], common=True)
             .where(self._changed())
             .select(*self._key_output(), self._changes().alias("changes"), row.alias("row_data"))
         )
@@ -377,7 +433,7 @@ class KeyedComparison:
         old = F.struct(*[F.col(f"o.c{i}").alias(c) for i, c in enumerate(self.original.columns)])
         new = F.struct(*[F.col(f"n.c{i}").alias(c) for i, c in enumerate(self.new.columns)])
         return (
-            self.keys()
+            self.keys(common=True)
             .where(self._changed())
             .select(*self._key_output(), old.alias("old"), new.alias("new"))
         )
@@ -386,7 +442,7 @@ class KeyedComparison:
         """One row per changed cell: key columns, column_name, old_value, new_value."""
         old, new = self._payloads_for_cells()
         key_positions = [f"c{self.new.columns.index(k)}" for k in self.key]
-        changed = self.keys(old, list(dict.fromkeys(new + key_positions))).where(self._changed())
+        changed = self.keys(old, list(dict.fromkeys(new + key_positions)), common=True).where(self._changed())
         names = [f"_k{i}" for i in range(len(self.key))]
         keys = [k.alias(name) for k, name in zip(self._key_output(), names)]
         cells = changed.select(*keys, F.explode(self._changes()).alias("_column", "_v"))
@@ -405,21 +461,22 @@ class KeyedComparison:
                 change = rendered_change(as_text(oc, ot), text, missing)
                 text = F.when(self._cell_differs(c), change).otherwise(text)
             cells.append(text)
-        changed = self.keys(self._payloads_for_cells()[0]).where(self._changed())
+        changed = self.keys(self._payloads_for_cells()[0], common=True).where(self._changed())
         return changed.select(*cells).toDF(*self.new.columns)
 
     def duplicate_rows(self, side: str) -> DataFrame:
         """All rows of one side whose key occurs more than once there."""
         df = self.original if side == OLD else self.new
         repeated = F.col("o_rows" if side == OLD else "n_rows")
-        groups = self.key_counts().where(repeated > 1)
+        groups = self.open_keys().where(repeated > 1)
         groups = groups.select(*self._key_names, repeated.alias("n"))
         return self._rows_of(side, groups).toDF(*df.columns)
 
     def counts(self) -> DataFrame:
         """One row of counts, from one pass over both tables; this runs it.
 
-        Only keys that repeat need their rows looked at, to compare the last ones.
+        Only keys that repeat need their rows looked at, to compare the last ones. Once the keys that differ are
+        listed, no pass is needed.
         """
 
         def total(condition: Column, amount: Column) -> Column:
@@ -427,7 +484,8 @@ class KeyedComparison:
 
         o, n, one = F.col("o_rows"), F.col("n_rows"), F.lit(1)
         looked_at = F.col("is_common") & ~F.col("single")
-        row = self.profile().agg(
+        profile = self.profile() if self._open is None else self._open
+        row = profile.agg(
             total(F.col("is_added"), n).alias("added_rows_count"),
             total(F.col("is_deleted"), o).alias("deleted_rows_count"),
             total(F.col("single") & ~F.col("equal"), one).alias("updated_rows_count"),
@@ -438,14 +496,16 @@ class KeyedComparison:
             total(n > 0, n).alias("target_rows"),
             total(looked_at, one).alias("open_keys"),
         ).first().asDict()
+        if self._open is not None:
+            for name in ("matched_keys", "source_rows", "target_rows"):
+                row[name] += self._equal_keys
         if row.pop("open_keys"):
-            old, new = self._payloads_for_cells()
-            if self._stored is not None:
-                repeated = self._stored.where("o_rows > 1 or n_rows > 1")
-            if self._stored is None or self.nulls == "unequal":
-                listed = self.profile().where(looked_at).select(*self._key_names, "n")
-                repeated = self.keys(old, new, every=True, among=listed)
-            row["updated_rows_count"] += repeated.where(self._changed()).count()
+            keys = self._stored if self._stored is not None else self.keys(*self._payloads_for_cells(), common=True)
+            uneven = (F.col("o_rows") > 1) | (F.col("n_rows") > 1)
+            if self.nulls == "unequal":  # the digests decide on none of those with missing cells
+                row["updated_rows_count"] = keys.where(self._changed()).count()
+            else:
+                row["updated_rows_count"] += keys.where(uneven & self._changed()).count()
         row["matched_keys"] -= row["updated_rows_count"]
         schema = T.StructType([T.StructField(k, T.LongType()) for k in row])
         return self.original.sparkSession.createDataFrame([tuple(row.values())], schema)

@@ -61,6 +61,10 @@ class KeylessComparison:
                 if not isinstance(df.schema[order_by].dataType, INTEGRALS):
                     raise ValueError(f"{order_by!r} must hold integral row positions")
 
+    def close(self) -> None:
+        """Drop the intermediate tables."""
+        self.workspace.drop()
+
     # -- exact phase ----------------------------------------------------------------
 
     def _texts(self, side: str) -> list[Column]:

@@ -21,7 +21,6 @@ from ..operators.columns import (
 )
 from ..operators.keyed import NEW, OLD, KeyedComparison
 from ..operators.keyless import KeylessComparison
-from ..operators.stored import Workspace
 
 KEY, ASSUMED_KEY, NO_KEY = "key", "assumed_key", "no_key"
 SUMMARY_COUNTS = (
@@ -103,13 +102,13 @@ def compare(
 
 
 class Diff:
-    """The result of a comparison. Every row result is a lazy DataFrame."""
+    """The result of a comparison. Every row result is a lazy DataFrame; with a key, the first one asked for
+    runs the pass that lists the keys which differ. ``close()`` drops that list."""
 
     def __init__(self, comparison: KeyedComparison | KeylessComparison, method: str):
         self.comparison, self.method = comparison, method
         self.original, self.new = comparison.original, comparison.new
         self.spark = self.original.sparkSession
-        self._workspace: Workspace | None = getattr(comparison, "workspace", None)
         self._kept: dict[str, DataFrame] = {}
 
     # -- columns --------------------------------------------------------------------
@@ -170,16 +169,15 @@ class Diff:
         """Keep all results, so that they outlive a change of the two inputs; ``close()`` drops
         them. Only rows that differ or repeat are written."""
         self.store()
-        if self._workspace is None:
-            self._workspace = Workspace(self.spark)
+        workspace = self.comparison.workspace
         wanted = [("added_rows",), ("deleted_rows",), ("updated_rows",), ("updated_details",),
                   ("cell_changes",), ("rendered_updates", ""), ("duplicate_rows", OLD),
                   ("duplicate_rows", NEW)]
-        counts = self._workspace.store(self.counts())
+        counts = workspace.store(self.counts())
         for name, *arguments in wanted:
             rows = self._answer(name, *arguments)
             # stored under plain names, since a table's own may differ in case only
-            plain = self._workspace.store(rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]))
+            plain = workspace.store(rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]))
             self._kept[" ".join([name, *arguments])] = plain.toDF(*rows.columns)
         self._kept["counts"] = counts
         return self
@@ -326,16 +324,13 @@ class Diff:
         """Keep the differing rows as an intermediate table, so that a report of many parts
         reads the two inputs once. Keyless comparisons always do."""
         if isinstance(self.comparison, KeyedComparison):
-            self._workspace = self._workspace or Workspace(self.spark)
-            self.comparison.store(self._workspace)
+            self.comparison.store()
         return self
 
     def close(self) -> None:
         """Drop the intermediate tables; results that were not written are gone."""
-        if self._workspace is not None:
-            self._workspace.drop()
-            self._workspace = None
-            self._kept.clear()
+        self.comparison.close()
+        self._kept.clear()
 
     def __enter__(self) -> Diff:
         return self
