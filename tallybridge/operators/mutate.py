@@ -55,10 +55,13 @@ def _draw(seed: int, *parts: Column) -> Column:
 def sample_rows(df: DataFrame, row_id: str, count: int, seed: int) -> DataFrame:
     """Mark exactly ``count`` rows, those with the least hash of their id: ``_picked``.
 
-    Rows per hash bucket are counted first (at most 2^20 numbers). Whole buckets below
-    the boundary are taken by a filter; only the boundary bucket is ordered.
+    The hash and id of the last one are looked for first, and the rows are told by comparing with
+    them. Rows per hash bucket are counted (at most 2^20 numbers); only the boundary bucket is ordered.
     """
-    draw = _draw(seed, quoted(row_id))
+    if count <= 0:
+        return df.withColumn("_picked", F.lit(False))
+    row = quoted(row_id)
+    draw = _draw(seed, row)
     bucket = F.shiftright(draw, BUCKET_SHIFT)
     sizes = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     up_to = Window.partitionBy(F.lit(0)).orderBy("bucket")
@@ -68,25 +71,20 @@ def sample_rows(df: DataFrame, row_id: str, count: int, seed: int) -> DataFrame:
         .orderBy("bucket")
         .first()
     )
-    if count <= 0:
-        return df.withColumn("_picked", F.lit(False))
     if boundary is None:
         return df.withColumn("_picked", F.lit(True))
     missing = count - (boundary["through"] - boundary["n"])
     last = (
         df.where(bucket == boundary["bucket"])
-        .select(quoted(row_id).alias("_last_id"), draw.alias("_last_draw"))
-        .orderBy("_last_draw", "_last_id")
+        .select(draw.alias("draw"), row.alias("id"))
+        .orderBy("draw", "id")
         .limit(missing)
-        .select("_last_id")
-    )
-    tagged = df.withColumn("_bucket", bucket)
-    in_last = (F.col("_bucket") == boundary["bucket"]) & quoted(row_id).eqNullSafe(F.col("_last_id"))
-    return (
-        tagged.join(last, in_last, "left_outer")
-        .withColumn("_picked", (F.col("_bucket") < boundary["bucket"]) | F.col("_last_id").isNotNull())
-        .drop("_bucket", "_last_id")
+        .agg(F.max(F.struct("draw", "id")).alias("last"))
+        .first()["last"]
     )
+    id_type = df.schema[row_id].dataType
+    tie = row.isNull() if last["id"] is None else row.isNull() | (row <= F.lit(last["id"]).cast(id_type))
+    return df.withColumn("_picked", (draw < last["draw"]) | ((draw == last["draw"]) & tie))
 
 
 def mutate(

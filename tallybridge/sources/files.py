@@ -118,9 +118,9 @@ def _no_glob(path: str) -> str:
 def with_row_index(scan: DataFrame, name: str = "_row_idx") -> DataFrame:
     """Number the rows of a frame read directly from files, by file name and position.
 
-    Rows are numbered inside their file block, which a task reads as a whole and in
-    order, and blocks are offset by the rows before them. Only one count per block is
-    brought together.
+    A task reads a file block as a whole and in order, so a row's place in its block follows from the running
+    number of its task; no row is sorted. Blocks are offset by the rows before them, in two steps: blocks
+    within their file, and files within all. Only one count per block is brought together, and one per file.
     """
     blocks = scan.select(
         "*",
@@ -128,20 +128,22 @@ def with_row_index(scan: DataFrame, name: str = "_row_idx") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_place"),
     )
-    counts = blocks.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        Window.partitionBy(F.lit(0))
-        .orderBy("_file", "_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocks.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")
     )
-    offsets = counts.select(
-        "_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
+    files = counts.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+    # One number per file, in the order of their names.
+    in_order = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_before"))
+    offsets = starts.join(files, "_file").select(
+        "_file", "_block", (F.col("_before") + F.col("_start") - F.col("_first")).alias("_offset")
     )
-    within = Window.partitionBy("_file", "_block").orderBy("_place")
     return (
         blocks.join(offsets, ["_file", "_block"])
-        .withColumn(name, F.col("_before") + F.row_number().over(within) - 1)
-        .drop("_file", "_block", "_place", "_before")
+        .withColumn(name, F.col("_offset") + F.col("_place"))
+        .drop("_file", "_block", "_place", "_offset")
     )
 
 

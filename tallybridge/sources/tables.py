@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,28 +79,103 @@ def write_table(df: DataFrame, table: str, database: str | None = None, fmt: str
     df.write.mode("overwrite").format(fmt).saveAsTable(qualified(table, database))
 
 
-def replace_table(df: DataFrame, table: str, database: str | None = None, fmt: str = "parquet") -> None:
+# Properties that belong to one table's files, not to its definition.
+OWN_PROPERTIES = ("transient_lastDdlTime", "numFiles", "numRows", "totalSize", "rawDataSize")
+
+
+@dataclass
+class Definition:
+    """What a table is besides its rows, as far as a frame with other columns can have it too."""
+
+    fmt: str
+    partitions: list[str]
+    buckets: int
+    bucket_columns: list[str]
+    properties: dict[str, str]
+    comment: str | None
+    column_comments: dict[str, str]
+
+
+def definition(spark: SparkSession, table: str, database: str | None = None) -> Definition:
+    target = qualified(table, database)
+    columns = spark.catalog.listColumns(target)
+    details = spark.sql(f"DESCRIBE TABLE EXTENDED {target}").where(
+        F.col("col_name").isin("Provider", "Num Buckets")
+    )
+    told = details.agg(
+        F.max(F.when(F.col("col_name") == "Provider", F.col("data_type"))).alias("fmt"),
+        F.max(F.when(F.col("col_name") == "Num Buckets", F.col("data_type"))).alias("buckets"),
+    ).first()
+    properties = spark.sql(f"SHOW TBLPROPERTIES {target}").where(~F.col("key").isin(*OWN_PROPERTIES))
+    entries = properties.agg(F.map_from_entries(F.array_agg(F.struct("key", "value"))).alias("p")).first()["p"]
+    return Definition(
+        told["fmt"] or "parquet",
+        [c.name for c in columns if c.isPartition],
+        int(told["buckets"] or 0),
+        [c.name for c in columns if c.isBucket],
+        entries or {},
+        spark.catalog.getTable(target).description,
+        {c.name: c.description for c in columns if c.description},
+    )
+
+
+def _define(spark: SparkSession, name: str, like: Definition, columns: Sequence[str]) -> None:
+    """Give a table the properties and comments of another one."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    for key, value in like.properties.items():
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({text(key)} = {text(value)})")
+    if like.comment:
+        spark.sql(f"COMMENT ON TABLE {name} IS {text(like.comment)}")
+    for column, comment in like.column_comments.items():
+        if column in columns:
+            spark.sql(f"ALTER TABLE {name} ALTER COLUMN {quote_identifier(column)} COMMENT {text(comment)}")
+
+
+def replace_table(df: DataFrame, table: str, database: str | None = None, fmt: str | None = None) -> None:
     """Replace a table that ``df`` itself may be reading: write beside it, then swap names.
 
-    The old table keeps its data until the new one is complete; a swap that fails half way is
-    undone. Names beside the table's are fresh, so no table of a user's is touched.
+    The new table keeps the format (unless ``fmt`` names one), partitioning, buckets, properties and comments of the
+    old one, as far as ``df`` has the columns. The old table keeps its data until the new one is complete; a
+    swap that fails half way is undone. Names beside the table's are fresh, so no table of a user's is touched.
     """
     spark = df.sparkSession
     mark = uuid.uuid4().hex[:12]
     target = qualified(table, database)
     staged, retired = (qualified(f"{table}__{kind}_{mark}", database) for kind in ("new", "old"))
-    df.write.mode("error").format(fmt).saveAsTable(staged)
     if not spark.catalog.tableExists(target):
+        df.write.mode("error").format(fmt or "parquet").saveAsTable(staged)
         spark.sql(f"ALTER TABLE {staged} RENAME TO {target}")
         return
-    declared = declared_key(spark, table, database)
-    spark.sql(f"ALTER TABLE {target} RENAME TO {retired}")
+    like, has = definition(spark, table, database), set(df.columns)
+    writer = df.write.mode("error").format(fmt or like.fmt)
+    partitioned = bool(like.partitions) and set(like.partitions) < has
+    if partitioned:
+        writer = writer.partitionBy(*like.partitions)
+    if like.buckets and set(like.bucket_columns) <= has:
+        writer = writer.bucketBy(like.buckets, *like.bucket_columns)
+    if not set(declared_key(spark, table, database)) <= has:
+        like.properties.pop(KEY_PROPERTY, None)
+    writer.saveAsTable(staged)
     try:
-        spark.sql(f"ALTER TABLE {staged} RENAME TO {target}")
+        _define(spark, staged, like, df.columns)
+        _rename(spark, target, retired, bool(like.partitions))
     except Exception:
-        spark.sql(f"ALTER TABLE {retired} RENAME TO {target}")
+        spark.sql(f"DROP TABLE {staged}")
+        raise
+    try:
+        _rename(spark, staged, target, partitioned)
+    except Exception:
+        _rename(spark, retired, target, bool(like.partitions))
         spark.sql(f"DROP TABLE {staged}")
         raise
     spark.sql(f"DROP TABLE {retired}")
-    if declared and set(declared) <= set(df.columns):
-        declare_key(spark, table, declared, database)
+
+
+def _rename(spark: SparkSession, name: str, to: str, partitioned: bool) -> None:
+    """Rename a table; not every catalog moves the places of its partitions along, so these are looked up anew."""
+    spark.sql(f"ALTER TABLE {name} RENAME TO {to}")
+    if partitioned:
+        spark.sql(f"MSCK REPAIR TABLE {to} SYNC PARTITIONS")
