@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 32
-#: A column with more values than this is not one of labels, which is an error.
-MOST_LABELS = 1_000
+#: So many labels at most are learned, the most frequent ones; documents of rarer ones are not sampled.
+MOST_LABELS = 100
 
 
 def fold(id_col: Column, modulus: int) -> Column:
@@ -23,14 +23,14 @@ def drawn(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 
 
 def sampled(df: DataFrame, label: str, id_col: str, per_label: int) -> tuple[DataFrame, dict]:
-    """About ``per_label`` rows of each label, chosen by a hash of the id, and the labels' row counts.
+    """About ``per_label`` rows of each of the ``MOST_LABELS`` most frequent labels (of equally frequent ones the
+    lesser), chosen by a hash of the id, and these labels' row counts.
 
     The number of rows is binomial around the bound, so it does not follow the input.
     """
-    found = df.groupBy(f"`{label}`").count().limit(MOST_LABELS + 1).collect()
-    if len(found) > MOST_LABELS:
-        raise ValueError(f"{label!r} has more than {MOST_LABELS} values")
-    counts = {r[0]: r[1] for r in found if r[0] is not None}
+    known = df.where(df[f"`{label}`"].isNotNull()).groupBy(df[f"`{label}`"].alias("label")).count()
+    found = known.orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
+    counts = {r["label"]: r["count"] for r in found}
     if not counts:
         return df.limit(0), counts
     share = F.create_map(

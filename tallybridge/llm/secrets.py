@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import fresh_name
-from .native import bound
+from .native import bound, running
 from .samples import drawn
 
 # The base patterns. Matches that fail the length are dropped, not retried.
@@ -52,39 +52,18 @@ def _places(text: Column, pattern: str, group: int, least: int) -> Column:
     """``(start, end)`` of all matches whose group has the least length."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.split(text, pattern, -1)
-    steps = F.filter(
-        F.arrays_zip(
-            F.transform(between, F.length).alias("gap"),
-            F.transform(whole, F.length).alias("size"),
-            F.transform(value, F.length).alias("value"),
-        ),
-        lambda x: x["size"].isNotNull(),
+    sizes = F.transform(whole, F.length)
+    # What lies before a match, and the match, move the end on; a list of ends is never grown one by one.
+    steps = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), sizes, lambda gap, size: gap + size)
+    ends = running(F.filter(steps, lambda step: step.isNotNull()), lambda x, y: x + y)
+    found = F.filter(
+        F.arrays_zip(ends.alias("end"), sizes.alias("size"), F.transform(value, F.length).alias("value")),
+        lambda x: x["value"] >= least,
     )
-    nothing = F.array().cast("array<struct<start:int,end:int>>")
-    found = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), nothing.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(
-                x["value"] >= least,
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + x["gap"]).alias("start"),
-                            (a["at"] + x["gap"] + x["size"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
+    places = F.transform(
+        found, lambda x: F.struct((x["end"] - x["size"]).alias("start"), x["end"].alias("end"))
     )
-    return F.when(text.rlike(pattern), found).otherwise(nothing)
+    return F.when(text.rlike(pattern), places).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def samples_from(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -227,37 +206,46 @@ def redact(
     """The same columns and rows, every stretch that spans cover replaced by one mask."""
     spans = fresh_name(docs, "secret_spans")
     found = scan(docs, ratios, text, spans)
-    zero = F.lit(0)
-    # stretches between merged spans; the last one is open
-    gaps = F.aggregate(
-        F.col(spans),
-        F.struct(zero.alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(
-                (x["start"] > acc["at"]) | (F.size(acc["gaps"]) == 0),
-                F.concat(
-                    acc["gaps"], F.array(F.struct(acc["at"].alias("a"), x["start"].alias("b")))
+
+    def covered(furthest: Column) -> Column:
+        """Stretches that spans cover, merged: where a span begins behind all before it, up to where the next such one does."""
+        firsts = F.filter(
+            F.transform(F.col(spans), lambda x, i: F.struct(x["start"].alias("a"), i.alias("i"))),
+            lambda x: (x["i"] == 0) | (x["a"] > F.get(furthest, x["i"] - 1)),
+        )
+        return bound(
+            firsts,
+            lambda f: F.transform(
+                f,
+                lambda x, k: F.struct(
+                    x["a"].alias("a"),
+                    F.get(furthest, F.coalesce(F.get(f, k + 1)["i"], F.size(furthest)) - 1).alias("b"),
                 ),
-            )
-            .otherwise(acc["gaps"])
-            .alias("gaps"),
-        ),
-        lambda acc: F.concat(
-            acc["gaps"],
-            F.array(F.struct(acc["at"].alias("a"), F.lit(2147483647).alias("b"))),
-        ),
-    )
-    masked = bound(
-        F.split(F.col(f"`{text}`"), ""),
-        lambda characters: F.array_join(
-            F.transform(
-                gaps,
-                lambda g: F.array_join(F.slice(characters, g["a"] + 1, g["b"] - g["a"]), ""),
             ),
-            mask,
-        ),
-    )
+        )
+
+    def marks(stretches: Column, length: Column) -> Column:
+        """For every character 0 if it stays, 1 if a mask takes its place, else 2."""
+
+        def around(x: Column, k: Column) -> Column:
+            before = F.coalesce(F.when(k > 0, F.get(stretches, k - 1)["b"]), F.lit(0))
+            return F.concat(
+                F.array_repeat(F.lit(0), x["a"] - before), F.array(F.lit(1)), F.array_repeat(F.lit(2), x["b"] - x["a"] - 1)
+            )
+
+        last = F.element_at(stretches, -1)["b"]
+        return F.concat(F.flatten(F.transform(stretches, around)), F.array_repeat(F.lit(0), length - last))
+
+    def masked(characters: Column) -> Column:
+        furthest = running(F.transform(F.col(spans), lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+        stretches = bound(furthest, covered)
+        flags = bound(stretches, lambda s: marks(s, F.size(characters)))
+        kept = F.zip_with(
+            characters, flags, lambda c, m: F.when(m == 0, c).when(m == 1, F.lit(mask)).otherwise(F.lit(""))
+        )
+        return F.array_join(kept, "")
+
+    masked = bound(F.split(F.col(f"`{text}`"), ""), masked)
     new = F.when(F.size(spans) > 0, masked).otherwise(F.col(f"`{text}`"))
     return found.select(
         *[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

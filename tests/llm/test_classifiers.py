@@ -125,3 +125,18 @@ def test_odd_texts_have_scores(spark, odd, empty):
     assert {r.predicted for r in toxicity.score(odd, without).collect()} == {0}
     same = toxicity.train(odd, odd.select("doc_id", F.lit(1).alias("toxic")))
     assert {r.predicted for r in toxicity.score(odd, same).collect()} == {1}
+
+
+def test_more_labels_than_are_learned(spark, monkeypatch):
+    """Rare labels are left out of training; every document still gets a language."""
+    from tallybridge.llm import samples
+
+    monkeypatch.setattr(samples, "MOST_LABELS", 2)
+    texts = {"en": "the and with that this from", "de": "der und mit dass nicht von", "fr": "les dans pour que avec sont"}
+    rows = [(i, f"{texts[lang]} {i}", lang) for i, lang in enumerate(["en"] * 30 + ["de"] * 20 + ["fr"] * 10)]
+    rows += [(100 + i, "word " * 5, f"dirty{i}") for i in range(40)] + [(200, "no label", None)]
+    docs = documents(spark, rows)
+    some, counts = samples.sampled(docs, "lang", "doc_id", 1000)
+    assert counts == {"en": 30, "de": 20} and {r.lang for r in some.collect()} == {"en", "de"}
+    found = language_id.identify(docs, language_id.train(docs), keep=["doc_id"]).collect()
+    assert len(found) == len(rows) and {r.lang_pred for r in found} <= {"en", "de", "und"}

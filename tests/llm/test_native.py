@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallybridge.llm import line_cleaning, queries, secrets
+from tallybridge.llm import line_cleaning, native, queries, secrets
 
 from .conftest import documents
 
@@ -182,3 +185,28 @@ def test_no_python_in_the_plan(spark, capsys, query):
     query(spark, SF).explain()
     text = capsys.readouterr().out
     assert "Scan parquet" in text and not re.search("Python|Pandas|Arrow", text)
+
+
+def test_running_values(spark):
+    pick = random.Random(9)
+    lists = [[pick.randrange(100) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 63, 64, 65, 1000)]
+    df = spark.createDataFrame([(v,) for v in lists], "v array<int>")
+    got = df.select(
+        "v",
+        native.running(df.v, lambda x, y: x + y).alias("sums"),
+        native.running(df.v, lambda x, y: F.greatest(x, y)).alias("most"),
+    ).collect()
+    for r in got:
+        assert r.sums == list(itertools.accumulate(r.v)) and r.most == list(itertools.accumulate(r.v, max))
+
+
+def test_a_text_of_very_many_matches(spark, ratios):
+    """200,000 matches: the work grows with them, not with their square."""
+    text = "token=abcdefg " * 200_000
+    df = documents(spark, [(1, text)])
+    started = time.time()
+    (row,) = secrets.scan(df, ratios, keep=["doc_id"]).collect()
+    assert [tuple(x) for x in row.spans] == [(14 * i, 0, 14 * i + 13) for i in range(200_000)]
+    (row,) = secrets.redact(df, ratios).select("text").collect()
+    assert row.text == "[SECRET] " * 200_000
+    assert time.time() - started < 60
