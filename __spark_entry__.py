@@ -637,6 +637,20 @@ def similar_lineitems_by_bands(spark, sf):
     return diff.comparison.similar_matches().groupBy("similarity").count()
 
 
+def bands_recall(spark, sf):
+    """Whether MinHash bands match nine tenths of the rows that can be matched, all of which the exact matcher finds."""
+    found = {
+        matcher: tb.compare(
+            _table(spark, sf, "customer").drop("c_custkey"), _sql(spark, sf, CUSTOMER_T).drop("c_custkey"),
+            matcher=matcher, threshold=0.5,
+        ).comparison.similar_matches().agg(F.count(F.lit(1)).alias(matcher))
+        for matcher in ("exact", "lsh")
+    }
+    # Two tables of one row each.
+    both = found["exact"].withColumn("one", F.lit(1)).join(found["lsh"].withColumn("one", F.lit(1)), "one")
+    return both.select((F.col("lsh") >= 0.9 * F.col("exact")).alias("recalled"), (F.col("exact") > 0).alias("tried"))
+
+
 def minhash_estimates(spark, sf):
     """Per customer, whether the signatures of its two versions estimate their overlap."""
     old, new = _table(spark, sf, "customer"), _sql(spark, sf, CUSTOMER_T)
@@ -895,7 +909,7 @@ QUERIES = [
     nokey_unmatched_target, nokey_matches_with_copies, duplicates_by_key, duplicates_by_content,
     duplicate_documents, positional_similarity, minhash_signatures, similar_matches, all_matches,
     nokey_updated_details, nokey_cell_changes, nokey_added, nokey_deleted, nokey_summary,
-    similar_orders, similar_lineitems, similar_lineitems_by_bands, minhash_estimates, reconciliation, reconciliation_less_added, severity,
+    similar_orders, similar_lineitems, similar_lineitems_by_bands, bands_recall, minhash_estimates, reconciliation, reconciliation_less_added, severity,
     outcome_share, change_score, column_widths, preview, report_tables, json_records, folder_ingest,
     row_index, table_names, migrate_manifest, gated_write, gated_write_report, json_array, json_object,
     load_manifest, load_preview, table_catalog, first_positions, events_shifted, utf8_digests,
@@ -1137,6 +1151,7 @@ def oracle_sql() -> dict[str, str]:
                   from o join n on o.vec_id = n.vec_id)
             select 'pairs' as column_name, count(*) as changes from c where p
             union all select 'ends', count(*) from c where e""",
+        "bands_recall": "select true as recalled, true as tried",
         "nokey_pages": f"with t as ({PAGES_T}) select html, url from t except all select html, url from pages",
         "keyed_nulls_safe": f"with o as ({ORDERS_NULLED}) select a.o_orderkey from o a "
         "join o b on a.o_orderkey = b.o_orderkey where a.o_orderpriority is distinct from b.o_orderpriority",

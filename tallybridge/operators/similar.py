@@ -51,8 +51,8 @@ PAIRS_PER_ROW = 16
 PERMUTATIONS = 64
 BAND_ROWS = (16, 8, 4, 2)
 BLOCKS_PER_ARRAY = 50
-# Turns of a band level without a verified pair after which it is left.
-IDLE_TURNS = 4
+# Partners that every row of a block of bands is paired with in turn before its level may be left.
+BAND_WINDOW = 6
 
 
 def columns_needed(threshold: float, width: int) -> int:
@@ -192,9 +192,10 @@ class SimilarRows:
                     found += count
                 turn += 1
                 if self.matcher == "lsh":
-                    # Where pairs fail, the next turn tries other partners in the same blocks.
+                    # Where pairs fail, the next turn moves every block on by one partner. A level is left once
+                    # all partners of a window, or of the largest block, were tried on the rows that remain.
                     idle = 0 if count else idle + 1
-                    if idle >= IDLE_TURNS:
+                    if idle and idle >= min(BAND_WINDOW, self._longest(choices)):
                         break
                 # With one block per row there was nothing to choose: the level is done.
                 elif not count or most == 1:
@@ -417,14 +418,24 @@ class SimilarRows:
             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("new_before"),
         ).where("old > 0 and new > 0")
 
+    def _longest(self, choices: DataFrame) -> int:
+        """Rows of the larger side of the largest block."""
+        sides = choices.groupBy(*BLOCK).agg(
+            F.greatest(F.count_if("is_new"), F.count_if(~F.col("is_new"))).alias("rows")
+        )
+        return sides.agg(F.max("rows")).first()[0] or 0
+
     def _paired(self, choices: DataFrame, turn: int) -> DataFrame:
-        """k-th old with k-th new chooser of each block: old_rid, new_rid."""
-        place = F.xxhash64("place", F.lit(turn)) if self.matcher == "lsh" else F.col("place")
-        within = Window.partitionBy(*BLOCK, "slice", "is_new").orderBy(place, "rid")
+        """k-th old with k-th new chooser of each block: old_rid, new_rid. With bands, the larger side is moved on
+        by one place a turn, so that one after the other all partners meet."""
+        within = Window.partitionBy(*BLOCK, "slice", "is_new").orderBy("place", "rid")
         rank = F.when(F.col("is_new"), F.col("new_before")).otherwise(F.col("old_before"))
+        moves = F.col("is_new") == (F.col("new") >= F.col("old"))
+        moved = F.pmod(F.col("rank") - 1 + turn, F.greatest("old", "new")) + 1
         numbered = (
             choices.join(self._shared_blocks(choices), [*BLOCK, "slice"])
             .withColumn("rank", rank + F.row_number().over(within))
+            .withColumn("rank", F.when(moves & F.lit(self.matcher == "lsh"), moved).otherwise(F.col("rank")))
             .where(F.col("rank") <= F.least("old", "new"))
         )
         pairs = numbered.groupBy(*BLOCK, "rank").agg(
