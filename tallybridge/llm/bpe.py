@@ -29,7 +29,7 @@ ASCII_PATTERN = (
     r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 #: Words remembered per worker.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Longer words are encoded each time, so that the memory stays bounded in bytes too.
 LONGEST_REMEMBERED = 128
 ID_BYTES = 4
