@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +21,7 @@ INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|inf|Inf|INF|infinity|Infinity)\s*$"
 
 MISFIT = "_misfit"
+CSV_NAMES = "*.[cC][sS][vV]"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -33,18 +37,87 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     header = reader.csv(path).first()
     if header is None:
         raise ValueError(f"no columns in {path}")
-    names = _distinct_names(list(header))
-    fields = [f"c{i}" for i in range(len(names))]
+    fields = _fields(len(header))
+    raw = _raw(reader, fields).csv(path)
+    seen = raw.select(*_cells(fields), MISFIT).agg(*_type_counts(fields)).first()
+    return _typed(raw, path, list(header), seen)
+
+
+def read_csv_folder(
+    spark: SparkSession, folder: str, suffix: str | None = None
+) -> dict[str, DataFrame | ValueError]:
+    """All CSV files below a folder by path, as ``read_csv`` reads each, in a number of jobs that does not grow with them.
+
+    One pass over the lines finds the header of every file and whether its cells may hold line breaks; one more
+    over the cells, for the files of either kind, counts what types its columns can have. Both are aggregated by file. A file whose
+    header goes over several lines is left out, and so is an empty one, which has no lines: they are for ``read_csv``.
+    """
+    options = {"recursiveFileLookup": True, "pathGlobFilter": CSV_NAMES}
+    file = F.col("_metadata.file_path").alias("file")
+    wanted = F.lit(True) if suffix is None else F.col("file").endswith(suffix)
+    # A line's place: its block in the file, then the running number in the task that reads the block.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.options(**options).text(folder).select("value", file, place.alias("place")).where(wanted)
+    filled = F.col("value").rlike(r"[^\x00-\x20]")
+    heads = lines.groupBy("file").agg(
+        F.min_by("value", "place").alias("first"),
+        F.min_by(F.when(filled, F.col("value")), F.when(filled, F.col("place"))).alias("header"),
+        F.max(_quotes(F.col("value")) % 2).alias("breaks"),
+    )
+    headers: dict[bool, dict[str, list[str | None]]] = {False: {}, True: {}}
+    for row in heads.where("header is not null").collect():
+        breaks = bool(row["breaks"])
+        if row["header"].count('"') % 2 or (breaks and row["first"] != row["header"]):
+            continue
+        headers[breaks][row["file"]] = next(csv.reader([row["header"]]))
+    found: dict[str, DataFrame | ValueError] = {}
+    for breaks, files in headers.items():
+        if not files:
+            continue
+        reader = spark.read.options(quote='"', escape='"', multiLine=breaks)
+        widest = _fields(max(map(len, files.values())))
+        # Lines of narrower files are misfits here; only one with more cells than its own header is in excess.
+        cells = _raw(reader, widest).options(**options).csv(folder).select(*_cells(widest), MISFIT, file).where(wanted)
+        if headers[not breaks]:
+            cells = cells.where(F.col("file").isin(list(files)))
+        for seen in cells.groupBy("file").agg(*_type_counts(widest)).collect():
+            if seen["file"] not in files:
+                continue
+            path, header = seen["file"], files[seen["file"]]
+            raw = _raw(reader, _fields(len(header))).csv(no_glob(path))
+            try:
+                found[path] = _typed(raw, path, header, seen)
+            except ValueError as error:
+                found[path] = error
+    return found
+
+
+def no_glob(path: str) -> str:
+    """Readers take patterns: escape the characters that would make a name one."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path)
+
+
+def _fields(width: int) -> list[str]:
+    return [f"c{i}" for i in range(width)]
+
+
+def _raw(reader: DataFrameReader, fields: Sequence[str]) -> DataFrameReader:
+    """Text cells; a line with more or fewer fields than the header is put into MISFIT too."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*fields, MISFIT]])
-    # The reader puts a line with more or fewer fields than the header into MISFIT.
-    raw = reader.options(header=True, columnNameOfCorruptRecord=MISFIT).schema(schema).csv(path)
-    cells = [F.when(~F.col(c).isin(MISSING_TOKENS), F.col(c)).alias(c) for c in fields]
-    surplus = F.when(_separators(F.col(MISFIT)) >= len(fields), 1).alias(MISFIT)
-    types, overflow = infer_types(raw.select(*cells, surplus), fields)
+    return reader.options(header=True, columnNameOfCorruptRecord=MISFIT).schema(schema)
+
+
+def _cells(fields: Sequence[str]) -> list[Column]:
+    return [F.when(~F.col(c).isin(MISSING_TOKENS), F.col(c)).alias(c) for c in fields]
+
+
+def _typed(raw: DataFrame, path: str, header: Sequence[str | None], seen: Row) -> DataFrame:
+    fields = _fields(len(header))
+    types, overflow = _types(seen, fields)
     if overflow:
         raise ValueError(f"{path} has lines with more fields than its header")
     typed = [typed_cell(F.col(c), types[c]).alias(c) for c in fields]
-    return raw.select(*cells).select(*typed).toDF(*names)
+    return raw.select(*_cells(fields)).select(*typed).toDF(*_distinct_names(header))
 
 
 def _separators(line: Column) -> Column:
@@ -55,12 +128,15 @@ def _separators(line: Column) -> Column:
 
 def _may_break_lines_in_cells(spark: SparkSession, path: str) -> bool:
     """True if some line has an odd number of quotes, so that a cell may go on after it."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     lines = spark.read.text(path)
-    return bool(lines.agg(F.max(quotes % 2)).first()[0])
+    return bool(lines.agg(F.max(_quotes(F.col("value")) % 2)).first()[0])
 
 
-def _distinct_names(header: list[str | None]) -> list[str]:
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _distinct_names(header: Sequence[str | None]) -> list[str]:
     """Header names: blanks are numbered, repeated names get .1, .2, …"""
     names: list[str] = []
     for i, name in enumerate(header):
@@ -73,12 +149,9 @@ def _distinct_names(header: list[str | None]) -> list[str]:
     return names
 
 
-def infer_types(cells: DataFrame, fields: list[str]) -> tuple[dict[str, T.DataType], bool]:
-    """Column types from one aggregate over all text cells, and whether lines overflow.
-
-    Whole numbers are bigint only in a column without missing cells, else double.
-    """
-    aggregates = [F.count(F.lit(1)).alias("rows"), F.count(MISFIT).alias("overflow")]
+def _type_counts(fields: Sequence[str]) -> list[Column]:
+    """Over text cells and MISFIT: the rows, the most separators of a misfit, and per column how many cells look like what."""
+    aggregates = [F.count(F.lit(1)).alias("rows"), F.max(_separators(F.col(MISFIT))).alias("separators")]
     for c in fields:
         col = F.col(c)
         integer = col.rlike(INTEGER)
@@ -89,7 +162,14 @@ def infer_types(cells: DataFrame, fields: list[str]) -> tuple[dict[str, T.DataTy
             F.count_if(col.rlike(NUMBER)).alias(f"number_{c}"),
             F.count_if(col.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"boolean_{c}"),
         ]
-    seen = cells.agg(*aggregates).first()
+    return aggregates
+
+
+def _types(seen: Row, fields: Sequence[str]) -> tuple[dict[str, T.DataType], bool]:
+    """Column types from those counts, and whether lines overflow.
+
+    Whole numbers are bigint only in a column without missing cells, else double.
+    """
     types: dict[str, T.DataType] = {}
     for c in fields:
         present = seen[f"present_{c}"]
@@ -107,7 +187,7 @@ def infer_types(cells: DataFrame, fields: list[str]) -> tuple[dict[str, T.DataTy
             types[c] = T.BooleanType()
         else:
             types[c] = T.StringType()
-    return types, seen["overflow"] > 0
+    return types, (seen["separators"] or 0) >= len(fields)
 
 
 def typed_cell(cell: Column, dtype: T.DataType) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .csv import read_csv
+from .csv import no_glob, read_csv, read_csv_folder
 from .json import read_json
 from .workbook import read_workbook
 
@@ -70,12 +71,19 @@ def load_files(
         return _load(spark, [path])
     if folder is None or path is not None:
         raise ValueError("give a folder, a folder and an extension, or a path")
-    return _load(spark, [p for p in list_files(spark, folder, extension) if extension_of(p) in READERS])
+    paths = [p for p in list_files(spark, folder, extension) if extension_of(p) in READERS]
+    known = {}
+    if any(extension_of(p) == "csv" for p in paths):
+        try:
+            known = read_csv_folder(spark, folder, extension)
+        except Exception:  # one unreadable file fails the pass over all of them: each tells its own error then
+            known = {}
+    return _load(spark, paths, known)
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str | None = None) -> list[str]:
     """Paths below a folder in name order; ``suffix`` is compared with case. Only file
-    names reach the driver: the content column is never read."""
+    names reach the driver: the content column is never read. Spark's scans pass over files without a byte."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     )
@@ -84,12 +92,18 @@ def list_files(spark: SparkSession, folder: str, suffix: str | None = None) -> l
     return [r["path"] for r in files.orderBy("path").collect()]
 
 
-def _load(spark: SparkSession, paths: list[str]) -> LoadResult:
+def _load(
+    spark: SparkSession, paths: list[str], known: Mapping[str, DataFrame | ValueError] | None = None
+) -> LoadResult:
     result = LoadResult(spark)
     for path in paths:
         name, status = dataset_name(path), "loaded"
         try:
-            df = READERS[extension_of(path)](spark, _no_glob(path))
+            df = (known or {}).get(path)
+            if df is None:
+                df = READERS[extension_of(path)](spark, no_glob(path))
+            if isinstance(df, ValueError):
+                raise df
         except Exception as error:  # any unreadable file: report it, load the rest
             result.files.append((path, None, "failed", str(error)))
             continue
@@ -110,11 +124,6 @@ def _free_name(name: str, path: str, taken: dict[str, DataFrame]) -> str:
     return candidate
 
 
-def _no_glob(path: str) -> str:
-    """Readers take patterns: escape the characters that would make a name one."""
-    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path)
-
-
 def with_row_index(scan: DataFrame, name: str = "_row_idx") -> DataFrame:
     """Number the rows of a frame read directly from files, by file name and position.
 
