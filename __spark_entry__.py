@@ -24,6 +24,7 @@ from tallybridge.operators.groups import repeated_rows  # noqa: E402
 from tallybridge.operators.similar import columns_needed, minhash_signature  # noqa: E402
 from tallybridge.operators.stored import shared_folder  # noqa: E402
 from tallybridge.sources import tables  # noqa: E402
+from tallybridge.sources.files import list_files  # noqa: E402
 
 # The operators for training text may be absent as a whole, together with their pipeline.
 try:
@@ -111,6 +112,18 @@ CUSTOMER_ONE_CELL = """
     select c_custkey + 10000000, 'Added ' || c_name, c_nationkey, c_acctbal, c_mktsegment
     from customer where c_custkey % 100 = 7
 """
+# Keys that come twice on either side, and a column with another name.
+CUSTOMER_TWICE = """
+    select c_custkey as place, c_custkey, c_name, c_nationkey, c_mktsegment from customer
+    union all
+    select c_custkey + 10000000, c_custkey, c_name, c_nationkey, 'COPY' from customer where c_custkey % 40 = 3
+"""
+CUSTOMER_TWICE_T = f"""
+    with t as ({CUSTOMER_T})
+    select c_custkey as place, c_custkey, c_name, c_nationkey as c_country, c_mktsegment from t
+    union all
+    select c_custkey + 20000000, c_custkey, c_name, c_nationkey, 'TWICE' from t where c_custkey % 60 = 9
+"""
 CONVERSATIONS_T = """
     select conv_id, turn, role,
            case when conv_id % 6 = 1 then text || ' (edited)' else text end as text
@@ -724,6 +737,134 @@ def json_records(spark, sf):
     )
 
 
+def _customers_twice(spark, sf):
+    old, new = _sql(spark, sf, CUSTOMER_TWICE), _sql(spark, sf, CUSTOMER_TWICE_T)
+    return tb.compare(old, new, key="c_custkey", order_by="place")
+
+
+def preview_duplicates(spark, sf):
+    """A preview in which every category has rows."""
+    row = {c: F.get_json_object("row", f"$.{c}").cast("bigint").alias(c) for c in ("c_custkey", "place")}
+    return _customers_twice(spark, sf).preview().select(
+        "category", row["c_custkey"], F.when(F.col("category") != "updated", row["place"]).alias("place"), "remaining"
+    )
+
+
+def _contents(spark, written: dict[str, str], fmt: str, columns: dict[str, str]) -> DataFrame:
+    """The written tables below each other, with those of the columns that a table has, as text."""
+    whole = None
+    for name, location in written.items():
+        df = spark.read.format(fmt).load(location)
+        cells = []
+        for alias, path in columns.items():
+            has = path.split(".")[0] in df.columns
+            cells.append((F.col(path).cast("string") if has else F.lit(None).cast("string")).alias(alias))
+        part = df.select(F.lit(name).alias("table_name"), *cells)
+        whole = part if whole is None else whole.unionAll(part)
+    return whole
+
+
+REPORT_CELLS = "place c_custkey c_name c_mktsegment column_name details count percentage".split()
+
+
+def report_contents(spark, sf):
+    """All rows of the eight report tables, read from the files."""
+    with _customers_twice(spark, sf) as diff:
+        written = tb.write_report(diff, _new_folder(spark))
+    return _contents(spark, written, "parquet", {c: c for c in REPORT_CELLS})
+
+
+def json_contents(spark, sf):
+    """All records of the nine parts of a comparison as JSON, read from the files."""
+    with _customers_twice(spark, sf) as diff:
+        written = tb.write_json(diff, _new_folder(spark))
+    cells = {c: c for c in ("place", "c_custkey", "c_name", "c_mktsegment", "column_name")}
+    cells |= {"old_segment": "changes.c_mktsegment.old", "new_segment": "changes.c_mktsegment.new"}
+    cells |= {"row_name": "row_data.c_name"}
+    cells |= {f"n_{c.removesuffix('_count')}": c for c in JSON_COUNTS}
+    return _contents(spark, written, "json", cells)
+
+
+JSON_COUNTS = (
+    "added_columns_count deleted_columns_count added_rows_count deleted_rows_count updated_rows_count "
+    "duplicate_rows_in_source_count duplicate_rows_in_target_count"
+).split()
+
+
+def report_placeholders(spark, sf):
+    """Report tables without rows say so."""
+    with _customers_keyed(spark, sf) as diff:
+        written = tb.write_report(diff, _new_folder(spark), placeholder=True)
+    whole = None
+    for name, location in written.items():
+        df = spark.read.parquet(location)
+        message = F.max("Message") if "Message" in df.columns else F.lit(None).cast("string")
+        part = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), message.alias("message"))
+        whole = part if whole is None else whole.unionAll(part)
+    return whole
+
+
+def single_file_loads(spark, sf):
+    """Every file of a folder loaded by its own path, and the arguments that are refused."""
+    folder = _documents_by_nation(spark, sf, "to_json(s)")
+    whole = None
+    for path in list_files(spark, folder):
+        for name, df in tb.load_files(spark, path=path).frames.items():
+            part = df.select(F.lit(name).alias("attempt"), "s_suppkey")
+            whole = part if whole is None else whole.unionAll(part)
+    attempts = {
+        "nothing": {}, "folder and path": {"folder": folder, "path": folder}, "extension alone": {"extension": "json"},
+        "extension and path": {"extension": "json", "path": folder}, "another type": {"path": f"{folder}/nation_0.txt"},
+    }
+    for attempt, arguments in attempts.items():
+        try:
+            tb.load_files(spark, **arguments)
+        except ValueError:
+            whole = whole.unionAll(spark.createDataFrame([(f"{attempt}: refused", None)], "attempt string, key long"))
+    return whole
+
+
+def literal_table(spark, sf):
+    """A table written out in the program beside the segments that customers have."""
+    segments = [("BUILDING", 1), ("MACHINERY", 2), ("NO SUCH", 3), (None, 4)]
+    literal = spark.createDataFrame(segments, "c_mktsegment string, place int")
+    found = _table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"))
+    diff = tb.compare(literal, found, key="c_mktsegment")
+    return diff.added_rows().select("c_mktsegment", "customers").unionAll(
+        diff.deleted_rows().select("c_mktsegment", -F.col("place").cast("long"))
+    )
+
+
+def uniqueness_profile_csv(spark, sf):
+    """The profile of a folder of CSV files, each parsed once for all columns."""
+    folder = _new_folder(spark)
+    orders = _table(spark, sf, "orders")
+    tb.write_files(orders.repartition(3, "o_orderkey"), folder, "csv")
+    whole = None
+    for df in tb.load_files(spark, folder, extension=".csv").frames.values():
+        whole = df if whole is None else whole.unionByName(df)
+    return tb.profile_uniqueness(whole)
+
+
+def declared_key_columns(spark, sf):
+    """Key columns of all tables from their declared constraints, each with its repeated cells."""
+    database = f"tallybridge_{uuid.uuid4().hex}"
+    tb.use_database(spark, database, "new", _new_folder(spark))
+    declared = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "nation": []}
+    for name, key in declared.items():
+        tb.write_table(_table(spark, sf, name), name, database)
+        if key:
+            tb.declare_key(spark, name, key, database)
+    tb.declare_unique(spark, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber"], database)
+    tb.declare_unique(spark, "nation", ["n_name"], database)
+    keys = tables.key_columns(*tb.constraints(spark, database))
+    profiles = None
+    for name in declared:
+        part = tb.profile_uniqueness(tb.select(spark, name, database)).select(F.lit(name).alias("table_name"), "*")
+        profiles = part if profiles is None else profiles.unionAll(part)
+    return keys.join(profiles, ["table_name", "column_name"]).drop("ordinal")
+
+
 def folder_ingest(spark, sf):
     """A table written as several CSV files, loaded again as one frame per file."""
     folder = _new_folder(spark)
@@ -910,7 +1051,8 @@ QUERIES = [
     duplicate_documents, positional_similarity, minhash_signatures, similar_matches, all_matches,
     nokey_updated_details, nokey_cell_changes, nokey_added, nokey_deleted, nokey_summary,
     similar_orders, similar_lineitems, similar_lineitems_by_bands, bands_recall, minhash_estimates, reconciliation, reconciliation_less_added, severity,
-    outcome_share, change_score, column_widths, preview, report_tables, json_records, folder_ingest,
+    outcome_share, change_score, column_widths, preview, preview_duplicates, report_tables, report_contents, report_placeholders,
+    json_records, json_contents, single_file_loads, literal_table, uniqueness_profile_csv, declared_key_columns, folder_ingest,
     row_index, table_names, migrate_manifest, gated_write, gated_write_report, json_array, json_object,
     load_manifest, load_preview, table_catalog, first_positions, events_shifted, utf8_digests,
     mutated_texts, mutated_counts,
@@ -996,6 +1138,50 @@ def _keyed_summary_sql(old: str, new: str, key: list[str], values: list[str], co
     """
 
 
+# Last rows by place, and the pairs of them with a changed cell.
+_TWICE = f"""
+    with o as ({CUSTOMER_TWICE}), n as ({CUSTOMER_TWICE_T}),
+    lo as (select * from (select *, row_number() over (partition by c_custkey order by place desc) as rn from o) where rn = 1),
+    ln as (select * from (select *, row_number() over (partition by c_custkey order by place desc) as rn from n) where rn = 1),
+    p as (
+        select l.c_custkey, l.place as op, r.place as np, l.c_name as oc, r.c_name as nc,
+               l.c_mktsegment as om, r.c_mktsegment as nm
+        from lo l join ln r on l.c_custkey = r.c_custkey
+        where l.place is distinct from r.place or l.c_name is distinct from r.c_name
+           or l.c_mktsegment is distinct from r.c_mktsegment
+    ),
+    added as (select * from n where c_custkey not in (select c_custkey from o)),
+    deleted as (select * from o where c_custkey not in (select c_custkey from n)),
+    twice_o as (select * from (select *, count(*) over (partition by c_custkey) as times from o) where times > 1),
+    twice_n as (select * from (select *, count(*) over (partition by c_custkey) as times from n) where times > 1),
+    c as (
+        select (select count(*) from added) as added, (select count(*) from deleted) as deleted,
+               (select count(*) from p) as updated, (select count(*) from o) as source, (select count(*) from n) as target,
+               (select count(*) from twice_o) as twice_source, (select count(*) from twice_n) as twice_target
+    )
+"""
+
+
+def _arrow(old: str, new: str) -> str:
+    return f"case when {old} is distinct from {new} then cast({old} as varchar) || ' → ' || cast({new} as varchar) " \
+        f"else cast({new} as varchar) end"
+
+
+def _stacked(columns: list[str], parts: list[tuple[str, str, dict[str, str]]]) -> str:
+    """Selects below each other: a name, what it is selected from, and its columns as text, null where it has none."""
+    return " union all ".join(
+        f"select '{name}' as table_name, "
+        + ", ".join(f"cast({cells.get(c, 'null')} as varchar) as {c}" for c in columns)
+        + f" from {source}"
+        for name, source, cells in parts
+    )
+
+
+_ROW_CELLS = {c: c for c in ("place", "c_custkey", "c_name", "c_mktsegment")}
+_TARGET_ONLY = ("(select 'c_country' as column_name)", {"column_name": "column_name"})
+_SOURCE_ONLY = ("(select 'c_nationkey' as column_name)", {"column_name": "column_name"})
+
+
 def _uniqueness(table: str, columns: list[str]) -> str:
     return " union all ".join(
         f"select {i} as ordinal, '{c}' as column_name, count(*) - count(distinct {c}) as duplicate_count, "
@@ -1290,6 +1476,78 @@ def oracle_sql() -> dict[str, str]:
                 ("updated", "ok", "ok is not null and nk is not null and changed", "updated"),
             ]
         ),
+        "preview_duplicates": _TWICE + " union all ".join(
+            f"select '{category}' as category, c_custkey, {place} as place, greatest(0, (select {total} from c) - {n}) as remaining "
+            f"from (select * from {source} order by c_custkey, place limit {n})"
+            for category, source, place, total, n in [
+                ("added", "added", "place", "added", 5),
+                ("deleted", "deleted", "place", "deleted", 5),
+                ("updated", "(select c_custkey, np as place from p)", "null::bigint", "updated", 5),
+                ("duplicate_in_source", "twice_o", "place", "twice_source", 4),
+                ("duplicate_in_target", "twice_n", "place", "twice_target", 4),
+            ]
+        ),
+        "report_contents": _TWICE + _report_lines(NET) + _stacked(REPORT_CELLS, [
+            ("columns_only_in_target", *_TARGET_ONLY),
+            ("columns_only_in_source", *_SOURCE_ONLY),
+            ("rows_only_in_target", "added", _ROW_CELLS),
+            ("rows_only_in_source", "deleted", _ROW_CELLS),
+            ("duplicate_rows_in_source", "twice_o", _ROW_CELLS),
+            ("duplicate_rows_in_target", "twice_n", _ROW_CELLS),
+            ("mismatched_rows", "p", {"place": _arrow("op", "np"), "c_custkey": "c_custkey",
+                                      "c_name": _arrow("oc", "nc"), "c_mktsegment": _arrow("om", "nm")}),
+            ("summary", "r", {"details": "details", "count": "count", "percentage": "format('{:.4f}%', percent)"}),
+        ]),
+        "json_contents": _TWICE + _stacked(
+            ["place", "c_custkey", "c_name", "c_mktsegment", "column_name", "old_segment", "new_segment", "row_name"]
+            + [f"n_{c.removesuffix('_count')}" for c in JSON_COUNTS],
+            [
+                ("added_columns", *_TARGET_ONLY),
+                ("deleted_columns", *_SOURCE_ONLY),
+                ("added_rows", "added", _ROW_CELLS),
+                ("deleted_rows", "deleted", _ROW_CELLS),
+                ("updated_rows_details", "p", {
+                    "c_custkey": "c_custkey", "row_name": "nc",
+                    "old_segment": "case when om is distinct from nm then om end",
+                    "new_segment": "case when om is distinct from nm then nm end"}),
+                ("duplicate_rows_in_source", "twice_o", _ROW_CELLS),
+                ("duplicate_rows_in_target", "twice_n", _ROW_CELLS),
+                ("summary", "c", {
+                    "n_added_columns": "1", "n_deleted_columns": "1", "n_added_rows": "added", "n_deleted_rows": "deleted",
+                    "n_updated_rows": "updated", "n_duplicate_rows_in_source": "twice_source",
+                    "n_duplicate_rows_in_target": "twice_target"}),
+                ("updated_rows", "p", {"place": "np", "c_custkey": "c_custkey", "c_name": "nc", "c_mktsegment": "nm"}),
+            ],
+        ),
+        "report_placeholders": f"""
+            with t as ({CUSTOMER_T}), counted as (
+                select (select count(*) from t where c_custkey not in (select c_custkey from customer)) as added,
+                       (select count(*) from customer where c_custkey not in (select c_custkey from t)) as deleted,
+                       (select count(*) from customer o join t n on o.c_custkey = n.c_custkey
+                        where {_CUSTOMER_UPDATED}) as updated
+            ), sizes as (
+                select unnest(['columns_only_in_target', 'columns_only_in_source', 'rows_only_in_target', 'rows_only_in_source',
+                               'duplicate_rows_in_source', 'duplicate_rows_in_target', 'mismatched_rows', 'summary']) as table_name,
+                       unnest([0, 0, added, deleted, 0, 0, updated, 6]) as n
+                from counted
+            )
+            select table_name, greatest(n, 1) as rows,
+                   case when n = 0 then 'There are no records in ' || table_name end as message from sizes""",
+        "single_file_loads": "select 'nation_' || s_nationkey || '_jsondf' as attempt, s_suppkey from supplier "
+        + "".join(f"union all select '{attempt}: refused', null " for attempt in
+                  ("nothing", "folder and path", "extension alone", "extension and path", "another type")),
+        "literal_table": """
+            with l as (select * from (values ('BUILDING', 1), ('MACHINERY', 2), ('NO SUCH', 3), (null, 4)) v(c_mktsegment, place)),
+            s as (select c_mktsegment, count(*) as customers from customer group by c_mktsegment)
+            select * from s where not exists (select 1 from l where l.c_mktsegment = s.c_mktsegment)
+            union all select c_mktsegment, -place from l where not exists (select 1 from s where s.c_mktsegment = l.c_mktsegment)""",
+        "uniqueness_profile_csv": _uniqueness("orders", ["o_orderkey", *ORDER_VALUES]),
+        "declared_key_columns": " union all ".join(
+            f"select '{table}' as table_name, '{column}' as column_name, {place} as place, "
+            f"count(*) - count(distinct {column}) as duplicate_count, count(*) as total_rows from {table}"
+            for table, column, place in
+            [("orders", "o_orderkey", 1), ("lineitem", "l_orderkey", 1), ("lineitem", "l_linenumber", 2)]
+        ),
         "report_tables": f"""
             with t as ({CUSTOMER_T}), counted as (
                 select (select count(*) from t where c_custkey >= 10000000) as added,

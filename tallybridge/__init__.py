@@ -14,7 +14,9 @@ from .plans.migrate import migrate, migrate_jdbc
 from .plans.report import write_files, write_json, write_report
 from .sources.files import LoadResult, first_rows, load_files, with_row_index
 from .sources.tables import (
+    constraints,
     declare_key,
+    declare_unique,
     declared_key,
     discover_key,
     replace_table,
@@ -31,7 +33,9 @@ __all__ = [
     "best_candidate",
     "column_widths",
     "compare",
+    "constraints",
     "declare_key",
+    "declare_unique",
     "declared_key",
     "discover_key",
     "first_rows",

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import as_text, internal_names, missing_to_null, positional, without_nan
+from ..functions.cells import as_text, hashable, internal_names, missing_to_null, positional, without_nan
 
 COLUMN_NAME = T.StructType([T.StructField("column_name", T.StringType())])
 # A column is skipped without an exact count only when its estimate is at most half of
 # the rows: 25 standard errors away from unique.
 ESTIMATE_ERROR = 0.02
 CLEARLY_REPEATED = 0.5
+ROW_FORMATS = {"csv", "json", "text", "xml"}
 
 
 def added_columns(original: DataFrame, new: DataFrame) -> list[str]:
@@ -33,15 +34,52 @@ def column_name_frame(spark, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], COLUMN_NAME)
 
 
-def profile_uniqueness(df: DataFrame) -> DataFrame:
+def profile_uniqueness(df: DataFrame, one_scan: bool | None = None) -> DataFrame:
     """Duplicates per column: (ordinal, column_name, duplicate_count, total_rows).
 
-    ``count(*) - count(distinct c)``, so every missing cell counts as a duplicate. One
-    branch per column: each reads only its own column from a columnar source and
-    shuffles only that column's distinct values, where a single aggregate with several
-    distinct counts would multiply every row by the number of columns.
+    ``count(*) - count(distinct c)``, so every missing cell counts as a duplicate. From a columnar source one
+    branch per column reads only that column and shuffles only its distinct values. Where a branch would
+    parse whole rows again (``one_scan``; by default where a text format is read), all columns come from one
+    scan as (column, digest of 128 bits) pairs, which combine before their one shuffle.
     """
-    return _exact_profile(df, range(len(df.columns)))
+    if one_scan is None:
+        one_scan = _reads_rows(df)
+    return _profile(df, range(len(df.columns)), one_scan)
+
+
+def _profile(df: DataFrame, ordinals: Sequence[int], one_scan: bool) -> DataFrame:
+    return (_profile_in_one_scan if one_scan and len(ordinals) > 1 else _exact_profile)(df, ordinals)
+
+
+def _reads_rows(df: DataFrame) -> bool:
+    """Whether a leaf of the plan is a file whose rows can only be read whole."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().mkString("\n").splitlines()
+    return any(leaf.startswith("Relation") and leaf.rsplit(" ", 1)[-1] in ROW_FORMATS for leaf in leaves)
+
+
+def _profile_in_one_scan(df: DataFrame, ordinals: Sequence[int]) -> DataFrame:
+    cells = missing_to_null(positional(df))
+    digests = []
+    for i in ordinals:
+        dtype = cells.schema[i].dataType
+        value = as_text(F.col(f"c{i}"), dtype) if _without_order(dtype) else hashable(F.col(f"c{i}"), dtype)
+        # two hashes by different functions: equal pairs of unequal cells are out of reach at any size
+        pair = F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(i), F.lit("b"), value).alias("b"))
+        digests.append(F.struct(F.lit(i).alias("ordinal"), F.when(F.col(f"c{i}").isNotNull(), pair).alias("digest")))
+    each = cells.select(F.inline(F.array(*digests))).groupBy("ordinal", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    counts = each.groupBy("ordinal").agg(
+        (F.sum("rows") - F.count("digest")).alias("duplicate_count"), F.sum("rows").alias("total_rows")
+    )
+    # an empty table has a line per column too
+    names = df.sparkSession.createDataFrame(
+        [(i, df.columns[i]) for i in ordinals], "ordinal int, column_name string"
+    )
+    return names.join(F.broadcast(counts), "ordinal", "left").select(
+        "ordinal",
+        "column_name",
+        F.coalesce("duplicate_count", F.lit(0)).cast("long").alias("duplicate_count"),
+        F.coalesce("total_rows", F.lit(0)).cast("long").alias("total_rows"),
+    )
 
 
 def _exact_profile(df: DataFrame, ordinals: Sequence[int]) -> DataFrame:
@@ -50,7 +88,7 @@ def _exact_profile(df: DataFrame, ordinals: Sequence[int]) -> DataFrame:
     for i in ordinals:
         name, dtype = df.columns[i], cells.schema[i].dataType
         col = F.col(f"c{i}")
-        if "map<" in dtype.simpleString() or isinstance(dtype, T.VariantType):
+        if _without_order(dtype):
             col = as_text(col, dtype)
         branch = cells.agg(
             F.lit(i).alias("ordinal"),
@@ -62,6 +100,11 @@ def _exact_profile(df: DataFrame, ordinals: Sequence[int]) -> DataFrame:
     return branches
 
 
+def _without_order(dtype: T.DataType) -> bool:
+    """Whether cells can be told apart only as texts."""
+    return "map<" in dtype.simpleString() or isinstance(dtype, T.VariantType)
+
+
 def best_candidate(profile: DataFrame) -> DataFrame:
     """The column with the fewest duplicates, the leftmost of several."""
     return profile.orderBy("duplicate_count", "ordinal").limit(1)
@@ -96,7 +139,7 @@ def unique_column(df: DataFrame) -> str | None:
     ]
     if not plausible:
         return None
-    found = accepted_key(_exact_profile(df, plausible)).first()
+    found = accepted_key(_profile(df, plausible, _reads_rows(df))).first()
     return found["column_name"] if found else None
 
 

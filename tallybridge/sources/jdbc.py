@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import quoted
 from ..functions.text import quote_identifier
 from ..plans.report import nested_to_json
+from . import tables
 
 Options = Mapping[str, str]
 # Views of the SQL standard's information schema.
@@ -67,15 +68,7 @@ def show_tables(spark: SparkSession, options: Options, view: str = TABLES) -> Da
 
 def key_columns(columns: DataFrame, constraints: DataFrame, table: str) -> DataFrame:
     """Key columns of a table, in order: key-column usage restricted to primary keys."""
-    primary = constraints.where(
-        (F.col("TABLE_NAME") == table) & (F.col("CONSTRAINT_TYPE") == "PRIMARY KEY")
-    ).select("CONSTRAINT_NAME")
-    return (
-        columns.where(F.col("TABLE_NAME") == table)
-        .join(primary, "CONSTRAINT_NAME", "left_semi")
-        .orderBy("ORDINAL_POSITION")
-        .select(F.col("COLUMN_NAME").alias("column_name"))
-    )
+    return tables.key_columns(columns, constraints, table).orderBy("place").select("column_name")
 
 
 def declared_key(

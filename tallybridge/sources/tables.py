@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -13,6 +14,9 @@ from ..functions.text import quote_identifier
 from ..operators.columns import unique_column
 
 KEY_PROPERTY = "primary_key"
+UNIQUE_PROPERTY = "unique_columns"
+KEY_COLUMN_USAGE = "CONSTRAINT_NAME string, TABLE_NAME string, COLUMN_NAME string, ORDINAL_POSITION int"
+TABLE_CONSTRAINTS = "CONSTRAINT_NAME string, TABLE_NAME string, CONSTRAINT_TYPE string"
 
 
 def qualified(table: str, database: str | None = None) -> str:
@@ -33,9 +37,46 @@ def declare_key(
     spark: SparkSession, table: str, columns: Sequence[str], database: str | None = None
 ) -> None:
     """Record key columns with a table; the built-in catalog has no constraints of its own."""
-    text = ",".join(quote_identifier(c) for c in columns).replace("'", "\\'")
-    spark.sql(
-        f"ALTER TABLE {qualified(table, database)} SET TBLPROPERTIES ('{KEY_PROPERTY}' = '{text}')"
+    _declare(spark, table, columns, database, KEY_PROPERTY)
+
+
+def declare_unique(
+    spark: SparkSession, table: str, columns: Sequence[str], database: str | None = None
+) -> None:
+    """Record columns that are unique together but not the key."""
+    _declare(spark, table, columns, database, UNIQUE_PROPERTY)
+
+
+def _declare(spark, table, columns, database, name) -> None:
+    text = ",".join(quote_identifier(c) for c in columns).replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {qualified(table, database)} SET TBLPROPERTIES ('{name}' = '{text}')")
+
+
+def constraints(spark: SparkSession, database: str) -> tuple[DataFrame, DataFrame]:
+    """What a database's tables declare, shaped like the standard's views: the columns of every
+    constraint with their places, and every constraint with its type. One row per declared column, read
+    from the catalog table by table; no data is read."""
+    columns, found = [], []
+    for (table,) in show_tables(spark, database).collect():
+        properties = spark.sql(f"SHOW TBLPROPERTIES {qualified(table, database)}")
+        for row in properties.where(F.col("key").isin(KEY_PROPERTY, UNIQUE_PROPERTY)).collect():
+            kind, short = ("PRIMARY KEY", "pk") if row["key"] == KEY_PROPERTY else ("UNIQUE", "uq")
+            name = f"{short}_{table}"
+            found.append((name, table, kind))
+            columns += [(name, table, c, i) for i, c in enumerate(_declared_names(row["value"]), 1)]
+    return spark.createDataFrame(columns, KEY_COLUMN_USAGE), spark.createDataFrame(found, TABLE_CONSTRAINTS)
+
+
+def key_columns(columns: DataFrame, constraints: DataFrame, table: str | None = None) -> DataFrame:
+    """``(table_name, column_name, place)`` of primary keys: the constraints' columns semi-joined with those
+    that are primary keys. The standard lets two tables give their constraints the same name."""
+    primary = constraints.where("CONSTRAINT_TYPE = 'PRIMARY KEY'")
+    if table is not None:
+        columns, primary = (df.where(F.col("TABLE_NAME") == table) for df in (columns, primary))
+    return columns.join(primary, ["TABLE_NAME", "CONSTRAINT_NAME"], "left_semi").select(
+        F.col("TABLE_NAME").alias("table_name"),
+        F.col("COLUMN_NAME").alias("column_name"),
+        F.col("ORDINAL_POSITION").alias("place"),
     )
 
 
@@ -43,9 +84,14 @@ def declared_key(spark: SparkSession, table: str, database: str | None = None) -
     """All declared key columns, in order; empty without a declaration."""
     properties = spark.sql(f"SHOW TBLPROPERTIES {qualified(table, database)}")
     found = properties.where(F.col("key") == KEY_PROPERTY).first()
-    if found is None:
-        return []
-    return [c.strip().strip("`") for c in found["value"].split(",") if c.strip()]
+    return [] if found is None else _declared_names(found["value"])
+
+
+def _declared_names(text: str) -> list[str]:
+    """Names parted by commas; those in backticks may hold commas, and backticks twice."""
+    quoted = r"\s*(?:`((?:[^`]|``)*)`|([^,`]*))\s*(?:,|$)"
+    names = [a.replace("``", "`") or b.strip() for a, b in re.findall(quoted, text)]
+    return [n for n in names if n]
 
 
 def discover_key(spark: SparkSession, table: str, database: str | None = None) -> tuple[list[str], str]:
