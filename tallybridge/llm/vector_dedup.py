@@ -1,18 +1,20 @@
 """Embedding near-duplicates by collision-counting projections.
 
 1. Vectors with equal label and components are one class, represented by the least id.
-2. Random one-dimensional projections are cut into cells; ``LEADS`` of them together make the
-   key of a table, and classes that share a key of one of ``TABLES`` tables meet.
-3. Where they meet, classes are sorted along each of ``COUNTED`` further projections, and a pair collides on one if it lies
-   in the window centred on either. Pairs with enough collisions are verified by their cosine
-   in double precision. Window and count are calibrated (``calibrated``): a pair at the threshold passes the
-   count with a probability of 1 - 1e-5, and shares a key with one of 1 - 3e-5.
-4. A pair is counted in the first table in which it shares a key, so links are counted once without ever being written
-   out; a task gives sums and a spanning forest. A large cell is dealt into blocks, and each pair of blocks is
-   a task of bounded size, so no group, however large, is gathered in one.
-
-Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or has a null label, links with
-nothing; rows that share an id share their links; other columns are ignored.
+2. Classes are sorted along a first random projection, by ranges over the cluster, and cut into strips of at most
+   ``STRIP`` rows. Two strips meet if the window around one reaches into the other, and every two strips meet once.
+3. Where strips meet, the rows are sorted along each of ``COUNTED`` further projections, and a pair collides on one if it lies in the
+   window centred on either, which is a range of ranks. Pairs with enough collisions are verified by their cosine in double
+   precision. Windows and count are calibrated (``calibrated``): a pair at the threshold passes the count with a probability
+   of 1 - 1e-5, and lies in the first window with one of 1 - 7e-6; a closer pair does so more surely.
+4. A task gives sums of links and a spanning forest, never the links themselves, so a group of copies of any size is
+   counted in pieces of bounded size.
+
+One projection tells pairs apart only as the ratio of their distances, here about 1 to 4, so the first window holds most pairs
+of vectors that are unrelated: work grows with the square of a label. It is spent on ranks of two bytes, in memory.
+
+Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or has a null label or a null id, links
+with nothing and is kept; rows that share an id share their links; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from .components import connected_components, roots_of
 from .shipping import ship
 
 COSINE = 0.93
-TABLES, LEADS, COUNTED = 20, 4, 24
-#: Cells are this many times as wide as the distance at the threshold, windows this many times.
-CELL, WINDOW = 4.0, 2.0
+COUNTED = 24
+#: Half a window, in distances at the threshold: of the projections that count, and of the one that sorts.
+WINDOW, REACH = 2.0, 4.5
 MISSED = 1e-5
-BLOCK = 512
+#: Rows of a strip, and how many of them are compared with another strip at a time.
+STRIP, TILE = 4096, 256
+#: Strips that one task cuts.
+STRIPS_A_TASK = 4
 SEED = 20
 
 
@@ -57,81 +62,84 @@ def calibrated(counted: int = COUNTED, window: float = WINDOW, missed: float = M
     return least
 
 
-def _projections(dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directions of the tables' leads and their offsets, and directions to count on."""
-    draw = np.random.default_rng([SEED, dimension])
-    leads = draw.normal(size=(dimension, TABLES * LEADS))
-    return leads, draw.random(TABLES * LEADS), draw.normal(size=(dimension, COUNTED))
-
-
-def _keys(unit: np.ndarray, leads: np.ndarray, offsets: np.ndarray, width: float) -> np.ndarray:
-    """One 64-bit key per vector and table."""
-    cells = np.floor(unit @ leads / width + offsets).astype(np.int64).reshape(len(unit), TABLES, LEADS)
-    keys = np.broadcast_to(np.arange(TABLES, dtype=np.int64) + 1, cells.shape[:2]).copy()
-    for k in range(LEADS):
-        keys = (keys ^ cells[:, :, k]) * np.int64(0x5851F42D4C957F2D)
-        keys ^= (keys >> np.int64(29)) & np.int64((1 << 35) - 1)
-    return keys
+def _projections(dimension: int) -> np.ndarray:
+    """Directions as columns: the one that sorts, then those that count."""
+    return np.random.default_rng([SEED, dimension]).normal(size=(dimension, 1 + COUNTED))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    # the largest component first, or the squares of large or small ones leave the range of doubles
+    vectors = vectors / np.abs(vectors).max(axis=1)[:, None]
     return vectors / np.linalg.norm(vectors, axis=1)[:, None]
 
 
-def collisions(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
-    """How many projections have each pair of rows within the window; projections are columns."""
-    counts = np.zeros((len(left), len(right)), np.int16)
+def _sorted(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every projection (a column) in order, and each row's rank in it; projections are rows of the answer."""
+    order = np.argsort(lines, axis=0, kind="stable").T
+    ranks = np.empty(order.shape, np.uint16 if len(lines) < 1 << 16 else np.uint32)
+    np.put_along_axis(ranks, order, np.arange(len(lines), dtype=ranks.dtype)[None, :], axis=1)
+    return np.take_along_axis(lines.T, order, axis=1), ranks
+
+
+def _count(left: np.ndarray, line: np.ndarray, ranks: np.ndarray, columns: slice, width: float) -> np.ndarray:
+    """Collisions of rows of ``left`` with some rows of a sorted side."""
+    counts = np.zeros((len(left), ranks[:, columns].shape[1]), np.uint8)
     for k in range(left.shape[1]):
-        order = np.argsort(right[:, k], kind="stable")
-        line = right[order, k]
-        first = np.searchsorted(line, left[:, k] - width, "left")
-        last = np.searchsorted(line, left[:, k] + width, "right")
-        steps = np.zeros((len(left), len(right) + 1), np.int8)
-        rows = np.arange(len(left))
-        np.add.at(steps, (rows, first), 1)
-        np.add.at(steps, (rows, last), -1)
-        counts[:, order] += np.cumsum(steps[:, :-1], axis=1, dtype=np.int8)
+        first = np.searchsorted(line[k], left[:, k] - width, "left").astype(ranks.dtype)
+        many = np.searchsorted(line[k], left[:, k] + width, "right").astype(ranks.dtype) - first
+        # a rank before the window wraps around to a large number
+        counts += (ranks[k, columns][None, :] - first[:, None]) < many[:, None]
     return counts
 
 
-def _links_of_unit(cosine: float, group: str = "part"):
-    least, window = calibrated(), WINDOW * distance_at(cosine)
-    cell = CELL * distance_at(cosine)
+def collisions(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
+    """How many projections have each pair of rows within the window; projections are columns."""
+    return _count(left, *_sorted(right), slice(None), width)
+
+
+def _links_of_unit(cosine: float, kind: str):
+    """The links between two strips, or inside one."""
+    least, window, reach = calibrated(), WINDOW * distance_at(cosine), REACH * distance_at(cosine)
 
     def run(table):
         import pyarrow as pa
 
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        sides = table.column("side").to_numpy()
-        order = np.lexsort((ids, sides))
-        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        unit = _unit(flat.astype(np.float64).reshape(len(ids), -1))[order]
-        ids, copies, sides = ids[order], copies[order], sides[order]
-        which = int(table.column("table")[0].as_py())
-        leads, offsets, directions = _projections(unit.shape[1])
+        lead, sides = table.column("lead").to_numpy(), table.column("side").to_numpy()
+        order = np.lexsort((ids, lead, sides))
+        packed = b"".join(table.column("packed").to_pylist())
+        unit = _unit(np.frombuffer(packed, kind).astype(np.float64).reshape(len(ids), -1)[order])
+        ids, copies, lead, sides = ids[order], copies[order], lead[order], sides[order]
         split = int((sides == 0).sum())
-        within = bool(table.column("single")[0].as_py())
+        within = bool(table.column("within")[0].as_py())
+        start = 0 if within else split
+        lines = unit @ _projections(unit.shape[1])[:, 1:]
+        line, ranks = _sorted(lines[start:])
         links, pairs = np.zeros(len(ids), np.int64), []
-        if within or 0 < split < len(ids):
-            lines = unit @ directions
-            keys = _keys(unit, leads, offsets, cell)[:, :which]
-            a, b = slice(0, split), slice(0, len(ids)) if within else slice(split, len(ids))
-            close = collisions(lines[a], lines[b], window) >= least
-            if within:
-                close &= np.triu(np.ones(close.shape, bool), 1)
+        for top in range(0, split, TILE):
+            rows = slice(top, min(top + TILE, split))
+            a = max(top if within else 0, int(np.searchsorted(lead[start:], lead[rows.start] - reach, "left")))
+            b = int(np.searchsorted(lead[start:], lead[rows.stop - 1] + reach, "right"))
+            if a >= b:
+                continue
+            close = _count(lines[rows], line, ranks, slice(a, b), window) >= least
+            close &= np.abs(lead[rows][:, None] - lead[start + a : start + b][None, :]) <= reach
             i, j = np.nonzero(close)
-            j = j + b.start
-            for at in range(0, len(i), 1 << 16):  # bounded memory, however many pairs pass
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            i, j = i + top, j + start + a
+            if within:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 1 << 14):  # bounded memory, however many pairs pass
+                p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                 linked = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
                 p, q = p[linked], q[linked]
-                new = ~(keys[p] == keys[q]).any(axis=1)  # not met in an earlier table
-                np.add.at(links, p[new], copies[q[new]])
-                np.add.at(links, q[new], copies[p[new]])
+                np.add.at(links, p, copies[q])
+                np.add.at(links, q, copies[p])
                 pairs.append((p, q))
-        p = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, np.int64)
-        q = np.concatenate([x for _, x in pairs]) if pairs else np.zeros(0, np.int64)
-        root = roots_of(len(ids), p, q)
+            if sum(len(p) for p, _ in pairs) > 1 << 20:  # a forest stands for the links so far
+                pairs = [_forest(len(ids), pairs)]
+        p, q = _forest(len(ids), pairs)
+        root = np.arange(len(ids))
+        root[p] = q
         told = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
         return pa.table(
             {"a": pa.array(ids[told], pa.int64()), "b": pa.array(ids[root[told]], pa.int64()),
@@ -141,6 +149,30 @@ def _links_of_unit(cosine: float, group: str = "part"):
     return run
 
 
+def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows linked to another, and the least row of what they are part of."""
+    none = np.zeros(0, np.int64)
+    root = roots_of(n, np.concatenate([none, *(p for p, _ in pairs)]), np.concatenate([none, *(q for _, q in pairs)]))
+    moved = np.flatnonzero(root != np.arange(n))
+    return moved, root[moved]
+
+
+def _meetings(placed: DataFrame, reach: float) -> DataFrame:
+    """``(label, width, strip, i, j, side, within)``: in which pairs of strips the rows of a strip take part, and as which side."""
+    bounds = placed.groupBy("label", "width", "strip").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
+    later = bounds.select("label", "width", F.col("strip").alias("j"), F.col("low").alias("from"))
+    # strips are numbered in the order of the projection
+    pairs = bounds.withColumnRenamed("strip", "i").join(later, ["label", "width"]).where(
+        (F.col("i") <= F.col("j")) & (F.col("from") - F.col("high") <= reach)
+    )
+    sides = [F.struct(F.col("i").alias("strip"), F.lit(0).alias("side")),
+             F.when(F.col("i") < F.col("j"), F.struct(F.col("j").alias("strip"), F.lit(1).alias("side")))]
+    taken = pairs.select(
+        "label", "width", "i", "j", (F.col("i") == F.col("j")).alias("within"), F.explode(F.array_compact(F.array(*sides))).alias("s")
+    )
+    return taken.select("label", "width", "i", "j", "within", "s.strip", "s.side")
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector: str = "embedding",
     label: str = "label",
@@ -157,7 +189,7 @@ def near_duplicates(
         "vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     )
     usable = F.coalesce(
-        F.col("label").isNotNull() & ~infinite & F.exists("vector", lambda x: x != 0), F.lit(False)
+        F.col("label").isNotNull() & F.col("id").isNotNull() & ~infinite & F.exists("vector", lambda x: x != 0), F.lit(False)
     )
     rows = components.withColumn("usable", usable)
     rows = rows.withColumns(
@@ -173,40 +205,38 @@ def near_duplicates(
     # one row per class; an id may come more than once
     first = joined.where("id = class_id").dropDuplicates(["id", "label", "vector"]).drop("class_id")
 
+    # components travel packed, as floats where they were floats
+    element = vectors.schema[vector].dataType.elementType
+    kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
+
     def start():
-        made = {}
+        directions = {}
 
-        def keys(values: list) -> tuple:
+        def pack(values: list) -> tuple:
             n = len(values)
-            if n not in made:
-                made[n] = _projections(n)[:2]
-            unit = _unit(np.array([values], np.float64))
-            return (_keys(unit, *made[n], CELL * distance_at(cosine))[0].tolist(),)
-
-        return keys
-
-    added = T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))])
-    keyed = workspace.store(add_columns(first, ["vector"], added, start))
-    cell = ["label", "width", "table", "key"]
-    entries = keyed.select(
-        "id", "label", F.size("vector").alias("width"), F.posexplode("keys").alias("table", "key")
+            if n not in directions:
+                directions[n] = _projections(n)[:, 0].copy()
+            numbers = np.array(values, np.float64)
+            return float(_unit(numbers[None, :])[0] @ directions[n]), n, numbers.astype(kind).tobytes()
+
+        return pack
+
+    added = T.StructType(
+        [T.StructField("lead", T.DoubleType()), T.StructField("width", T.IntegerType()), T.StructField("packed", T.BinaryType())]
     )
-    sizes = entries.groupBy(cell).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    dealt = (
-        entries.join(sizes, cell)
-        .withColumn("blocks", F.ceil(F.col("classes") / BLOCK))
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "id", *cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-            (F.col("block") == F.col("other")).alias("single"),
-        )
-    )
-    met = dealt.join(keyed.select("id", "label", "copies", "vector"), ["id", "label"])
+    lined = workspace.store(add_columns(first, ["vector"], added, start, keep=["id", "label", "copies"]))
+    ranges = max(1, math.ceil(lined.count() / (STRIP * STRIPS_A_TASK)))
+    line = ["label", "width", "lead", "id"]
+    # The running number starts anew in every range, at a multiple of 2**33, so a strip never goes over two.
+    placed = workspace.store(
+        lined.repartitionByRange(ranges, *line)
+        .sortWithinPartitions(*line)
+        .withColumn("strip", F.expr(f"monotonically_increasing_id() div {STRIP}"))
+    )
+    met = placed.join(_meetings(placed, REACH * distance_at(cosine)), ["label", "width", "strip"])
     found = workspace.store(
-        met.groupBy(*cell, "i", "j").applyInArrow(
-            _links_of_unit(cosine), "a long, b long, links long"
+        met.groupBy("label", "width", "i", "j").applyInArrow(
+            _links_of_unit(cosine, kind), "a long, b long, links long"
         )
     )
     parts = connected_components(found.select("a", "b"), workspace)
@@ -225,5 +255,5 @@ def near_duplicates(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
     )
     return answer.unionAll(alone).select(
-        F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+        F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )

@@ -164,9 +164,10 @@ def brute_vectors(rows):
     return many, brute_components(many, links)
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_near_duplicate_vectors_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+@pytest.mark.parametrize(("strip", "tile"), [(4096, 256), (64, 16), (7, 3)])
+def test_near_duplicate_vectors_equal_brute_force(spark, monkeypatch, strip, tile):
+    monkeypatch.setattr(vector_dedup, "STRIP", strip)
+    monkeypatch.setattr(vector_dedup, "TILE", tile)
     rows = vector_rows()
     many, expected = brute_vectors(rows)
     out = vector_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
@@ -182,6 +183,36 @@ def test_no_vectors(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_large_components_and_null_ids(spark):
+    schema = "vec_id long, embedding array<double>, label string"
+    rows = [(4, [1e200, 1e200], "a"), (2, [2e200, 2e200], "a"), (3, [1e-200, 1e-200], "a"), (None, [1.0, 1.0], "a"),
+            (9, [1.0, -1.0], "a")]
+    out = {r.vec_id: tuple(r)[1:] for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {2: (2, 2, True), 3: (2, 2, False), 4: (2, 2, False), 9: (0, 9, True), None: (0, None, True)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs a little above the threshold, where a miss is likeliest, among unrelated vectors."""
+    pick = np.random.default_rng(11)
+    rows = []
+    for _ in range(700):
+        centre, away = pick.normal(size=(2, 32))
+        away -= centre * (centre @ away) / (centre @ centre)
+        angle = math.acos(0.9301)
+        turned = math.cos(angle) * centre / np.linalg.norm(centre) + math.sin(angle) * away / np.linalg.norm(away)
+        rows += [(len(rows), centre.tolist(), 1), (len(rows) + 1, turned.tolist(), 1)]
+    out = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    many, _ = brute_vectors([(*r, None) for r in rows])
+    assert sum(r.n_links for r in out.collect()) >= 0.998 * sum(many.values()) > 1300
+
+
+def test_strips_meet_within_the_window_alone(spark):
+    rows = [(1, 2, 0, 0.0), (1, 2, 0, 1.0), (1, 2, 1, 1.5), (1, 2, 2, 2.5), (1, 2, 3, 9.0), (2, 2, 3, 0.0)]
+    placed = spark.createDataFrame(rows, "label int, width int, strip long, lead double")
+    met = vector_dedup._meetings(placed, 1.0).where("side = 0").select("label", "i", "j").collect()
+    assert sorted(map(tuple, met)) == [(1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 2), (1, 2, 2), (1, 3, 3), (2, 3, 3)]
+
+
 def test_calibration_keeps_the_threshold():
     pick = np.random.default_rng(9)
     d = vector_dedup.distance_at(0.93)
