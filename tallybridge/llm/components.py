@@ -1,8 +1,8 @@
 """Connected components by alternating large and small stars.
 
 Every round joins edges with the least neighbour of a node and writes its edges to the shared folder, which cuts lineage
-and survives lost executors. Least neighbours are pre-aggregated, a node with very many
-neighbours is only ever the many side of a join, and nothing but two numbers per round reaches the driver.
+and survives lost executors. Least neighbours are pre-aggregated, the edges of a node with very many
+neighbours are dealt over tasks (``join_listed``), and nothing but two numbers per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,17 +14,35 @@ from pyspark.sql import functions as F
 from tallybridge.operators.stored import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Keys that hold more than one of so many rows are hot, so there are fewer of them than that.
+HEAVY = 1000
+#: Tasks over which the rows of a hot key are dealt.
+SALTS = 64
+
+
+def join_listed(rows: DataFrame, listed: DataFrame, on: list[str], size: str, total: int, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``listed``, which has one row per key ``on`` and how many rows of the key there
+    are (``size``, out of ``total``). Rows of a hot key are dealt by the column ``spread``, and its one listed row is
+    written for each part; which keys are hot, fewer than ``HEAVY``, is broadcast."""
+    hot = F.col(size) > max(1, total // HEAVY)
+    keys = F.broadcast(listed.where(hot).select(*on, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    salts = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    parts = listed.withColumn("_salt", F.explode(F.coalesce(salts, F.array(F.lit(0).cast("long"))))).drop(size)
+    return rows.join(keys, on, "left").withColumn("_salt", salt).drop("_hot").join(parts, [*on, "_salt"]).drop("_salt")
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+    out = join_listed(both, least, ["a"], "n", 2 * total, "b").where("b > a")
+    return out.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Edges point from the larger node to a smaller one."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    out = edges.join(least, "a")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    out = join_listed(edges, least, ["a"], "n", total, "b")
     moved = out.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -40,7 +58,8 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
         if tuple(row) == mark or row[0] == 0:
             break
         mark = tuple(row)
-        known = workspace.store(_small_star(_large_star(known)))
+        # a large star makes no more edges than there are
+        known = workspace.store(_small_star(_large_star(known, row[0]), row[0]))
     nodes = known.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = known.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return nodes.unionAll(roots)

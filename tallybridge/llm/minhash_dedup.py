@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tallybridge.operators.stored import Workspace
 
 from .batches import add_columns
-from .components import connected_components, roots_of
+from .components import connected_components, join_listed, roots_of
 
 SHINGLE = 5
 #: Links need this many hundredths of intersection over union.
@@ -216,25 +216,27 @@ def near_duplicates(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")
     )
     profiles = workspace.store(_profiles(given, bands_for(percent)))
-    classes = profiles.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
-    members = workspace.store(
-        profiles.drop("bands").join(classes, ["k1", "k2"], "left").select("id", "n_shingles", "class_id")
+    filled = profiles.where("n_shingles > 0")
+    classes = workspace.store(
+        filled.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     )
     # -- candidate links: each bucket as a star around its least representative
-    first = members.where("id = class_id").select("id").distinct()
-    buckets = (
-        profiles.where("n_shingles > 0")
-        .join(first, "id", "left_semi")
-        .select("id", F.explode("bands").alias("key"))
-        .distinct()
+    first = classes.select(F.col("class_id").alias("id")).distinct()
+    buckets = filled.join(first, "id", "left_semi").select("id", F.explode("bands").alias("key")).distinct()
+    stars = workspace.store(
+        buckets.groupBy("key")
+        .agg(F.min("id").alias("m"), F.max("id").alias("most"), F.count(F.lit(1)).alias("texts"))
+        .where("m < most")
+        .drop("most")
     )
-    stars = buckets.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("most")).where("m < most")
-    candidates = buckets.join(stars, "key").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    in_stars = stars.agg(F.sum("texts")).first()[0] or 0
+    met = join_listed(buckets, stars, ["key"], "texts", in_stars, "id")
+    candidates = met.where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
     groups = connected_components(candidates, workspace)
     # -- verification: texts of a group meet in blocks, those of close sizes only
     width = math.log(100 / percent) * (1 + 1e-9)  # links are within one class or between neighbours
     sized = workspace.store(
-        groups.join(members.select("id", "n_shingles").distinct(), "id").withColumn(
+        groups.join(filled.select("id", "n_shingles").distinct(), "id").withColumn(
             "size_class",
             F.floor(F.log(F.col("n_shingles").cast("double")) / width).cast("int"),
         )
@@ -273,12 +275,18 @@ def near_duplicates(
     found = connected_components(links, workspace).select(
         F.col("id").alias("class_id"), F.col("component").alias("linked")
     )
-    component = F.coalesce("linked", "class_id", "id")
-    return members.join(found, "class_id", "left").select(
+    # -- every row: classes find their component, rows their class
+    told = classes.join(found, "class_id", "left").select(
+        "k1", "k2", "copies", F.coalesce("linked", "class_id").alias("component")
+    )
+    rows = classes.agg(F.sum("copies")).first()[0] or 0
+    linked = join_listed(filled.drop("bands"), told, ["k1", "k2"], "copies", rows, "id")
+    alone = profiles.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component"))
+    return linked.select("id", "n_shingles", "component").unionAll(alone).select(
         F.col("id").alias(id_col),
         "n_shingles",
-        component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tallybridge.operators.stored import Workspace
 
 from .batches import add_columns
-from .components import connected_components, roots_of
+from .components import connected_components, join_listed, roots_of
 from .shipping import ship
 
 COSINE = 0.93
@@ -196,14 +196,12 @@ def near_duplicates(
         {"k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), F.reverse("vector"))}
     )
     identity = ["label", "k1", "k2"]
-    classes = (
+    classes = workspace.store(
         rows.where("usable").groupBy(identity).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     )
-    joined = workspace.store(
-        rows.where("usable").join(classes, identity).select("id", "class_id", "copies", "label", "vector")
-    )
     # one row per class; an id may come more than once
-    first = joined.where("id = class_id").dropDuplicates(["id", "label", "vector"]).drop("class_id")
+    least = classes.withColumnRenamed("class_id", "id")
+    first = rows.where("usable").join(least, [*identity, "id"]).dropDuplicates([*identity, "id"])
 
     # components travel packed, as floats where they were floats
     element = vectors.schema[vector].dataType.elementType
@@ -241,16 +239,19 @@ def near_duplicates(
     )
     parts = connected_components(found.select("a", "b"), workspace)
     linked = found.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
-    answer = (
-        joined.select("id", "class_id", "copies")
-        .join(linked, "class_id", "left")
+    told = (
+        classes.join(linked, "class_id", "left")
         .join(parts.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
         .select(
-            "id",
+            *identity,
+            "copies",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
             F.coalesce("component", "class_id").alias("component_id"),
         )
     )
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    answer = join_listed(rows.where("usable").select("id", *identity), told, identity, "copies", total, "id")
+    answer = answer.select("id", "n_links", "component_id")
     alone = rows.where("not usable").select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
     )
