@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.stored import Workspace
+
 # Cell texts that mean "missing", the default list of the pandas CSV reader.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -43,53 +45,50 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return _typed(raw, path, list(header), seen)
 
 
-def read_csv_folder(
-    spark: SparkSession, folder: str, suffix: str | None = None
-) -> dict[str, DataFrame | ValueError]:
-    """All CSV files below a folder by path, as ``read_csv`` reads each, in a number of jobs that does not grow with them.
+def describe_csv_folder(
+    spark: SparkSession, folder: str, suffix: str | None, workspace: Workspace
+) -> DataFrame | None:
+    """What ``read_described_csv`` needs of all CSV files below a folder, one row by ``path``, in a number of jobs that
+    does not grow with them; None without such files.
 
     One pass over the lines finds the header of every file and whether its cells may hold line breaks; one more
     over the cells, for the files of either kind, counts what types its columns can have. Both are aggregated by file. A file whose
-    header goes over several lines is left out, and so is an empty one, which has no lines: they are for ``read_csv``.
+    header goes over several lines is left out, and so is one without a line: they are for ``read_csv``.
     """
     options = {"recursiveFileLookup": True, "pathGlobFilter": CSV_NAMES}
-    file = F.col("_metadata.file_path").alias("file")
-    wanted = F.lit(True) if suffix is None else F.col("file").endswith(suffix)
+    file = F.col("_metadata.file_path").alias("path")
+    wanted = F.lit(True) if suffix is None else F.col("path").endswith(suffix)
     # A line's place: its block in the file, then the running number in the task that reads the block.
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = spark.read.options(**options).text(folder).select("value", file, place.alias("place")).where(wanted)
     filled = F.col("value").rlike(r"[^\x00-\x20]")
-    heads = lines.groupBy("file").agg(
+    heads = lines.groupBy("path").agg(
         F.min_by("value", "place").alias("first"),
         F.min_by(F.when(filled, F.col("value")), F.when(filled, F.col("place"))).alias("header"),
-        F.max(_quotes(F.col("value")) % 2).alias("breaks"),
+        (F.max(_quotes(F.col("value")) % 2) > 0).alias("breaks"),
     )
-    headers: dict[bool, dict[str, list[str | None]]] = {False: {}, True: {}}
-    for row in heads.where("header is not null").collect():
-        breaks = bool(row["breaks"])
-        if row["header"].count('"') % 2 or (breaks and row["first"] != row["header"]):
-            continue
-        headers[breaks][row["file"]] = next(csv.reader([row["header"]]))
-    found: dict[str, DataFrame | ValueError] = {}
-    for breaks, files in headers.items():
-        if not files:
-            continue
+    whole = (_quotes(F.col("header")) % 2 == 0) & (~F.col("breaks") | (F.col("first") == F.col("header")))
+    heads = workspace.store(heads.where(whole).drop("first"))
+    width = F.max(_separators(F.col("header")) + 1).alias("width")
+    facts = heads.agg(width, F.bool_or("breaks").alias("some"), F.bool_and("breaks").alias("all")).first()
+    if facts["width"] is None:
+        return None
+    widest, counts = _fields(facts["width"]), None
+    for breaks in sorted({facts["some"], facts["all"]}):
         reader = spark.read.options(quote='"', escape='"', multiLine=breaks)
-        widest = _fields(max(map(len, files.values())))
         # Lines of narrower files are misfits here; only one with more cells than its own header is in excess.
-        cells = _raw(reader, widest).options(**options).csv(folder).select(*_cells(widest), MISFIT, file).where(wanted)
-        if headers[not breaks]:
-            cells = cells.where(F.col("file").isin(list(files)))
-        for seen in cells.groupBy("file").agg(*_type_counts(widest)).collect():
-            if seen["file"] not in files:
-                continue
-            path, header = seen["file"], files[seen["file"]]
-            raw = _raw(reader, _fields(len(header))).csv(no_glob(path))
-            try:
-                found[path] = _typed(raw, path, header, seen)
-            except ValueError as error:
-                found[path] = error
-    return found
+        cells = _raw(reader, widest).options(**options).csv(folder).select(*_cells(widest), MISFIT, file)
+        cells = cells.join(F.broadcast(heads.where(F.col("breaks") == breaks).select("path")), "path", "left_semi")
+        part = cells.groupBy("path").agg(*_type_counts(widest))
+        counts = part if counts is None else counts.unionAll(part)
+    return heads.join(F.broadcast(counts), "path", "left")  # one row per file
+
+
+def read_described_csv(spark: SparkSession, path: str, seen: Row) -> DataFrame:
+    """One CSV file, as ``read_csv`` reads it, without a job."""
+    header = next(csv.reader([seen["header"]]))
+    reader = spark.read.options(quote='"', escape='"', multiLine=seen["breaks"])
+    return _typed(_raw(reader, _fields(len(header))).csv(no_glob(path)), path, header, seen)
 
 
 def no_glob(path: str) -> str:
@@ -173,7 +172,7 @@ def _types(seen: Row, fields: Sequence[str]) -> tuple[dict[str, T.DataType], boo
     types: dict[str, T.DataType] = {}
     for c in fields:
         present = seen[f"present_{c}"]
-        if seen["rows"] == 0:
+        if not seen["rows"]:
             types[c] = T.StringType()
         elif present == 0:
             types[c] = T.DoubleType()

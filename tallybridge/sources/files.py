@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .csv import no_glob, read_csv, read_csv_folder
+from ..operators.stored import Workspace
+from .csv import describe_csv_folder, no_glob, read_csv, read_described_csv
 from .json import read_json
 from .workbook import read_workbook
 
@@ -71,39 +72,48 @@ def load_files(
         return _load(spark, [path])
     if folder is None or path is not None:
         raise ValueError("give a folder, a folder and an extension, or a path")
-    paths = [p for p in list_files(spark, folder, extension) if extension_of(p) in READERS]
-    known = {}
-    if any(extension_of(p) == "csv" for p in paths):
-        try:
-            known = read_csv_folder(spark, folder, extension)
-        except Exception:  # one unreadable file fails the pass over all of them: each tells its own error then
-            known = {}
-    return _load(spark, paths, known)
+    workspace = Workspace(spark)
+    try:
+        listed = _listed(spark, folder, extension, describe_csv_folder(spark, folder, extension, workspace))
+    except Exception:  # one unreadable file fails the pass over all of them: each tells its own error then
+        listed = _listed(spark, folder, extension)
+    finally:
+        workspace.drop()
+    known = {r["path"]: r for r in listed if "header" in r and r["header"] is not None}
+    return _load(spark, [r["path"] for r in listed if extension_of(r["path"]) in READERS], known)
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str | None = None) -> list[str]:
     """Paths below a folder in name order; ``suffix`` is compared with case. Only file
     names reach the driver: the content column is never read. Spark's scans pass over files without a byte."""
+    return [r["path"] for r in _listed(spark, folder, suffix)]
+
+
+def _listed(
+    spark: SparkSession, folder: str, suffix: str | None, described: DataFrame | None = None
+) -> list[Row]:
+    """One row per file, with what is known of it."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     )
     if suffix is not None:
         files = files.where(F.col("path").endswith(suffix))
-    return [r["path"] for r in files.orderBy("path").collect()]
+    if described is not None:
+        files = files.join(F.broadcast(described), "path", "left")  # one row per file
+    return sorted(files.collect(), key=lambda r: r["path"])
 
 
 def _load(
-    spark: SparkSession, paths: list[str], known: Mapping[str, DataFrame | ValueError] | None = None
+    spark: SparkSession, paths: list[str], known: Mapping[str, Row] | None = None
 ) -> LoadResult:
     result = LoadResult(spark)
     for path in paths:
         name, status = dataset_name(path), "loaded"
         try:
-            df = (known or {}).get(path)
-            if df is None:
+            if known and path in known:
+                df = read_described_csv(spark, path, known[path])
+            else:
                 df = READERS[extension_of(path)](spark, no_glob(path))
-            if isinstance(df, ValueError):
-                raise df
         except Exception as error:  # any unreadable file: report it, load the rest
             result.files.append((path, None, "failed", str(error)))
             continue

@@ -57,13 +57,15 @@ def constraints(spark: SparkSession, database: str) -> tuple[DataFrame, DataFram
     constraint with their places, and every constraint with its type. One row per declared column, read
     from the catalog table by table; no data is read."""
     columns, found = [], []
-    for (table,) in show_tables(spark, database).collect():
-        properties = spark.sql(f"SHOW TBLPROPERTIES {qualified(table, database)}")
-        for row in properties.where(F.col("key").isin(KEY_PROPERTY, UNIQUE_PROPERTY)).collect():
-            kind, short = ("PRIMARY KEY", "pk") if row["key"] == KEY_PROPERTY else ("UNIQUE", "uq")
-            name = f"{short}_{table}"
-            found.append((name, table, kind))
-            columns += [(name, table, c, i) for i, c in enumerate(_declared_names(row["value"]), 1)]
+    for table in spark.catalog.listTables(quote_identifier(database)):
+        if table.isTemporary:
+            continue
+        for name, kind, short in ((KEY_PROPERTY, "PRIMARY KEY", "pk"), (UNIQUE_PROPERTY, "UNIQUE", "uq")):
+            declared = _declared(spark, table.name, database, name)
+            if declared:
+                constraint = f"{short}_{table.name}"
+                found.append((constraint, table.name, kind))
+                columns += [(constraint, table.name, c, i) for i, c in enumerate(declared, 1)]
     return spark.createDataFrame(columns, KEY_COLUMN_USAGE), spark.createDataFrame(found, TABLE_CONSTRAINTS)
 
 
@@ -82,8 +84,12 @@ def key_columns(columns: DataFrame, constraints: DataFrame, table: str | None =
 
 def declared_key(spark: SparkSession, table: str, database: str | None = None) -> list[str]:
     """All declared key columns, in order; empty without a declaration."""
+    return _declared(spark, table, database, KEY_PROPERTY)
+
+
+def _declared(spark: SparkSession, table: str, database: str | None, name: str) -> list[str]:
     properties = spark.sql(f"SHOW TBLPROPERTIES {qualified(table, database)}")
-    found = properties.where(F.col("key") == KEY_PROPERTY).first()
+    found = properties.where(F.col("key") == name).first()
     return [] if found is None else _declared_names(found["value"])
 
 
