@@ -38,3 +38,13 @@ def test_changed_names_are_cells_too(spark, tmp_path):
     ]
     balances = entry.similar_matches(spark, sf).select("old_balance", "new_balance").collect()
     assert sorted(map(tuple, balances), key=str) == [(2.5, 2.5), (None, -1000011.0)]
+
+
+def test_signatures_are_not_sent_to_the_driver(spark, tmp_path):
+    customers = spark.range(300).selectExpr(
+        "id as c_custkey", "concat('C', id) as c_name", "cast(id % 25 as int) as c_nationkey",
+        "id * 1.5D as c_acctbal", "'A' as c_mktsegment",
+    )
+    found = entry.minhash_estimates(spark, folder(spark, tmp_path, customer=customers))
+    assert "Broadcast" not in plan(found)
+    assert found.count() == 294 and found.where("not within").count() == 0
