@@ -6,6 +6,8 @@ import contextlib
 import io
 
 import __spark_entry__ as entry
+import tallybridge as tb
+from tallybridge.operators.keyed import KeyedComparison
 
 
 def plan(df) -> str:
@@ -48,3 +50,18 @@ def test_signatures_are_not_sent_to_the_driver(spark, tmp_path):
     found = entry.minhash_estimates(spark, folder(spark, tmp_path, customer=customers))
     assert "Broadcast" not in plan(found)
     assert found.count() == 294 and found.where("not within").count() == 0
+
+
+def test_counts_with_repeated_keys_make_one_pass(spark, monkeypatch):
+    old = spark.range(60).selectExpr("id % 40 as k", "id as v")
+    new = spark.range(60).selectExpr("id % 40 + 3 as k", "id + id % 2 as v")
+    passes = []
+    profile = KeyedComparison.profile
+    monkeypatch.setattr(KeyedComparison, "profile", lambda self: passes.append(1) or profile(self))
+    with tb.compare(old, new, key="k", order_by=["v"]) as diff:
+        counts = diff.counts().first()
+    assert len(passes) == 1
+    # 37 common keys, whose last rows differ: 20 repeat on the left (0-19), 20 on the right (3-22).
+    assert (counts["added_rows_count"], counts["deleted_rows_count"]) == (3, 6)
+    assert counts["updated_rows_count"] == 37 and counts["source_rows"] == counts["target_rows"] == 60
+    assert counts["duplicate_rows_in_source_count"] == counts["duplicate_rows_in_target_count"] == 40
