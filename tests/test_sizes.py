@@ -7,7 +7,9 @@ import io
 
 import __spark_entry__ as entry
 import tallybridge as tb
+from tallybridge.operators import similar
 from tallybridge.operators.keyed import KeyedComparison
+from tallybridge.operators.similar import SimilarRows
 
 
 def plan(df) -> str:
@@ -65,3 +67,31 @@ def test_counts_with_repeated_keys_make_one_pass(spark, monkeypatch):
     assert (counts["added_rows_count"], counts["deleted_rows_count"]) == (3, 6)
     assert counts["updated_rows_count"] == 37 and counts["source_rows"] == counts["target_rows"] == 60
     assert counts["duplicate_rows_in_source_count"] == counts["duplicate_rows_in_target_count"] == 40
+
+
+def _alike(spark, rows: int, side: str):
+    """Rows that agree with many of the other side in two columns of few values, and seldom in more."""
+    few = [f"cast(pmod(xxhash64(id, '{side}', {c}), {3 + c}) as string) as c{c}" for c in range(6)]
+    own = [f"concat('{side}', id, '-', {c}) as d{c}" for c in range(4)]
+    return spark.range(rows).selectExpr(*few, *own)
+
+
+def test_bands_try_a_window_of_partners_at_once(spark, monkeypatch):
+    turns = []
+    choices = SimilarRows._choices
+    monkeypatch.setattr(SimilarRows, "_choices", lambda self, *args: turns.append(1) or choices(self, *args))
+    diff = tb.compare(_alike(spark, 150, "o"), _alike(spark, 150, "n"), matcher="lsh", threshold=0.3)
+    pairs = diff.comparison.similar_matches().collect()
+    assert all(r["similarity"] >= 0.3 for r in pairs)
+    print("TURNS", len(turns), len(pairs)); assert len(turns) <= 12
+
+
+def test_matched_rows_are_taken_out_by_one_join_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BROADCAST_KEYS", 0, raising=False)
+    diff = tb.compare(_alike(spark, 40, "o"), _alike(spark, 40, "n"), threshold=0.3)
+    matching = diff.comparison.similar
+    assert len(matching._run[0]) > 1
+    text = plan(matching._without_matched(matching.rows, matching._run[0]))
+    assert "Broadcast" not in text and text.count("Join") == 1
+    left = matching.unmatched().count()
+    assert left == matching.old_count + matching.new_count - 2 * matching.pair_count
