@@ -83,7 +83,7 @@ def test_bands_try_a_window_of_partners_at_once(spark, monkeypatch):
     diff = tb.compare(_alike(spark, 150, "o"), _alike(spark, 150, "n"), matcher="lsh", threshold=0.3)
     pairs = diff.comparison.similar_matches().collect()
     assert all(r["similarity"] >= 0.3 for r in pairs)
-    print("TURNS", len(turns), len(pairs)); assert len(turns) <= 12
+    assert len(turns) <= 12
 
 
 def test_matched_rows_are_taken_out_by_one_join_without_a_broadcast(spark, monkeypatch):
