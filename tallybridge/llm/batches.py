@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -28,6 +30,25 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([f"`{c}`" for c in df.columns if c.lower() not in gone])
 
 
+def give_back() -> None:
+    """Return to the system what finished work has left in this process's allocators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def started(start: Callable[[], Callable[..., tuple]]) -> Callable[..., tuple]:
+    """The function of a task's rows. A vocabulary that the worker has kept from other work, and this task does not open, goes."""
+    bpe = sys.modules.get(f"{__package__}.bpe")
+    before = bpe and bpe.opened.cache_info()
+    function = start()
+    if bpe and before.currsize and bpe.opened.cache_info() == before:
+        bpe.opened.cache_clear()
+        give_back()
+    return function
+
+
 def add_columns(
     df: DataFrame,
     sources: list[str],
@@ -56,7 +77,7 @@ def add_columns(
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = [to_arrow_type(f.dataType) for f in added.fields]
-        function = start()
+        function = started(start)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -66,5 +87,6 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(kept))] + new, names=schema.names
                 )
+        give_back()
 
     return both.mapInArrow(run, schema).toDF(*kept, *added.names)

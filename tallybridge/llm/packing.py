@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from tallybridge.operators.stored import Workspace
 
+from .batches import give_back
 from .bpe import ID_BYTES, opened, resolved
 from .shipping import ship
 
@@ -155,6 +156,7 @@ def _cut(docs: DataFrame, tokenizer: str, window: int, end_id: int, slices: int)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema
                 )
+        give_back()
 
     return docs.mapInArrow(cut, PIECE)
 

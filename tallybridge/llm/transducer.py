@@ -241,7 +241,9 @@ def encode(
     """A binary column of ids, little-endian unsigned 32-bit integers, beside the columns."""
 
     def start():
-        encoder = _encoder(resolved(tokenizer))
+        path = resolved(tokenizer)
+        opened(path)  # its worker keeps it for the next task
+        encoder = _encoder(path)
         return lambda value: (encode_text(value or "", encoder),)
 
     return add_columns(docs, [text], T.StructType([T.StructField(ids, T.BinaryType())]), start, keep)
