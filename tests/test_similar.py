@@ -128,3 +128,41 @@ def test_signatures_estimate_the_overlap(spark):
     assert row[0] == row[3] == 64
     assert 10 <= row[1] <= 34  # overlap 2 of 6
     assert row[2] < 10
+
+
+def similar_rows(spark, old, new, width):
+    diff = tb.compare(spark.createDataFrame(old, schema(width)), spark.createDataFrame(new, schema(width)))
+    return diff.comparison.similar
+
+
+def test_first_level_shuffles_no_cells(spark):
+    """One long is kept per cell, and the cells of the first level are ordered without a shuffle of rows."""
+    rng = random.Random(11)
+    rows = similar_rows(spark, table(rng, 200, 5, 30), table(rng, 180, 5, 30), 5)
+    hashed = rows._hashed()
+    assert hashed.columns == ["rid", "is_new", "place", *[f"x{i}" for i in range(5)]]
+    stored = rows.workspace.store(hashed)
+    rough = rows._roughly_live(stored)
+    plan = rough._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    # No live cell is missed, and no row.
+    exact = {r.rid: set(r.live) for r in rows._live(stored).collect()}
+    found = {r.rid: (r.live, r.m) for r in rough.collect()}
+    assert found.keys() == exact.keys()
+    assert all(exact[i] <= set(live) and m == len(live) == len(set(live)) for i, (live, m) in found.items())
+
+
+@pytest.mark.parametrize("name, value", [("BUCKETS", 8), ("MOST_COLUMNS", 0), ("BROADCAST_KEYS", 0)])
+def test_limits_do_not_matter(spark, monkeypatch, name, value):
+    """Hardly any buckets, none, and no short lists: still no acceptable pair is left, and better ones come first."""
+    monkeypatch.setattr(similar, name, value)
+    rng = random.Random(12)
+    old, new = table(rng, 60, 4, 5), table(rng, 50, 4, 5)
+    pairs, deleted, added = outcome(spark, old, new, 4)
+    assert sorted([o for o, _ in pairs] + deleted) == sorted(old)
+    assert sorted([n for _, n in pairs] + added) == sorted(new)
+    assert not [1 for o in deleted for n in added if agree(o, n) >= columns_needed(2 / 7, 4)]
+    for i, (o1, n1) in enumerate(pairs):
+        for o2, n2 in pairs[i + 1 :]:
+            for o, n in ((o1, n2), (o2, n1)):
+                assert agree(o, n) <= max(agree(o1, n1), agree(o2, n2))
