@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import random
 
 import __spark_entry__ as entry
 import tallybridge as tb
@@ -95,3 +96,74 @@ def test_matched_rows_are_taken_out_by_one_join_without_a_broadcast(spark, monke
     assert "Broadcast" not in text and text.count("Join") == 1
     left = matching.unmatched().count()
     assert left == matching.old_count + matching.new_count - 2 * matching.pair_count
+
+
+def most_joined_rows(df) -> int:
+    """The most rows that any join made when ``df`` was collected."""
+
+    def nodes(node):
+        yield node
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("StageExec") else []
+        children = node.children()
+        for child in [*inner, *[children.apply(i) for i in range(children.size())]]:
+            yield from nodes(child)
+
+    made = [0]
+    for node in nodes(df._jdf.queryExecution().executedPlan()):
+        rows = node.metrics().get("numOutputRows")
+        if "Join" in node.nodeName() and rows.isDefined():
+            made.append(rows.get().value())
+    return max(made)
+
+
+def test_rows_left_that_share_one_frequent_cell_are_not_paired(spark, monkeypatch):
+    """600 rows of each side agree in one cell of two values, two are needed: 180,000 pairs that nobody asked for."""
+    parts = ["cast(id % 2 as string) as a", *[f"concat('{{side}}', id, '-', {c}) as c{c}" for c in range(4)]]
+    old, new = (spark.range(600).selectExpr(*[p.format(side=side) for p in parts]) for side in "on")
+    diff = tb.compare(old, new)
+    stored = []
+    store = diff.comparison.workspace.store
+
+    def counted(df):
+        kept = store(df)
+        stored.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(diff.comparison.workspace, "store", counted)
+    facts = entry._matching_facts(diff)
+    assert facts.collect() == [(600, 600, True, True, 0)]
+    # A row is in ten nodes of two of five cells at most.
+    assert max(stored) <= 12_000 and most_joined_rows(facts) <= 12_000
+
+
+def test_acceptable_pairs_left_are_counted_as_by_brute_force(spark):
+    rng = random.Random(3)
+    old, new = ([tuple(str(rng.randrange(4)) for _ in range(5)) for _ in range(n)] for n in (60, 50))
+    new += new[:3]
+    frames = [spark.createDataFrame(rows, "a string, b string, c string, d string, e string") for rows in (old, new)]
+    # At this threshold nothing but equal rows is matched.
+    diff = tb.compare(*frames, threshold=1.0)
+    left = [[tuple(r) for r in rows.collect()] for rows in (diff.deleted_rows(), diff.added_rows())]
+    for need in (1, 2, 4, 5):
+        expected = sum(sum(x == y for x, y in zip(o, n)) >= need for o in left[0] for n in left[1])
+        assert entry._acceptable_left(diff, need).first()[0] == expected
+    assert expected == 0
+
+
+ZEROS = "values (0.0D, float(0), 1, true, 'a'), (double('-0.0'), float('-0.0'), 2, null, ''), " \
+    "(double('NaN'), float('NaN'), 3, false, null), (null, null, 3, false, ''), (0.1D, float('0.1'), null, null, 'b') as t(d, f, i, b, s)"
+
+
+def test_numbers_are_counted_as_they_are_and_compared_as_text(spark):
+    old, new = spark.sql(f"select * from {ZEROS}"), spark.sql(f"select * from {ZEROS} where i > 1 or i is null")
+    contents = tb.compare(old, new).comparison.contents()
+    rows = {tuple(r)[:-2]: tuple(r)[-2:] for r in contents.collect()}
+    assert rows == {
+        ("true", "0.0", "0.0", "1", "a"): (1, 0), ("", "-0.0", "-0.0", "2", ""): (1, 1),
+        ("false", "", "", "3", ""): (2, 2), ("", "0.1", "0.1", "", "b"): (1, 1),
+    }
+    # The texts are made above the exchange, of the rows that are asked for.
+    orders = spark.range(10).selectExpr("id as k", "id * 1.5D as price", "timestamp_seconds(id) as at")
+    below = plan(tb.compare(orders, orders.limit(5)).comparison.contents()).split("Exchange hashpartitioning", 1)[1]
+    assert " as string) AS" not in below
