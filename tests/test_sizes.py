@@ -6,6 +6,8 @@ import contextlib
 import io
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import tallybridge as tb
 from tallybridge.operators import similar
@@ -167,3 +169,32 @@ def test_numbers_are_counted_as_they_are_and_compared_as_text(spark):
     orders = spark.range(10).selectExpr("id as k", "id * 1.5D as price", "timestamp_seconds(id) as at")
     below = plan(tb.compare(orders, orders.limit(5)).comparison.contents()).split("Exchange hashpartitioning", 1)[1]
     assert " as string) AS" not in below
+
+
+def test_turns_of_bands_shuffle_no_signatures(spark, monkeypatch):
+    """Rows of 64 values are joined by bands once a level; in its turns only ids, blocks and the rows that met travel."""
+    wide = []
+    without_matched = SimilarRows._without_matched
+
+    def recorded(self, rows, pairs):
+        wide.extend(pairs if "x0" in rows.columns else [])
+        return without_matched(self, rows, pairs)
+
+    monkeypatch.setattr(SimilarRows, "_without_matched", recorded)
+    monkeypatch.setattr(similar, "BROADCAST_KEYS", 0)
+    old, new = (_alike(spark, 150, side) for side in "on")
+    matching = tb.compare(old, new, matcher="lsh", threshold=0.3).comparison.similar
+    assert matching.pair_count > 0 and not wide
+    left = matching.unmatched().count()
+    assert left == matching.old_count + matching.new_count - 2 * matching.pair_count
+
+
+def test_signatures_of_bands_are_those_of_the_cells(spark, monkeypatch):
+    names = [f"c{i}" for i in range(32)]
+    rows = [tuple(str(i * j % 7) for j in range(32)) for i in range(9)]
+    old, new = (spark.createDataFrame(r, ", ".join(f"{c} string" for c in names)) for r in (rows, [("x", *r[1:]) for r in rows]))
+    matching = tb.compare(old, new, matcher="lsh").comparison.similar
+    values = F.array(*[F.col(f"x{i}") for i in range(64)])
+    found = {r.rid: r.v for r in matching._hashed().select("rid", values.alias("v")).collect()}
+    expected = matching.rows.select("rid", similar.minhash_signature(F.col("cells"), tagged=True).alias("v")).collect()
+    assert len(found) == 18 and found == {r.rid: r.v for r in expected}
