@@ -198,3 +198,21 @@ def test_signatures_of_bands_are_those_of_the_cells(spark, monkeypatch):
     found = {r.rid: r.v for r in matching._hashed().select("rid", values.alias("v")).collect()}
     expected = matching.rows.select("rid", similar.minhash_signature(F.col("cells"), tagged=True).alias("v")).collect()
     assert len(found) == 18 and found == {r.rid: r.v for r in expected}
+
+
+def test_cells_of_small_nodes_are_not_written(spark, monkeypatch):
+    """Rows that differ in one cell meet by rare cells: their nodes list pairs at once, and no table of nodes is stored."""
+    old = spark.range(80).selectExpr("concat('a', id) as a", "concat('b', id) as b", "id % 7 as c", "id % 3 as d", "0 as e")
+    new = old.withColumn("c", F.col("c") + 1)
+    diff = tb.compare(old, new)
+    stored = []
+    store = diff.comparison.workspace.store
+
+    def recorded(df):
+        stored.append(df.columns)
+        return store(df)
+
+    monkeypatch.setattr(diff.comparison.workspace, "store", recorded)
+    pairs = diff.comparison.similar_matches().collect()
+    assert len(pairs) == 80 and all(r["old"]["a"] == r["new"]["a"] for r in pairs)
+    assert stored and not [columns for columns in stored if "live" in columns]
